@@ -1,0 +1,293 @@
+"""Column names: finding the one that is meant, choosing the ones to show. Only headers are touched, never rows."""
+
+from __future__ import annotations
+
+import re
+from functools import lru_cache
+
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rollbook.functions.missing import FLOATING, is_text
+from rollbook.operators.sampling import col, data_columns
+from rollbook.plans.registry import FIELD_ALIASES
+from rollbook.sources.files import ROW_ID
+
+# Groups of header names that stand for one another.
+SYNONYMS = (
+    ("first name", "firstname", "first_name", "given name"),
+    ("last name", "lastname", "last_name", "surname", "family name"),
+    ("person name", "person_name", "name", "full name", "nickname", "preferred name", "alumni name"),
+    ("occupation", "job", "title", "role", "position", "profession"),
+    ("employer", "company", "organization", "organisation", "workplace", "firm", "business"),
+    ("graduation year", "class year", "grad year", "grad yr", "graduation yr", "class yr", "grad_year"),
+    ("name", "full name", "nickname", "preferred name", "alumni name"),
+    ("major", "degree", "field of study", "program"),
+    ("email", "email address", "e-mail"),
+    ("linkedin url", "linkedinurl", "linkedin_url", "linkedin", "linked in", "linked in url"),
+    ("phone", "phone number", "mobile"),
+    ("city", "town", "location"),
+    ("state", "province", "region"),
+)
+
+# Words in the headers of columns worth searching, most telling first.
+SEARCH_WORDS = (
+    "occupation", "job", "employer", "company", "organization", "organisation", "workplace", "industry", "major",
+    "degree", "title", "role", "position", "field", "sector",
+)
+MAX_SEARCH_COLUMNS = 8
+
+# Normalised headers that are internal and never shown.
+FORBIDDEN_HEADERS = frozenset(
+    (
+        "debug", "match_reason", "raw_match_reason", "matched_column", "matched_term", "matched_terms",
+        "match_sources", "internal_reason", "classifier_reason", "classification_reason", "uncertainty_reason",
+        "model_reason", "rationale", "classifier_rationale", "confidence", "classifier_confidence",
+        "belongs_to_industry", "classification", "internal_score", "scorer_score", "row_index",
+    )
+)
+
+# Headers shown only on request, by group.
+OPTIONAL_HEADERS = {
+    "major": ("major", "majors", "degree", "degrees", "field_of_study", "academic_background", "concentration"),
+    "notes": ("note", "notes", "comment", "comments"),
+    "email": ("email", "email_address", "e_mail"),
+    "phone": ("phone", "phone_number", "mobile", "mobile_phone"),
+    "grad_year": ("graduation_year", "graduation_yr", "grad_year", "grad_yr", "class_year", "class_yr"),
+    "location": ("location", "city", "state", "province", "region", "country"),
+    "preferred_name": ("preferred_name", "nickname", "nick_name"),
+    "industry": ("industry", "sector"),
+    "reason": ("reason",),
+}
+
+# Display headers of people columns, in display order, and the compact headers they replace.
+PEOPLE_HEADERS = {
+    "first_name": ("First Name", ("firstname", "givenname")),
+    "last_name": ("Last Name", ("lastname", "surname", "familyname")),
+    "occupation": ("Occupation", ("occupation", "jobtitle", "job", "role", "position")),
+    "employer": ("Employer", ("employer", "company", "organization", "organisation", "workplace")),
+    "linkedin_url": ("LinkedIn URL", ("linkedinurl", "linkedin", "linkedinprofile", "linkedinprofileurl")),
+}
+
+MIN_CONTAINED = 4
+
+
+class UnknownColumn(ValueError):
+    """No column answers to the requested name."""
+
+    def __init__(self, requested, suggestions=()):
+        hint = f" Similar columns: {', '.join(suggestions)}." if suggestions else ""
+        super().__init__(f"Column '{requested}' was not found.{hint}")
+        self.requested = requested
+        self.suggestions = list(suggestions)
+
+
+def compact(name):
+    return re.sub(r"[^a-z0-9]+", "", str(name).lower())
+
+
+def snake(name):
+    return re.sub(r"[^a-z0-9]+", "_", str(name).strip().lower()).strip("_")
+
+
+def _first(columns, test):
+    return next((name for name in columns if test(name)), None)
+
+
+def canonical_column(columns, field, profile=None):
+    """Source column of a canonical field: the mapped one, else an alias exactly, ignoring case, or in compact form."""
+    mapped = (profile or {}).get(field)
+    if mapped:
+        return mapped[0]
+    aliases = FIELD_ALIASES.get(field, ())
+    for alias in aliases:
+        if alias in columns:
+            return alias
+    for alias in aliases:
+        found = _first(columns, lambda name: name.casefold() == alias.casefold())
+        if found:
+            return found
+    wanted = {compact(alias) for alias in aliases}
+    return _first(columns, lambda name: compact(name) in wanted)
+
+
+@lru_cache(maxsize=1024)
+def _synonyms(requested):
+    """Compact names from every group that has the requested name or contains or is contained in it."""
+    found = []
+    for group in SYNONYMS:
+        names = [compact(name) for name in group]
+        related = requested in names or any(
+            len(name) >= MIN_CONTAINED and (name in requested or requested in name) for name in names
+        )
+        if related:
+            found.extend(names)
+    return tuple(dict.fromkeys(found))
+
+
+def _overlaps(name, other):
+    return len(name) >= MIN_CONTAINED and (name in other or other in name)
+
+
+def find_column(columns, requested, profile=None):
+    """The column meant by a name, or None. Rungs: mapping, exact, ignoring case, compact, synonym, containment."""
+    requested = str(requested).strip()
+    wanted = compact(requested)
+    field = _first(FIELD_ALIASES, lambda key: compact(key) == wanted)
+    if field:
+        mapped = canonical_column(columns, field, profile)
+        if mapped:
+            return mapped
+    if requested in columns:
+        return requested
+    found = _first(columns, lambda name: name.casefold() == requested.casefold()) or _first(
+        columns, lambda name: compact(name) == wanted
+    )
+    if found:
+        return found
+    for synonym in _synonyms(wanted):
+        found = _first(columns, lambda name: compact(name) == synonym) or _first(
+            columns, lambda name: _overlaps(synonym, compact(name))
+        )
+        if found:
+            return found
+    return None
+
+
+def similar_columns(columns, requested, limit=5):
+    def words(name):
+        return " ".join(re.sub(r"[^a-z0-9]+", " ", str(name).lower()).split())
+
+    wanted = words(requested)
+    if not wanted:
+        return []
+    return [name for name in columns if wanted in words(name) or words(name) in wanted][:limit]
+
+
+def resolve_column(columns, requested, profile=None):
+    found = find_column(columns, requested, profile)
+    if found is None:
+        raise UnknownColumn(requested, similar_columns(columns, requested))
+    return found
+
+
+def resolve_columns(columns, requested, profile=None):
+    """The known columns among the requested ones, in the order asked for, each once."""
+    if requested is None:
+        return []
+    if isinstance(requested, str):
+        requested = [requested]
+    found = (find_column(columns, name, profile) for name in requested)
+    return list(dict.fromkeys(name for name in found if name))
+
+
+def searchable_columns(df, requested=None, profile=None):
+    """The requested columns, else up to eight text columns with telling headers first."""
+    found = resolve_columns(df.columns, requested, profile)
+    if found:
+        return found
+    texts = [f.name for f in df.schema if is_text(f.dataType)]
+    telling = [
+        name for word in SEARCH_WORDS for name in texts if word in compact(name) or compact(name) in word
+    ]
+    chosen = list(dict.fromkeys(telling)) or texts
+    if not chosen:
+        raise UnknownColumn(requested or "searchable text")
+    return chosen[:MAX_SEARCH_COLUMNS]
+
+
+def preview(df, limit=20, row_id=ROW_ID):
+    """The first rows in row order."""
+    ordered = df.orderBy(col(row_id)) if row_id in df.columns else df
+    return ordered.limit(limit).select(*(col(c) for c in data_columns(df)))
+
+
+def select_columns(df, columns, limit=None, profile=None, row_id=ROW_ID):
+    chosen = resolve_columns(df.columns, columns, profile)
+    if not chosen:
+        raise UnknownColumn(columns)
+    if limit is None:
+        return df.select(*(col(c) for c in chosen))
+    ordered = df.orderBy(col(row_id)) if row_id in df.columns else df
+    return ordered.limit(limit).select(*(col(c) for c in chosen))
+
+
+def is_forbidden_header(name):
+    raw = str(name).strip()
+    key = snake(raw)
+    if not key:
+        return False
+    return raw.startswith("_") or key.startswith(("expected_", "eval_")) or key in FORBIDDEN_HEADERS
+
+
+def display_columns(df, allow_groups=()):
+    """Drop internal and answer-key columns, optional groups nobody asked for, and headers that differ only in style."""
+    hidden = {name for group, names in OPTIONAL_HEADERS.items() if group not in allow_groups for name in names}
+    kept = {}
+    for name in df.columns:
+        key = snake(name)
+        if not is_forbidden_header(name) and key not in hidden and name.strip():
+            kept.setdefault(key, name)
+    return df.select(*(col(name) for name in kept.values()))
+
+
+def display_header(name, profile=None):
+    """People columns get one spelling; other headers stay."""
+    for field, sources in (profile or {}).items():
+        if name in sources and field in PEOPLE_HEADERS:
+            return PEOPLE_HEADERS[field][0]
+    key = compact(name)
+    return next((header for header, keys in PEOPLE_HEADERS.values() if key in keys), str(name))
+
+
+def person_column(columns, field, profile=None):
+    """Source of a people field. Names and profile links must match an alias; other fields may use the whole ladder."""
+    found = canonical_column(columns, field, profile) if field in FIELD_ALIASES else None
+    if found or field in ("first_name", "last_name", "linkedin_url"):
+        return found
+    return find_column(columns, field, profile)
+
+
+def people_columns(df, profile=None, requested=None):
+    """Name, occupation and employer under fixed headers, then requested extras, then the profile link."""
+    columns = data_columns(df)
+    wanted = resolve_columns(columns, requested, profile)
+    sources = {field: person_column(columns, field, profile) for field in PEOPLE_HEADERS}
+    chosen = {}
+
+    def add(name, header):
+        if name and name not in chosen and (not wanted or name in wanted):
+            chosen[name] = header
+
+    for field in ("first_name", "last_name"):
+        add(sources[field], PEOPLE_HEADERS[field][0])
+    if not sources["first_name"] and not sources["last_name"]:
+        name = find_column(columns, "person_name", profile)
+        add(name, name)
+    for field in ("occupation", "employer"):
+        add(sources[field], PEOPLE_HEADERS[field][0])
+    link = sources["linkedin_url"]
+    for name in wanted:
+        if name != link and snake(name) not in FORBIDDEN_HEADERS:
+            add(name, display_header(name, profile))
+    add(link, PEOPLE_HEADERS["linkedin_url"][0])
+    return df.select(*(col(name).alias(header) for name, header in chosen.items()))
+
+
+def json_safe(df):
+    """NaN and infinities become null; dates and timestamps become ISO text."""
+
+    def safe(field):
+        value = col(field.name)
+        if isinstance(field.dataType, FLOATING):
+            value = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+        elif isinstance(field.dataType, T.DateType):
+            value = F.date_format(value, "yyyy-MM-dd")
+        elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+            fraction = F.date_format(value, ".SSSSSS")
+            value = F.concat(
+                F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss"), F.when(fraction != ".000000", fraction).otherwise("")
+            )
+        return value.alias(field.name)
+
+    return df.select(*map(safe, df.schema))
