@@ -94,7 +94,7 @@ def resolve_column(spark, sf_dir):
 
 
 @query("display_columns", people_sql(
-    "SELECT person_id, first_name, last_name, occupation, employer, descriptor, email, alt_email, giving, event_count, last_contact, "
+    "SELECT person_id, first_name, last_name, occupation, employer, employer_description, email, alt_email, giving, event_count, last_contact, "
     "updated_at, manager, linkedin_url, do_not_contact FROM people_v"
 ))
 def display_columns(spark, sf_dir):

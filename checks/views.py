@@ -110,7 +110,7 @@ def _people_columns(spark):
         "last_name": f"CASE WHEN {hot} THEN 'Hale' ELSE {pick(named, LAST)} || ' ' || cast({named} {div} 221 AS {text}) END",
         "occupation": pick(k, titles),
         "employer": pick(job, employers),
-        "descriptor": pick(job, descriptors),
+        "employer_description": pick(job, descriptors),
         "email": pick(k, EMAIL),
         "alt_email": pick(k, ALT_EMAIL),
         "giving": pick(k, GIVING),

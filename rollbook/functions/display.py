@@ -16,12 +16,17 @@ def format_value(column):
 def format_compact(column, currency=False, year=False):
     """Short form for charts: $1.2M and $120.5K for currency, bare years, at most two decimals otherwise."""
     number = column.cast("double")
+
+    def short(value, unit):
+        # format_number rounds the exact binary value; format_string would round its decimal rendering.
+        return F.concat(F.lit("$"), F.translate(F.format_number(value, 1), ",", ""), F.lit(unit))
+
     if year:
         text = F.round(number).cast("long").cast("string")
     elif currency:
         text = (
-            F.when(F.abs(number) >= 1e6, F.concat(F.lit("$"), F.format_string("%.1f", number / 1e6), F.lit("M")))
-            .when(F.abs(number) >= 1e5, F.concat(F.lit("$"), F.format_string("%.1f", number / 1e3), F.lit("K")))
+            F.when(F.abs(number) >= 1e6, short(number / 1e6, "M"))
+            .when(F.abs(number) >= 1e5, short(number / 1e3, "K"))
             .otherwise(F.concat(F.lit("$"), F.format_number(F.round(number).cast("long"), 0)))
         )
     else:

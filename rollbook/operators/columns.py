@@ -248,8 +248,8 @@ def person_column(columns, field, profile=None):
     return find_column(columns, field, profile)
 
 
-def people_columns(df, profile=None, requested=None):
-    """Name, occupation and employer under fixed headers, then requested extras, then the profile link."""
+def people_selection(df, profile=None, requested=None):
+    """Columns for people: name, occupation and employer under fixed headers, requested extras, then the profile link."""
     columns = data_columns(df)
     wanted = resolve_columns(columns, requested, profile)
     sources = {field: person_column(columns, field, profile) for field in PEOPLE_HEADERS}
@@ -271,7 +271,11 @@ def people_columns(df, profile=None, requested=None):
         if name != link and snake(name) not in FORBIDDEN_HEADERS:
             add(name, display_header(name, profile))
     add(link, PEOPLE_HEADERS["linkedin_url"][0])
-    return df.select(*(col(name).alias(header) for name, header in chosen.items()))
+    return [col(name).alias(header) for name, header in chosen.items()]
+
+
+def people_columns(df, profile=None, requested=None):
+    return df.select(*people_selection(df, profile, requested))
 
 
 def json_safe(df):

@@ -1,2 +1,133 @@
-def run(): pass
-class OpResult: pass
+"""The closed set of named operations, run from a plain {"type", "params"} description."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+
+from rollbook.operators import aggregate, columns, order, predicates, profile, search
+from rollbook.plans import people
+from rollbook.plans.classify import QuerySpec
+
+
+@dataclass(frozen=True)
+class OpResult:
+    """Result rows and a one-row table of counts; neither is computed before it is asked for."""
+
+    rows: DataFrame
+    metrics: DataFrame | None = None
+
+
+def _search(df, p, require_all=False):
+    options = {
+        "columns": p.get("columns") or p.get("column"),
+        "terms": p.get("terms") or [p[k] for k in ("term", "query", "text") if p.get(k)],
+        "groups": p.get("column_term_groups"),
+        "case_sensitive": bool(p.get("case_sensitive", False)),
+        "require_all": require_all,
+    }
+    return OpResult(search.search(df, **options), search.search_metrics(df, **options, limit=p.get("limit")))
+
+
+def _spec(p):
+    wanted = p.get("people_filter") or {}
+    industries = wanted.get("industries") or [wanted.get("industry") or "tech"]
+    return QuerySpec(
+        industries=tuple(industries),
+        required=tuple(wanted.get("required_industries") or ()),
+        excluded=tuple(wanted.get("excluded_industries") or ()),
+        functions=tuple(wanted.get("include_functions") or ()),
+        excluded_functions=tuple(wanted.get("excluded_functions") or ()),
+        include_adjacent=bool(wanted.get("include_adjacent")),
+        scope=wanted.get("query_scope") or "industry",
+    )
+
+
+def _contains_any(df, p):
+    if p.get("filter_mode") in ("people", "tech_people"):
+        return OpResult(people.people_filter(df, _spec(p)), people.people_metrics(df, _spec(p)))
+    return _search(df, p)
+
+
+def _group(p):
+    if isinstance(p.get("predicate_group"), dict):
+        return p["predicate_group"]
+    return {k: p[k] for k in ("logic", "clauses", "predicates") if k in p}
+
+
+def _predicates(df, p):
+    base = p.get("base_filter")
+    narrow = (lambda rows: run(rows, base).rows) if base else None
+    rows = predicates.filter_predicates(df, _group(p), narrow)
+    sort = p.get("sort")
+    if sort:
+        ascending = str(sort.get("direction") or "desc").lower().startswith("asc")
+        rows = order.sort_rows(rows, sort["column"], ascending, p.get("limit"))
+    return OpResult(rows, predicates.predicate_metrics(df, _group(p)))
+
+
+def _composite(df, p):
+    inner = p["people_operation"]["params"]
+    args = (df, _spec(inner), _group(p), p.get("constraint_logic") or "and")
+    return OpResult(people.composite_filter(*args), people.composite_metrics(*args))
+
+
+OPERATIONS = {
+    "preview": lambda df, p: OpResult(columns.preview(df, p.get("limit", 20))),
+    "select_columns": lambda df, p: OpResult(columns.select_columns(df, p.get("columns"), p.get("limit"))),
+    "filter_equals": lambda df, p: OpResult(
+        search.filter_equals(df, p["column"], p.get("value"), bool(p.get("case_sensitive", False)))
+    ),
+    "filter_missing": lambda df, p: OpResult(search.filter_missing(df, p["column"])),
+    "filter_contains": _search,
+    "filter_predicates": _predicates,
+    "composite_people_filter": _composite,
+    "search_text": lambda df, p: _search(df, p, bool(p.get("require_all", False))),
+    "contains_any": _contains_any,
+    "contains_all": lambda df, p: _search(df, p, True),
+    "sort_rows": lambda df, p: OpResult(order.sort_rows(df, p["column"], bool(p.get("ascending", True)), p.get("limit", 25))),
+    "top_n": lambda df, p: OpResult(order.top_n(df, p["column"], p.get("n", 10))),
+    "bottom_n": lambda df, p: OpResult(order.bottom_n(df, p["column"], p.get("n", 10))),
+    "group_by_count": lambda df, p: OpResult(aggregate.group_by_count(df, p["group_by"], p.get("limit", 25))),
+    "group_by_sum": lambda df, p: OpResult(
+        aggregate.group_by_sum(df, p["group_by"], p["value_column"], p.get("limit", 25)),
+        aggregate.group_by_metrics(df, p["value_column"]),
+    ),
+    "group_by_average": lambda df, p: OpResult(
+        aggregate.group_by_average(df, p["group_by"], p["value_column"], p.get("limit", 25)),
+        aggregate.group_by_metrics(df, p["value_column"]),
+    ),
+    "value_counts": lambda df, p: OpResult(aggregate.value_counts(df, p["column"], p.get("limit", 25))),
+    "missing_values": lambda df, p: OpResult(profile.missing_values(df, p.get("columns"))),
+    "column_summary": lambda df, p: OpResult(profile.column_summary(df, p.get("columns"))),
+    "numeric_summary": lambda df, p: OpResult(profile.numeric_summary(df, p.get("columns"))),
+    "correlation": lambda df, p: OpResult(aggregate.correlation(df, p.get("columns"), p.get("limit", 20))),
+    "unique_values": lambda df, p: OpResult(
+        aggregate.unique_values(df, p["column"], p.get("limit", 50)), aggregate.unique_metrics(df, p["column"])
+    ),
+    "duplicate_rows": lambda df, p: OpResult(
+        order.duplicate_rows(df, p.get("subset"), p.get("limit", 100)), order.duplicate_metrics(df, p.get("subset"))
+    ),
+    "date_summary": lambda df, p: OpResult(profile.date_summary(df, p.get("columns"))),
+    "date_range_filter": lambda df, p: OpResult(search.date_range_filter(df, p["column"], p.get("start"), p.get("end"))),
+    "group_by_month": lambda df, p: OpResult(
+        aggregate.group_by_month(
+            df, p["date_column"], p.get("value_column"), str(p.get("aggregation") or "count").lower(), p.get("limit", 24)
+        )
+    ),
+}
+
+
+def run(df, operation):
+    """Run one named operation. Unknown names and columns raise ValueError before anything is computed."""
+    kind = operation.get("type")
+    if kind not in OPERATIONS:
+        raise ValueError(f"Unknown operation type '{kind}'.")
+    params = operation.get("params") or {}
+    if not isinstance(params, dict):
+        raise ValueError("Operation params must be a dict.")
+    try:
+        return OPERATIONS[kind](df, params)
+    except KeyError as missing:
+        raise ValueError(f"Operation '{kind}' needs the parameter {missing}.") from None

@@ -35,3 +35,12 @@ def shared_folder(spark):
     folder = tempfile.mkdtemp(prefix="rollbook-")
     spark.conf.set(CHECKPOINT_SETTING, folder)
     return folder
+
+
+def checkpointed(df):
+    """The table saved to the shared folder and cut from its lineage, so that a lost executor costs one read."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
