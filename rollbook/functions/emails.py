@@ -13,6 +13,7 @@ ADDRESS = (
     r"((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,63})(?![A-Za-z0-9-])"
 )
 MAX_LOCAL, MAX_DOMAIN = 64, 253
+WELL_FORMED = rf"^(?!\.)(?!.*\.\.)(?!.*\.@)[^@]{{1,{MAX_LOCAL}}}@.{{1,{MAX_DOMAIN}}}$"
 
 TOKEN_TYPE = "array<struct<address:string,domain:string,original:string>>"
 
@@ -38,12 +39,7 @@ def email_tokens(column, data_type=None):
         local = F.substring_index(match, "@", 1)
         return F.struct(F.concat(local, F.lit("@"), domain).alias("address"), domain.alias("domain"), match.alias("original"))
 
-    def valid(found):
-        local = F.substring_index(found["original"], "@", 1)
-        dots = local.startswith(".") | local.endswith(".") | local.contains("..")
-        return (F.length(local) <= MAX_LOCAL) & (F.length(found["domain"]) <= MAX_DOMAIN) & ~dots
-
-    found = _distinct_by_address(F.filter(F.transform(raw, token), valid))
+    found = _distinct_by_address(F.transform(F.filter(raw, lambda match: match.rlike(WELL_FORMED)), token))
     return F.when(cell.contains("@") & ~F.lower(text).isin(*NULLISH_TEXTS), found).otherwise(_empty())
 
 

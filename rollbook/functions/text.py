@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import functions as F
 
@@ -23,20 +25,24 @@ COMPANY_SPELLINGS = {
 COMPANY_SUFFIXES = ("inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company")
 
 
-def _fold(column, keep):
-    return F.btrim(F.regexp_replace(F.lower(column), rf"[^{keep}]+", " "))
+# Up to this many phrases are tested one by one; longer lists go through one array expression, which keeps generated code small.
+FEW = 4
+
+# The second pattern says "neither alphanumeric nor &" by look-ahead: Java matches it several times faster than one class.
+NOT_ALNUM = "[^a-z0-9]+"
+NOT_ALNUM_OR_AMPERSAND = "(?:(?!&)[^a-z0-9])+"
 
 
 def norm_text(column):
-    return _fold(column, "a-z0-9")
+    return F.btrim(F.regexp_replace(F.lower(column), NOT_ALNUM, " "))
 
 
 def norm_title(column):
-    return _fold(column, "a-z0-9&")
+    return F.btrim(F.regexp_replace(F.lower(column), NOT_ALNUM_OR_AMPERSAND, " "))
 
 
 def norm_compact(column):
-    return F.regexp_replace(F.lower(column), "[^a-z0-9]+", "")
+    return F.regexp_replace(F.lower(column), NOT_ALNUM, "")
 
 
 def norm_member(column):
@@ -45,21 +51,31 @@ def norm_member(column):
     return F.when(~folded.isin(*NULLISH_TEXTS, "n/a", "na"), folded)
 
 
-def norm_company(column):
-    name = F.regexp_replace(F.lower(column), r"\([^)]*\)", " ")
-    name = F.btrim(F.regexp_replace(name, "[^a-z0-9]+", " "))
-    spelt = name
+def fold_company_name(column):
+    """Folded company name before spelling and legal-form words are looked at. Bracketed parts are dropped."""
+    low = F.lower(column)
+    plain = F.when(low.contains("("), F.regexp_replace(low, r"\([^)]*\)", " ")).otherwise(low)
+    return F.btrim(F.regexp_replace(plain, NOT_ALNUM, " "))
+
+
+def respell_company(folded):
+    """Usual spelling and no legal-form words. Give it a column rather than an expression: it reads it several times."""
+    spelt = folded
     for wrong, right in COMPANY_SPELLINGS.items():
         spelt = F.regexp_replace(spelt, rf"\b{wrong}\b", right)
-    name = F.when(name.rlike("|".join(COMPANY_SPELLINGS)), spelt).otherwise(name)
-    name = F.regexp_replace(name, rf"\b(?:{'|'.join(COMPANY_SUFFIXES)})\b", " ")
-    return F.btrim(F.regexp_replace(name, " +", " "))
+    misspelt = reduce(or_, (folded.contains(wrong) for wrong in COMPANY_SPELLINGS))
+    name = F.when(misspelt, spelt).otherwise(folded)
+    return F.btrim(F.regexp_replace(name, rf"(?:^| )(?:{'|'.join(COMPANY_SUFFIXES)})(?= |$)", ""))
 
 
-def clean_cell(column):
-    """Trimmed cell text with collapsed blanks; absent cells become empty text."""
-    text = collapse_blanks(F.coalesce(column, F.lit("")))
-    return F.when(F.lower(text).isin("nan", "none", "nat", "null"), F.lit("")).otherwise(text)
+def norm_company(column):
+    return respell_company(fold_company_name(column))
+
+
+def filled_cell(column):
+    """Trimmed cell text; absent cells and the texts that stand for them become empty text."""
+    text = strip(column)
+    return F.when(text.isNull() | F.lower(text).isin("nan", "none", "nat", "null"), F.lit("")).otherwise(text)
 
 
 def fold_term(term, keep="a-z0-9&"):
@@ -101,7 +117,16 @@ def matches(normalised, pattern):
 
 
 def has_term(normalised, terms, keep="a-z0-9&"):
-    return matches(normalised, term_pattern(terms, keep))
+    """Whether a term occurs. Words go into one expression; phrases are plain substrings, which are cheaper to look for."""
+    folded = list(dict.fromkeys(filter(None, (fold_term(term, keep) for term in terms))))
+    words = [term for term in folded if " " not in term]
+    phrases = [term for term in folded if " " in term]
+    tests = [normalised.rlike(term_pattern(words, keep))] if words else []
+    if len(phrases) > FEW:
+        tests.append(F.exists(F.array(*map(F.lit, phrases)), normalised.contains))
+    else:
+        tests += [normalised.contains(phrase) for phrase in phrases]
+    return F.coalesce(reduce(or_, tests), F.lit(False)) if tests else F.lit(False)
 
 
 def first_term(normalised, terms, keep="a-z0-9&"):

@@ -1,9 +1,9 @@
 """Exact quantiles of whole columns without collecting a column in one task.
 
 Spark's percentile() keeps every distinct value of its group in one task. That is fine for small tables and used there.
-On larger ones each wanted rank is bracketed with an approximate quantile, the rows below and inside the bracket are
-counted, and the bracket is narrowed until few distinct values are left; only these are counted and ranked. Every pass is
-one aggregation for all columns and ranks, and the driver sees a few numbers per rank.
+On larger ones the values are counted in equal-width bins, each wanted rank picks its bin, and the bin is divided again until
+it holds few rows; only these are ranked. Every pass is one aggregation, combined before its shuffle, for all columns and
+ranks together, and the driver sees at most BINS counts per open bracket.
 """
 
 from __future__ import annotations
@@ -13,116 +13,124 @@ from dataclasses import dataclass
 
 from pyspark.sql import Window, functions as F
 
-SMALL_ROWS = 1_000_000
-SMALL_DISTINCT = 500_000
-ACCURACY = 10_000
-MAX_PASSES = 30
+SMALL_ROWS = 100_000
+BINS = 4096
+MAX_PASSES = 40
 
 
-@dataclass
-class _Rank:
-    """A wanted rank of one column and the bracket known to hold it."""
+@dataclass(frozen=True)
+class _Bracket:
+    """Values of one column between two of its values, and how many lie below and inside."""
 
     name: str
-    rank: int
     low: float
     high: float
-    below: int = 0
-    inside: int = 0
-    distinct: int = 0
+    below: int
+    inside: int
+
+    def open(self, small_rows):
+        return self.low < self.high and self.inside > small_rows
 
     def member(self, value):
-        return F.when((value >= self.low) & (value <= self.high), value)
-
-    def needs_narrowing(self):
-        return self.low < self.high and self.distinct > SMALL_DISTINCT
-
-
-def _narrow(df, values, ranks):
-    """One pass of brackets around each rank, one pass of counts."""
-    margin = 2.0 / ACCURACY
-    brackets = []
-    for i, r in enumerate(ranks):
-        share = (r.rank - r.below) / max(r.inside - 1, 1)
-        wanted = [max(0.0, share - margin), min(1.0, share + margin)]
-        brackets.append(F.percentile_approx(r.member(values[r.name]), wanted, ACCURACY).alias(f"b{i}"))
-    edges = df.agg(*brackets).first()
-    tried = [_Rank(r.name, r.rank, *edges[f"b{i}"]) for i, r in enumerate(ranks)]
-    _count(df, values, tried)
-    # The sketch bounds its rank error, but a bracket that missed is simply dropped in favour of the old one.
-    return [t if t.below <= t.rank < t.below + t.inside else r for t, r in zip(tried, ranks)]
-
-
-def _count(df, values, ranks):
-    counters = []
-    for i, r in enumerate(ranks):
-        value = values[r.name]
-        counters.append(F.count(F.when(value < r.low, 1)).alias(f"below{i}"))
-        counters.append(F.count(r.member(value)).alias(f"inside{i}"))
-        counters.append(F.approx_count_distinct(r.member(value)).alias(f"distinct{i}"))
-    row = df.agg(*counters).first()
-    for i, r in enumerate(ranks):
-        r.below, r.inside, r.distinct = row[f"below{i}"], row[f"inside{i}"], row[f"distinct{i}"]
-
-
-def _select(df, values, ranks):
-    """Values at the ranks, from the value counts inside the brackets."""
-    members = F.array(
-        *(F.struct(F.lit(i).alias("id"), r.member(values[r.name]).alias("value")) for i, r in enumerate(ranks))
-    )
-    counts = df.select(F.inline(members)).filter("value is not null").groupBy("id", "value").count()
+        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+
+    def bin(self, value):
+        """Number of the bin, rising with the value. Halves keep the width finite."""
+        width = self.high / 2 - self.low / 2
+        return F.least(F.floor((value / 2 - self.low / 2) / width * BINS), F.lit(BINS - 1)).cast("int")
+
+
+def _exploded(df, values, brackets, make):
+    """Rows (id, ...) of the members of each bracket; make(bracket, value) gives further struct fields."""
+    parts = [
+        F.when(b.member(values[b.name]), F.struct(F.lit(i).alias("id"), *make(b, values[b.name])))
+        for i, b in enumerate(brackets)
+    ]
+    return df.select(F.inline(F.array_compact(F.array(*parts))))
+
+
+def _divide(df, values, brackets):
+    """The non-empty bins of each bracket, in order, as brackets of their own."""
+    rows = _exploded(df, values, brackets, lambda b, v: (b.bin(v).alias("bin"), v.alias("value")))
+    found = rows.groupBy("id", "bin").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    parts = {b: [] for b in brackets}
+    below = [b.below for b in brackets]
+    for row in sorted(found.collect(), key=lambda r: (r["id"], r["bin"])):
+        bracket = brackets[row["id"]]
+        parts[bracket].append(_Bracket(bracket.name, row["lo"], row["hi"], below[row["id"]], row["n"]))
+        below[row["id"]] += row["n"]
+    return parts
+
+
+def _ranked(df, values, wanted):
+    """{(name, rank): value} for ranks in brackets with few rows."""
+    brackets = sorted({b for b in wanted.values()}, key=lambda b: (b.name, b.below))
+    rows = _exploded(df, values, brackets, lambda b, v: (v.alias("value"),)).groupBy("id", "value").count()
     running = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wanted = F.element_at(F.array(*(F.lit(r.rank - r.below) for r in ranks)), F.col("id") + 1)
+    ranks = {i: sorted({rank - b.below for (n, rank), w in wanted.items() if w == b}) for i, b in enumerate(brackets)}
+    asked = F.array(*(F.array(*map(F.lit, ranks[i])) for i in range(len(brackets))))
     upto = F.col("upto")
-    rows = (
-        counts.withColumn("upto", F.sum("count").over(running))
-        .filter((wanted < upto) & (wanted >= upto - F.col("count")))
-        .select("id", "value")
-        .collect()
+    counted = rows.withColumn("upto", F.sum("count").over(running)).select(
+        "id", "value", "upto", "count", F.explode(asked[F.col("id")]).alias("rank")
     )
-    return {row["id"]: row["value"] for row in rows}
+    found = counted.filter((F.col("rank") < upto) & (F.col("rank") >= upto - F.col("count"))).collect()
+    at = {(row["id"], row["rank"]): row["value"] for row in found}
+    return {key: at[brackets.index(b), key[1] - b.below] for key, b in wanted.items()}
+
+
+def _infinite(name, rank, row, i):
+    """Infinities have no place in bins: ranks among them are known at once."""
+    if rank < row[f"neg{i}"]:
+        return -math.inf
+    if rank >= row[f"neg{i}"] + row[f"fin{i}"]:
+        return math.inf
+    return None
 
 
-def exact_quantiles(df, values, probabilities):
+def exact_quantiles(df, values, probabilities, small_rows=SMALL_ROWS):
     """{name: [quantile, ...]} with linear interpolation; None for a column without values."""
     extent = []
     for i, value in enumerate(values.values()):
-        extent += [F.count(value).alias(f"n{i}"), F.min(value).alias(f"lo{i}"), F.max(value).alias(f"hi{i}")]
+        finite = F.when(F.abs(value) < math.inf, value)
+        extent += [
+            F.count(value).alias(f"n{i}"), F.count(F.when(value == -math.inf, 1)).alias(f"neg{i}"),
+            F.count(finite).alias(f"fin{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
+        ]
     row = df.agg(*extent).first()
     sizes = {name: row[f"n{i}"] for i, name in enumerate(values)}
-    ranks = {}
+    at, wanted = {}, {}
     for i, name in enumerate(values):
         for p in probabilities if sizes[name] else ():
             position = (sizes[name] - 1) * p
             for rank in {math.floor(position), math.ceil(position)}:
-                start = _Rank(name, rank, row[f"lo{i}"], row[f"hi{i}"], 0, sizes[name], sizes[name])
-                ranks[name, rank] = start
+                known = _infinite(name, rank, row, i)
+                if known is not None:
+                    at[name, rank] = known
+                else:
+                    wanted[name, rank] = _Bracket(name, row[f"lo{i}"], row[f"hi{i}"], row[f"neg{i}"], row[f"fin{i}"])
     for _ in range(MAX_PASSES):
-        pending = [key for key, r in ranks.items() if r.needs_narrowing()]
-        if not pending:
+        brackets = sorted({b for b in wanted.values() if b.open(small_rows)}, key=lambda b: (b.name, b.below))
+        if not brackets:
             break
-        for key, narrowed in zip(pending, _narrow(df, values, [ranks[k] for k in pending])):
-            ranks[key] = narrowed
-    ordered = list(ranks)
-    chosen = _select(df, values, [ranks[k] for k in ordered]) if ordered else {}
-    at = {key: chosen[i] for i, key in enumerate(ordered)}
-    result = {}
-    for name in values:
-        quantiles = []
-        for p in probabilities:
-            if not sizes[name]:
-                quantiles.append(None)
-                continue
-            position = (sizes[name] - 1) * p
-            low, high = at[name, math.floor(position)], at[name, math.ceil(position)]
-            quantiles.append(low + (high - low) * (position - math.floor(position)))
-        result[name] = quantiles
-    return result
+        parts = _divide(df, values, brackets)
+        for (name, rank), b in wanted.items():
+            if b in parts:
+                wanted[name, rank] = next(p for p in parts[b] if p.below <= rank < p.below + p.inside)
+    at |= {key: b.low for key, b in wanted.items() if b.low == b.high}
+    rest = {key: b for key, b in wanted.items() if b.low != b.high}
+    at |= _ranked(df, values, rest) if rest else {}
+
+    def quantile(name, p):
+        position = (sizes[name] - 1) * p
+        low, high = at[name, math.floor(position)], at[name, math.ceil(position)]
+        return low if low == high else low + (high - low) * (position - math.floor(position))
+
+    return {name: [quantile(name, p) if sizes[name] else None for p in probabilities] for name in values}
 
 
 def quantile_columns(df, values, probabilities, small_rows=SMALL_ROWS):
     """{name: array-of-quantiles column} to use beside other aggregates of the same table."""
     if df.count() <= small_rows:
         return {name: F.percentile(value, list(probabilities)) for name, value in values.items()}
-    exact = exact_quantiles(df, values, probabilities)
+    exact = exact_quantiles(df, values, probabilities, small_rows)
     return {name: F.array(*(F.lit(q).cast("double") for q in found)) for name, found in exact.items()}

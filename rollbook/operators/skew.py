@@ -7,10 +7,10 @@ from operator import and_
 
 from pyspark.sql import functions as F
 
-# A group is split when it has at least this many rows and at least 1/1000 of all rows; there are at most 1000 such groups,
-# which is what makes their broadcast safe at any size.
+# Groups with at least this many rows are split, the largest ones first. No more than MAX_HOT_GROUPS are, which bounds what is
+# broadcast at any data size; a group beyond them is joined like the small ones.
 HOT_ROWS = 200_000
-HOT_SHARE = 1000
+MAX_HOT_GROUPS = 1000
 SPLITS = 64
 
 
@@ -20,18 +20,16 @@ def attach_groups(rows, groups, keys, size, how="left", hot_rows=HOT_ROWS):
     size names the column of groups with each group's row count. Rows of large groups get one of SPLITS salts, and those
     groups are repeated once per salt; small groups are joined as they are. Group columns other than keys are added.
     """
-    floor = groups.agg((F.sum(size) / HOT_SHARE).alias("floor")).scalar()
-    large = (F.col(size) >= hot_rows) & (F.col(size) >= floor)
-    hot_keys = groups.filter(large).select(*(F.col(k).alias(f"_hot_{k}") for k in keys))
-    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
-    tagged = rows.join(F.broadcast(hot_keys.withColumn("_hot", F.lit(True))), same, "left")
+    largest = groups.filter(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(MAX_HOT_GROUPS)
+    hot = F.broadcast(largest.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.lit(True).alias("_hot")))
+    is_hot = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
+    unmarked = ["_hot", *(f"_hot_{k}" for k in keys)]
     # The salt is a function of the row and its input partition, so a task that runs again salts alike.
     spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)) + F.spark_partition_id(), F.lit(SPLITS))
-    salt = F.when(F.col("_hot"), spread).otherwise(0).cast("int")
-    left = tagged.withColumn("_salt", salt).drop("_hot", *(f"_hot_{k}" for k in keys))
-    salts = F.when(large, F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    right = groups.withColumn("_salt", F.explode(salts))
+    left = rows.join(hot, is_hot, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0).cast("int"))
+    every_salt = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
+    right = groups.join(hot, is_hot, "left").withColumn("_group_salt", F.explode(every_salt)).drop(*unmarked)
     right = right.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in right.columns if c not in keys))
     on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
-    joined = left.join(right.withColumnRenamed("_salt", "_group_salt"), on & (F.col("_salt") == F.col("_group_salt")), how)
+    joined = left.drop(*unmarked).join(right, on & (F.col("_salt") == F.col("_group_salt")), how)
     return joined.drop("_salt", "_group_salt", *(f"_key_{k}" for k in keys))

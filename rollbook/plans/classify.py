@@ -14,7 +14,9 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from rollbook.functions.missing import as_text, type_of
-from rollbook.functions.text import clean_cell, company_match, has_term, norm_company, norm_title
+from rollbook.functions.text import (
+    company_match, filled_cell, fold_company_name, has_term, norm_company, norm_title, respell_company,
+)
 from rollbook.operators.columns import canonical_column, find_column, person_column
 from rollbook.operators.sampling import col, data_columns
 from rollbook.plans import phrases as V
@@ -447,29 +449,33 @@ def descriptor_columns(columns):
 
 
 def prepared(df, profile=None):
-    """Add the folded texts all rules read. Missing columns count as empty."""
+    """Add the folded texts all rules read. Missing columns and cells count as empty.
+
+    Each step reads columns of the step before, so that no regular expression runs twice on a row.
+    """
     columns = data_columns(df)
 
     def cell(name):
-        return clean_cell(as_text(col(name), type_of(df, name))) if name else F.lit("")
+        return as_text(col(name), type_of(df, name)) if name else F.lit(None).cast("string")
 
     title, employer = (person_column(columns, f, profile) for f in ("occupation", "employer"))
-    described = [cell(name) for name in descriptor_columns(columns)]
-    texts = df.withColumns(
+    described = [filled_cell(cell(name)) for name in descriptor_columns(columns)]
+    cells = df.withColumns(
         {
-            "_title_text": cell(title),
-            "_employer_text": cell(employer),
+            "_title_text": filled_cell(cell(title)),
+            "_employer_text": filled_cell(cell(employer)),
             "_descriptor_text": F.concat_ws(" ", *described) if described else F.lit(""),
         }
     )
-    return texts.withColumns(
+    folded = cells.withColumns(
         {
             "_title": norm_title(F.col("_title_text")),
             "_employer": norm_title(F.col("_employer_text")),
             "_descriptor": norm_title(F.col("_descriptor_text")),
-            "_company": norm_company(F.col("_employer_text")),
+            "_company": fold_company_name(F.col("_employer_text")),
         }
     )
+    return folded.withColumn("_company", respell_company(F.col("_company")))
 
 
 def _with_signals(df, s):
@@ -516,23 +522,32 @@ def match_industry(df, industry, taxonomies=SEED, profile=None):
     )
 
 
-def classify(df, spec, taxonomies=SEED, profile=None, details=True):
-    """Add classification, count_as_match, confidence, reason and, with details, the profile and its signals."""
-    s = Signals(taxonomies)
-    candidates = []
-    for i, industry in enumerate(spec.industries):
-        found = industry_outcome(s, industry, spec)
-        candidates.append(
-            F.struct(
-                found["rank"].alias("rank"), found["confidence"].alias("confidence"), F.lit(-i).alias("order"),
-                found["classification"].alias("classification"), found["reason"].alias("reason"),
-                F.lit(industry_key(industry)).alias("industry"),
-            )
+def _best_outcome(industries):
+    """The outcome of highest rank, then confidence; of equals the industry asked for first."""
+
+    def candidate(i, industry):
+        found = F.col(f"_o{i}")
+        return F.struct(
+            found["rank"].alias("rank"), found["confidence"].alias("confidence"), F.lit(-i).alias("order"),
+            found["classification"].alias("classification"), found["reason"].alias("reason"),
+            F.lit(industry_key(industry)).alias("industry"),
         )
-    nothing = F.struct(
-        F.lit(0).alias("rank"), F.lit(0.0).alias("confidence"), F.lit(1).alias("order"), F.lit(NON_MATCH).alias("classification"),
+
+    candidates = [candidate(i, industry) for i, industry in enumerate(industries)]
+    if len(candidates) == 1:
+        return candidates[0]
+    if candidates:
+        return F.greatest(*candidates)
+    return F.struct(
+        F.lit(0).alias("rank"), F.lit(0.0).alias("confidence"), F.lit(0).alias("order"), F.lit(NON_MATCH).alias("classification"),
         F.lit("no industry was asked for").alias("reason"), F.lit("").alias("industry"),
     )
+
+
+def classify(df, spec, taxonomies=SEED, profile=None, details=True):
+    """Add classification, count_as_match, confidence, reason and, with details, the profile and its signals."""
+    s = Signals(taxonomies)
+    outcomes = {f"_o{i}": industry_outcome(s, industry, spec) for i, industry in enumerate(spec.industries)}
     growth = s.label("technology") if "marketing_growth" in spec.functions else F.lit(False)
     asked = {name: s.function(name) for name in spec.functions}
     required = {name: _shows(s, name) for name in spec.required}
@@ -543,8 +558,9 @@ def classify(df, spec, taxonomies=SEED, profile=None, details=True):
     facets = _profile_columns(s) if details else {}
 
     rows = _with_signals(prepared(df, profile), s)
-    best = F.greatest(nothing, *candidates) if candidates else nothing
-    rows = rows.withColumn("_best", best)
+    # Outcomes become columns before they are compared, so that each rule chain is one expression.
+    rows = rows.withColumns(outcomes) if outcomes else rows
+    rows = rows.withColumn("_best", _best_outcome(spec.industries))
     result = F.struct("_best.rank", "_best.confidence", "_best.classification", "_best.reason")
     steps = []
     if asked:

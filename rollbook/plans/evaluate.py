@@ -90,24 +90,19 @@ def _result_emails(rows):
     return row_email_tokens([(col(n), type_of(rows, n)) for n in names]) if names else None
 
 
-def lookup(rows, table, keys, base=None):
+def lookup(rows, table, keys):
     """Left join with a table unique on keys, even when many rows share a key.
 
     Row counts per key meet the table first, where every key occurs once; the result goes back to the rows by way of
-    attach_groups, which spreads large keys. In a chain of lookups base names the table to count in, so that no step
-    repeats the ones before it.
+    attach_groups, which spreads large keys.
     """
-    sizes = (rows if base is None else base).groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     renamed = table.select(*(F.col(k).alias(f"_t_{k}") for k in keys), *(c for c in table.columns if c not in keys))
     on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys))
     groups = sizes.join(renamed, on, "left").drop(*(f"_t_{k}" for k in keys))
     return attach_groups(rows, groups, keys, "_size").drop("_size")
 
 
-def _counts(gold, *keys, name):
-    return gold.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-
 IDENTITY = (NAME, "_employer", "_title", "_addresses")
 PATTERN = (NAME, "match_employer", "match_title")
 
@@ -130,21 +125,23 @@ def match_gold(rows, gold):
     """
     identities = rows.select(*(v.alias(n) for n, v in _features(rows, _result_emails(rows)).items()))
     grouped = identities.filter(F.col(NAME) != "").groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("result_rows"))
-    distinct = left = checkpointed(grouped)
+    left = checkpointed(grouped)
     known = _gold_identities(gold)
-    # Every count comes from a table of distinct keys; none depends on the one before it.
-    for keys, name in (
-        ((NAME,), "_n"),
-        ((NAME, "_employer"), "_n_e"),
-        ((NAME, "_title"), "_n_t"),
-        ((NAME, "_employer", "_title"), "_n_et"),
-    ):
-        left = lookup(left, _counts(known, *keys, name=name), list(keys), base=distinct)
+    counts = _variants(known).groupBy(*PATTERN).agg(F.count(F.lit(1)).alias("_n"))
+    # Each identity asks for the gold rows of its four patterns at once; the answers come back together under the identity.
+    asked = lookup(_variants(left), counts, list(PATTERN))
+    e_free, t_free = F.col("match_employer").isNull(), F.col("match_title").isNull()
+    answers = asked.groupBy(*IDENTITY, "result_rows").agg(
+        F.max(F.when(e_free & t_free, F.col("_n"))).alias("_n"),
+        F.max(F.when(~e_free & t_free, F.col("_n"))).alias("_n_e"),
+        F.max(F.when(e_free & ~t_free, F.col("_n"))).alias("_n_t"),
+        F.max(F.when(~e_free & ~t_free, F.col("_n"))).alias("_n_et"),
+    )
     by_employer = (F.col("_employer") != "") & F.col("_n_e").isNotNull()
     title_count = F.when(by_employer, F.col("_n_et")).otherwise(F.col("_n_t"))
     by_title = (F.col("_title") != "") & title_count.isNotNull()
     gold_rows = F.when(by_title, title_count).when(by_employer, F.col("_n_e")).otherwise(F.col("_n"))
-    found = left.filter("_n is not null").select(
+    found = answers.filter("_n is not null").select(
         *IDENTITY, "result_rows",
         F.when(by_employer, F.col("_employer")).alias("match_employer"),
         F.when(by_title, F.col("_title")).alias("match_title"),

@@ -20,7 +20,6 @@ from rollbook.sources.files import ROW_ID
 
 SAMPLE = 30
 MAX_YEAR_AHEAD = 10
-CANDIDATES = "source string, ordinal int, canonical_field string, confidence double, method string, evidence string"
 
 
 def _type_word(data_type):
@@ -57,19 +56,22 @@ def column_metadata(df, samples=3, row_id=ROW_ID):
     return summary.join(listed, "column", "left")
 
 
+def _literal_rows(spark, names, rows):
+    """A small table whose rows are part of the query."""
+    cells = (F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows)
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*cells)))
+
+
 def _columns_table(df):
-    names = data_columns(df)
-    return df.sparkSession.createDataFrame([(n, i, compact(n)) for i, n in enumerate(names)], "source string, ordinal int, header string")
+    rows = [(n, i, compact(n)) for i, n in enumerate(data_columns(df))]
+    return _literal_rows(df.sparkSession, ("source", "ordinal", "header"), rows)
 
 
 def header_candidates(df):
     """Candidates from headers alone: aliases exactly or in compact form, and header shapes."""
-    spark = df.sparkSession
     headers = _columns_table(df)
-    aliases = spark.createDataFrame(
-        [(field, alias, compact(alias)) for field, names in R.FIELD_ALIASES.items() for alias in names],
-        "canonical_field string, alias string, alias_header string",
-    )
+    known = [(field, alias, compact(alias)) for field, names in R.FIELD_ALIASES.items() for alias in names]
+    aliases = _literal_rows(df.sparkSession, ("canonical_field", "alias", "alias_header"), known)
     by_alias = (
         headers.join(aliases, headers.header == aliases.alias_header)
         .groupBy("source", "ordinal", "canonical_field")

@@ -17,6 +17,8 @@ def tuned_session(master=None, name="rollbook", **settings):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # The JVM does not compile methods above 8000 bytes. Above the limit Spark drops whole-stage code for smaller methods.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
