@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import listed, query, rounded
 from checks.rows import group, predicate
-from checks.sql import blank, emails, has, norm
+from checks.sql import blank, emails, has, moment, norm
 from checks.views import people, people_sql, table
 from rollbook.operators.predicates import compile_group
 from rollbook.plans import classify as K
@@ -49,9 +49,52 @@ def column_metadata(spark, sf_dir):
     return listed(M.column_metadata(people(spark, sf_dir).select("grad_year", "alt_email", "_row_id")), "sample_values")
 
 
-@query("sample_candidates")
+def _rate(cell, test, sample=30):
+    """Share of the first present values, blanks left out, that pass a test on v."""
+    first = f"SELECT {cell} AS v, person_id FROM people_v WHERE {cell} IS NOT NULL ORDER BY person_id LIMIT {sample}"
+    return f"(SELECT avg(({test})::INT) FROM ({first}) WHERE trim(v) <> '')"
+
+
+_P_MAIL, _Q_MAIL = "'p' || person_id || '@alpha.edu'", "'q' || person_id || '@example.org'"
+_HAS_MAIL = f"len({emails('v')}) > 0"
+_IS_NUMBER = "try_cast(regexp_replace(v, '[$,%\\s]', '', 'g') AS DOUBLE) IS NOT NULL"
+# Source, position, field, confidence, and the condition under which the cells speak for the field.
+_CELL_RULES = (
+    ("PREF_EML", 4, "email", 0.88, f"{_rate(_P_MAIL, _HAS_MAIL)} >= 0.85"),
+    ("ALT_EML", 5, "email", 0.88, f"{_rate(_Q_MAIL, _HAS_MAIL)} >= 0.85"),
+    ("CLASS_CD", 6, "grad_year", 0.84, _rate("grad_year::VARCHAR", "v::INT BETWEEN 1900 AND 2035") + " >= 0.85"),
+    ("LINK", 7, "linkedin_url", 0.82, _rate("'https://linkedin.com/in/p' || person_id", "contains(v, 'linkedin.com/')") + " >= 0.8"),
+    ("LT_GIFT_AMT", 11, "lifetime_giving", 0.76, _rate("giving", _IS_NUMBER) + " >= 0.85"),
+    ("LAST_CONTACT_DT", 12, "last_contact_date", 0.79, _rate("last_contact", f"{moment('v')} IS NOT NULL") + " >= 0.8"),
+    ("DNC", 13, "do_not_contact", 0.82, _rate("do_not_contact", "lower(v) IN ('yes', 'no', 'y', 'n', '1', '0')") + " >= 0.9"),
+)
+_CELLS_SQL = " UNION ALL ".join(
+    f"SELECT '{s}' AS source, {o} AS ordinal, '{f}' AS canonical_field, {c}::DOUBLE AS confidence, 'sample_inference' AS method WHERE {w}"
+    for s, o, f, c, w in _CELL_RULES
+)
+_HEADERS_SQL = " UNION ALL ".join(
+    f"SELECT '{s}' AS source, {o} AS ordinal, '{f}' AS canonical_field, {c}::DOUBLE AS confidence, '{m}' AS method"
+    for s, o, f, c, m in (
+        ("F_NM", 0, "first_name", 0.91, "header_heuristic"), ("L_NM", 1, "last_name", 0.91, "header_heuristic"),
+        ("BUS_NM", 2, "employer", 0.86, "header_heuristic"), ("City", 9, "city", 0.99, "exact_alias"),
+        ("CLASS_CD", 6, "grad_year", 0.82, "header_heuristic"),
+        ("Home City", 10, "city", 0.99, "exact_alias"), ("LT_GIFT_AMT", 11, "lifetime_giving", 0.90, "header_heuristic"),
+        ("LAST_CONTACT_DT", 12, "last_contact_date", 0.92, "header_heuristic"), ("DNC", 13, "do_not_contact", 0.99, "exact_alias"),
+    )
+)
+_SCHEMA_CTES = (
+    f"cand AS (SELECT source, ordinal, canonical_field, max(confidence) AS confidence, arg_max(method, confidence) AS method FROM ({_HEADERS_SQL} UNION ALL {_CELLS_SQL}) GROUP BY 1, 2, 3)",
+    "best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, canonical_field) = 1)",
+    "prof AS (SELECT canonical_field, string_agg(source, '|' ORDER BY confidence DESC, ordinal) AS source_columns, min(confidence) AS confidence, "
+    "CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'combined_inference' END AS method, count(*) AS n FROM best GROUP BY 1 HAVING count(*) = 1 OR canonical_field IN ('email', 'phone'))",
+    "labelled AS (SELECT canonical_field, source_columns, confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS label, method, false AS user_confirmed, n FROM prof)",
+)
+_PROFILE_COLUMNS = "canonical_field, source_columns, confidence, label, method, user_confirmed"
+
+
+@query("sample_candidates", people_sql(f"SELECT * FROM ({_CELLS_SQL})"))
 def sample_candidates(spark, sf_dir):
-    return M.sample_candidates(opaque(spark, sf_dir), this_year=2025)
+    return M.sample_candidates(opaque(spark, sf_dir), this_year=2025).drop("evidence")
 
 
 @query("sample_rates", people_sql(
@@ -63,21 +106,30 @@ def sample_rates(spark, sf_dir):
     return rounded(rates.select("column", "filled", "boolean_rate", "email_rate"), 6, "email_rate")
 
 
-@query("infer_schema")
+@query("infer_schema", people_sql(f"SELECT {_PROFILE_COLUMNS} FROM labelled", *_SCHEMA_CTES))
 def infer_schema(spark, sf_dir):
-    return M.infer_schema(opaque(spark, sf_dir), this_year=2025)
+    return listed(M.infer_schema(opaque(spark, sf_dir), this_year=2025), "source_columns")
 
 
-@query("schema_conflicts")
+@query("schema_conflicts", people_sql(
+    "SELECT 'single_field_multiple_sources' AS type, canonical_field AS canonical_fields, string_agg(source, '|' ORDER BY confidence DESC, ordinal) AS source_columns FROM best "
+    "WHERE canonical_field NOT IN ('email', 'phone') GROUP BY canonical_field HAVING count(*) > 1",
+    *_SCHEMA_CTES,
+))
 def schema_conflicts(spark, sf_dir):
-    return M.schema_conflicts(opaque(spark, sf_dir).withColumn("Title", F.col("BUS_POS")).withColumn("Role", F.col("BUS_POS")), this_year=2025)
+    return listed(M.schema_conflicts(opaque(spark, sf_dir), this_year=2025), "canonical_fields", "source_columns")
 
 
-@query("merge_profile")
+@query("merge_profile", people_sql(
+    f"SELECT {_PROFILE_COLUMNS} FROM labelled WHERE canonical_field NOT IN ('employer', 'occupation') UNION ALL "
+    "SELECT 'employer', 'BUS_NM', 1.0::DOUBLE, 'high', 'user_confirmed', true UNION ALL SELECT 'occupation', 'BUS_POS', 1.0::DOUBLE, 'high', 'user_confirmed', true",
+    *_SCHEMA_CTES,
+))
 def merge_profile(spark, sf_dir):
     df = opaque(spark, sf_dir)
     confirmed = M.validate_mapping({"employer": ["BUS_NM"], "occupation": ["BUS_POS"]}, df.columns)
-    return M.merge_profile(M.infer_schema(df, this_year=2025), M.confirmed_profile(spark, confirmed))
+    merged = M.merge_profile(M.infer_schema(df, this_year=2025), M.confirmed_profile(spark, confirmed))
+    return listed(merged, "source_columns")
 
 
 @query("apply_mapping", people_sql(
@@ -97,7 +149,11 @@ def semantic_columns(spark, sf_dir):
     return df.select("person_id", *M.semantic_columns(df, "email"))
 
 
-@query("schema_summary")
+@query("schema_summary", people_sql(
+    f"SELECT count(*) AS schema_mapped_count, cast(0 AS BIGINT) AS schema_confirmed_count, cast({len(OPAQUE)} - sum(n) AS BIGINT) AS schema_unmapped_count, "
+    "(SELECT count(*) FROM (SELECT canonical_field FROM best WHERE canonical_field <> 'email' GROUP BY 1 HAVING count(*) > 1)) AS schema_conflict_count FROM labelled",
+    *_SCHEMA_CTES,
+))
 def schema_summary(spark, sf_dir):
     df = opaque(spark, sf_dir)
     profile = M.infer_schema(df, this_year=2025)

@@ -22,7 +22,7 @@ PICKED = ["person_id", "first_name", "email", "giving", "manager", "city"]
 def csv_scan(spark, sf_dir):
     path = f"{shared_folder(spark)}/people-{uuid.uuid4().hex}"
     files.write_csv(people(spark, sf_dir).select(*PICKED), path)
-    return files.read_csv(spark, path).select(*PICKED)
+    return files.read_csv(spark, path, multiline=False).select(*PICKED)
 
 
 @query("null_tokens", people_sql(

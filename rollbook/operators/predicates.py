@@ -49,10 +49,10 @@ def relative_boundary(days, now=None):
     if isinstance(days, bool) or not isinstance(days, int) or not 0 <= days <= MAX_RELATIVE_DAYS:
         raise PredicateError(f"Days must be a whole number from 0 to {MAX_RELATIVE_DAYS}.")
     today = now if now is not None else datetime.now(timezone.utc).date()
-    return _date_value(today) - timedelta(days=days)
+    return date_value(today) - timedelta(days=days)
 
 
-def _number_value(value):
+def number_value(value):
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         return float(value)
     text = str(value).strip()
@@ -70,7 +70,7 @@ VALUE_DATE_FORMATS = (
 )
 
 
-def _date_value(value):
+def date_value(value):
     if isinstance(value, datetime):
         return (value.astimezone(timezone.utc) if value.tzinfo else value).date()
     if isinstance(value, date):
@@ -81,7 +81,7 @@ def _date_value(value):
         except ValueError:
             continue
     try:
-        return _date_value(datetime.fromisoformat(str(value).strip()))
+        return date_value(datetime.fromisoformat(str(value).strip()))
     except ValueError:
         raise PredicateError(f"{value!r} is not a date.") from None
 
@@ -101,7 +101,7 @@ def _typed_values(operator, values):
     if operator in EXACTLY_TWO and len(values) != 2:
         raise PredicateError(f"'{operator}' takes exactly two values.")
     if operator in NUMERIC or operator in DATED:
-        typed = [_number_value(v) if operator in NUMERIC else _date_value(v) for v in values]
+        typed = [number_value(v) if operator in NUMERIC else date_value(v) for v in values]
         if operator in EXACTLY_TWO and typed[0] > typed[1]:
             raise PredicateError("The lower bound exceeds the upper bound.")
         return typed

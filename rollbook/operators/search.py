@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.dates import lenient_moment
 from rollbook.functions.missing import as_text, is_blank, is_text, type_of
 from rollbook.operators.columns import resolve_column, searchable_columns
-from rollbook.operators.predicates import _date_value
+from rollbook.operators.predicates import date_value
 from rollbook.operators.sampling import col, date_like_columns
 from rollbook.sources.files import ROW_ID
 
@@ -48,7 +48,7 @@ def date_range_filter(df, column, start=None, end=None, row_id=ROW_ID):
     kind = "timestamp_ntz" if is_text(data_type) else data_type.simpleString()
 
     def bound(value):
-        return F.lit(str(value) if " " in str(value) or "T" in str(value) else str(_date_value(value))).cast(kind)
+        return F.lit(str(value) if " " in str(value) or "T" in str(value) else str(date_value(value))).cast(kind)
 
     rows = df
     if start is not None:

@@ -49,8 +49,8 @@ def null_tokens(df, tokens=NA_TOKENS, columns=None):
     return df.select(*projected)
 
 
-def read_csv(spark, path, multiline=False, trim_cells=False, na_tokens=None):
-    """A headed CSV as text columns. Quoted line breaks need multiline=True, which stops files from being split."""
+def read_csv(spark, path, multiline=True, trim_cells=False, na_tokens=None):
+    """A headed CSV as text columns. With multiline=False, large files without quoted line breaks are split over tasks."""
     header = (
         spark.read.option("header", False).option("multiLine", multiline).option("escape", '"').csv(path).limit(1)
     )
