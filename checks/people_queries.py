@@ -523,6 +523,15 @@ def people_filter(spark, sf_dir):
     return H.people_filter(app_view(people(spark, sf_dir)), TECH_SPEC)
 
 
+@query("people_filter_employer", people_sql(
+    "SELECT 'counted' AS bucket, min(person_id) AS _row_id FROM h GROUP BY pk UNION ALL SELECT 'direct', max(person_id) FROM h GROUP BY pk",
+    FOLDED, f"h AS (SELECT *, {PERSON} AS pk FROM f WHERE {_company(['Goldman Sachs', 'Capital One'])})",
+))
+def people_filter_employer(spark, sf_dir):
+    spec = K.QuerySpec(employers=("Goldman Sachs", "Capital One"))
+    return H.people_filter(app_view(people(spark, sf_dir)), spec).select("bucket", "_row_id")
+
+
 @query("people_metrics", people_sql(
     "SELECT (SELECT count(*) FROM people_v) AS total_rows, count(c) AS total_matches, count(d) AS direct_count, count(a) AS adjacent_count, count(u) AS uncertain_count, cast(0 AS BIGINT) AS adjacent_included_count FROM q",
     *_judged(TECH),

@@ -32,6 +32,11 @@ def _search(df, p, require_all=False):
 
 def _spec(p):
     wanted = p.get("people_filter") or {}
+    kind = wanted.get("filter_type") or "industry"
+    if kind == "employer":
+        return QuerySpec(employers=tuple(wanted["employer_terms"]))
+    if kind == "occupation":
+        return QuerySpec(titles=tuple(wanted["occupation_terms"]))
     industries = wanted.get("industries") or [wanted.get("industry") or "tech"]
     return QuerySpec(
         industries=tuple(industries),

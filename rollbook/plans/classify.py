@@ -35,7 +35,10 @@ DESCRIPTOR_MARKS = (
 
 @dataclass(frozen=True)
 class QuerySpec:
-    """Which industries are asked for, and what else a match must or must not show."""
+    """Which industries are asked for, and what else a match must or must not show.
+
+    employers or titles ask for people of named employers or with certain titles instead of an industry.
+    """
 
     industries: tuple = ()
     required: tuple = ()
@@ -44,6 +47,8 @@ class QuerySpec:
     excluded_functions: tuple = ()
     include_adjacent: bool = False
     scope: str = "industry"
+    employers: tuple = ()
+    titles: tuple = ()
 
 
 @dataclass
@@ -522,6 +527,14 @@ def match_industry(df, industry, taxonomies=SEED, profile=None):
     )
 
 
+def _outcomes(s, spec):
+    """What is asked for, and the outcome for each."""
+    for terms, test, reason in ((spec.employers, s.company, "employer was asked for"), (spec.titles, s.title, "title was asked for")):
+        if terms:
+            return [("", decide([(test(*terms), outcome(DIRECT, 1.0, reason))], outcome(NON_MATCH, 0.0, NO_EVIDENCE)))]
+    return [(industry, industry_outcome(s, industry, spec)) for industry in spec.industries]
+
+
 def _best_outcome(industries):
     """The outcome of highest rank, then confidence; of equals the industry asked for first."""
 
@@ -547,7 +560,8 @@ def _best_outcome(industries):
 def classify(df, spec, taxonomies=SEED, profile=None, details=True):
     """Add classification, count_as_match, confidence, reason and, with details, the profile and its signals."""
     s = Signals(taxonomies)
-    outcomes = {f"_o{i}": industry_outcome(s, industry, spec) for i, industry in enumerate(spec.industries)}
+    asked_for = _outcomes(s, spec)
+    outcomes = {f"_o{i}": found for i, (_, found) in enumerate(asked_for)}
     growth = s.label("technology") if "marketing_growth" in spec.functions else F.lit(False)
     asked = {name: s.function(name) for name in spec.functions}
     required = {name: _shows(s, name) for name in spec.required}
@@ -560,7 +574,7 @@ def classify(df, spec, taxonomies=SEED, profile=None, details=True):
     rows = _with_signals(prepared(df, profile), s)
     # Outcomes become columns before they are compared, so that each rule chain is one expression.
     rows = rows.withColumns(outcomes) if outcomes else rows
-    rows = rows.withColumn("_best", _best_outcome(spec.industries))
+    rows = rows.withColumn("_best", _best_outcome([industry for industry, _ in asked_for]))
     result = F.struct("_best.rank", "_best.confidence", "_best.classification", "_best.reason")
     steps = []
     if asked:

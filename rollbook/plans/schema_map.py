@@ -57,9 +57,15 @@ def column_metadata(df, samples=3, row_id=ROW_ID):
 
 
 def _literal_rows(spark, names, rows):
-    """A small table whose rows are part of the query."""
-    cells = (F.struct(*(F.lit(v).alias(n) for n, v in zip(names, row))) for row in rows)
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*cells)))
+    """A small table whose rows are part of the query, so that it needs no scan."""
+
+    def literal(value):
+        if isinstance(value, int):
+            return str(value)
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    listed = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({', '.join(names)})")
 
 
 def _columns_table(df):
@@ -166,8 +172,12 @@ def confidence_label(confidence):
 
 
 def schema_candidates(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
-    """Best candidate per source and field."""
-    both = header_candidates(df).unionByName(sample_candidates(df, sample, row_id, this_year))
+    """Best candidate per source and field.
+
+    There are a few candidates per column of the table, however many rows it has, so they fit one partition and the windows
+    over them need no shuffle.
+    """
+    both = header_candidates(df).unionByName(sample_candidates(df, sample, row_id, this_year)).coalesce(1)
     best = F.max_by(F.struct("method", "evidence"), "confidence")
     merged = both.groupBy("source", "ordinal", "canonical_field").agg(F.max("confidence").alias("confidence"), best.alias("_best"))
     return merged.select("source", "ordinal", "canonical_field", "confidence", "_best.method", "_best.evidence")

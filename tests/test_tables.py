@@ -226,6 +226,11 @@ def test_facade(frame):
     tree = {"logic": "and", "predicates": [{"operator": "greater_than", "columns": ["v"], "values": [1]}]}
     got = run(df, {"type": "filter_predicates", "params": {**tree, "sort": {"column": "v", "direction": "desc"}}})
     assert [r["id"] for r in got.rows.collect()] == ["2", "1"] and got.metrics.first()["matched_row_count"] == 2
+    jobs = {"filter_mode": "people", "people_filter": {"filter_type": "occupation", "occupation_terms": ["lead"]}}
+    assert run(df, {"type": "contains_any", "params": jobs}).metrics.first()["total_matches"] == 2
+    mixed = {"people_operation": {"type": "contains_any", "params": jobs}, **tree}
+    got = run(df, {"type": "composite_people_filter", "params": mixed})
+    assert got.rows.filter("bucket = 'counted'").count() == 1 and got.metrics.first()["direct_count"] == 1
     for bad in ({"type": "drop_table"}, {"type": "top_n", "params": {"column": "nothing here"}}, {"type": "sort_rows", "params": {}}):
         with pytest.raises(ValueError):
             run(df, bad)
