@@ -2,16 +2,17 @@
 
 Spark's percentile() keeps every distinct value of its group in one task. That is fine for small tables and used there.
 On larger ones the values are counted in equal-width bins, each wanted rank picks its bin, and the bin is divided again until
-it holds few rows; only these are ranked. Every pass is one aggregation, combined before its shuffle, for all columns and
-ranks together, and the driver sees at most BINS counts per open bracket.
+it holds few rows; only these are ranked. Every pass is one job for all columns and ranks, whose counts are combined before
+they are shuffled, and the driver sees at most BINS counts per open bracket.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SMALL_ROWS = 100_000
 BINS = 4096
@@ -40,19 +41,25 @@ class _Bracket:
         return F.least(F.floor((value / 2 - self.low / 2) / width * BINS), F.lit(BINS - 1)).cast("int")
 
 
-def _exploded(df, values, brackets, make):
-    """Rows (id, ...) of the members of each bracket; make(bracket, value) gives further struct fields."""
-    parts = [
-        F.when(b.member(values[b.name]), F.struct(F.lit(i).alias("id"), *make(b, values[b.name])))
-        for i, b in enumerate(brackets)
-    ]
-    return df.select(F.inline(F.array_compact(F.array(*parts))))
+def _per_bracket(df, values, brackets, count):
+    """Counts of each bracket's members under its number. A bracket reads one column, with its bounds as a plain filter."""
+
+    def one(i, bracket):
+        members = df.select(values[bracket.name].alias("value")).filter(bracket.member(F.col("value")))
+        return count(members, bracket).select(F.lit(i).alias("id"), "*")
+
+    return reduce(DataFrame.unionAll, (one(i, b) for i, b in enumerate(brackets)))
 
 
 def _divide(df, values, brackets):
     """The non-empty bins of each bracket, in order, as brackets of their own."""
-    rows = _exploded(df, values, brackets, lambda b, v: (b.bin(v).alias("bin"), v.alias("value")))
-    found = rows.groupBy("id", "bin").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+    def bins(members, bracket):
+        return members.groupBy(bracket.bin(F.col("value")).alias("bin")).agg(
+            F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+        )
+
+    found = _per_bracket(df, values, brackets, bins)
     parts = {b: [] for b in brackets}
     below = [b.below for b in brackets]
     for row in sorted(found.collect(), key=lambda r: (r["id"], r["bin"])):
@@ -65,7 +72,7 @@ def _divide(df, values, brackets):
 def _ranked(df, values, wanted):
     """{(name, rank): value} for ranks in brackets with few rows."""
     brackets = sorted({b for b in wanted.values()}, key=lambda b: (b.name, b.below))
-    rows = _exploded(df, values, brackets, lambda b, v: (v.alias("value"),)).groupBy("id", "value").count()
+    rows = _per_bracket(df, values, brackets, lambda members, _: members.groupBy("value").count())
     running = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = {i: sorted({rank - b.below for (n, rank), w in wanted.items() if w == b}) for i, b in enumerate(brackets)}
     asked = F.array(*(F.array(*map(F.lit, ranks[i])) for i in range(len(brackets))))
