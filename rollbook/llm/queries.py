@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rollbook.llm import decontaminate
 from rollbook.llm.exact_dedup import exact_dedup
 
 QUERIES = {}
@@ -33,3 +34,29 @@ def documents(spark, sf_dir):
 )
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup(documents(spark, sf_dir), keep="largest")
+
+
+WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op7_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+         b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+         win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+                 FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+         dw AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+                FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+         hit AS (SELECT dw.doc_id, dw.i, dw.n, win.item_id FROM dw JOIN win USING (n, g)),
+         places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+         items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+                   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY 1)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
+def op7_decontaminate(spark, sf_dir):
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), benchmark))
