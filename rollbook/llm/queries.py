@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rollbook.llm import decontaminate
+from rollbook.llm import decontaminate, licenses, secrets_scan
 from rollbook.llm.exact_dedup import exact_dedup
 
 QUERIES = {}
@@ -60,3 +60,13 @@ WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 def op7_decontaminate(spark, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.digest(decontaminate.decontaminate(documents(spark, sf_dir), benchmark))
+
+
+@query("op4_secrets")
+def op4_secrets(spark, sf_dir):
+    return secrets_scan.digest(secrets_scan.scan_secrets(documents(spark, sf_dir)))
+
+
+@query("op10_licenses")
+def op10_licenses(spark, sf_dir):
+    return licenses.digest(licenses.scan_licenses(documents(spark, sf_dir)))
