@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from rollbook.llm import decontaminate, licenses, secrets_scan
+from pyspark.sql import functions as F
+
+from rollbook.llm import decontaminate, licenses, quality, secrets_scan
 from rollbook.llm.exact_dedup import exact_dedup
 
 QUERIES = {}
@@ -70,3 +72,9 @@ def op4_secrets(spark, sf_dir):
 @query("op10_licenses")
 def op10_licenses(spark, sf_dir):
     return licenses.digest(licenses.scan_licenses(documents(spark, sf_dir)))
+
+
+@query("op3_quality")
+def op3_quality(spark, sf_dir):
+    found = quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
