@@ -29,8 +29,8 @@ def mix(x):
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LOWER_VALUES = _BYTE_VALUES[LOWER]
+BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+_LOWER_VALUES = BYTE_VALUES[LOWER]
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.kernels import _BYTE_VALUES, mix, rolling, span_hash, text_chunks
+from rollbook.llm.kernels import BYTE_VALUES, mix, rolling, span_hash, text_chunks
 from rollbook.llm.shared import texts
 
 BUCKETS = 1 << 13
@@ -39,7 +39,7 @@ def tokens(data, offsets):
     starts, ends = edges[:-1], edges[1:]
     real = kind[starts] > 0 if len(data) else np.zeros(0, bool)
     starts, ends = starts[real], ends[real]
-    return span_hash(rolling(_BYTE_VALUES[data]), starts, ends), np.searchsorted(starts, offsets)
+    return span_hash(rolling(BYTE_VALUES[data]), starts, ends), np.searchsorted(starts, offsets)
 
 
 def index_vectors(hashes):

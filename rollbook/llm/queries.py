@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import decontaminate, licenses, quality, secrets_scan
+from rollbook.llm import bpe, decontaminate, licenses, quality, secrets_scan
 from rollbook.llm.exact_dedup import exact_dedup
 
 QUERIES = {}
@@ -78,3 +78,10 @@ def op10_licenses(spark, sf_dir):
 def op3_quality(spark, sf_dir):
     found = quality.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+@query("op2_bpe")
+def op2_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    return bpe.digest(bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")))
