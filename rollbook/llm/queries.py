@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rollbook.llm import bpe, decontaminate, licenses, quality, secrets_scan
 from rollbook.llm.exact_dedup import exact_dedup
+from rollbook.llm.jaccard_join import jaccard_join
 
 QUERIES = {}
 ORACLES = {}
@@ -85,3 +86,8 @@ def op2_bpe(spark, sf_dir):
     import public_tokenizers
 
     return bpe.digest(bpe.encode_texts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark, sf_dir):
+    return jaccard_join(documents(spark, sf_dir))
