@@ -1,28 +1,70 @@
-"""A corpus from raw documents to token digests, each stage written as Parquet and read again by the next."""
+"""A corpus from raw documents to token digests, each stage written as Parquet and read again by the next.
+
+Rows pass whole, with all their columns. Null texts count as empty everywhere. Rows that repeat an id and its text are copies of
+each other, of which one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rollbook.llm import bpe, decontaminate, quality
 from rollbook.llm.exact_dedup import exact_dedup
+from rollbook.llm.jaccard_join import jaccard_join
 from rollbook.llm.shared import saved
 
 
+def keep_rows(docs, kept):
+    """The rows of docs whose id is among those of `kept` (null counts as an id); rows that repeat id and text stay once."""
+    own = [f"_kept_{k}" for k in range(2)]
+    while set(own) & set(docs.columns):
+        own = [f"_{c}" for c in own]
+    ids = kept.groupBy(F.col("doc_id").alias(own[0])).agg(F.max("rows").alias(own[1]))
+    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids[own[0]])).drop(own[0])
+    once = rows.where(F.col(own[1]) == 1).drop(own[1])
+    again = rows.where(F.col(own[1]) > 1).drop(own[1])  # ids that stand in several rows; there are hardly any
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
+
+
+def good_quality(spark, docs, sf_dir):
+    """Documents that the classifier scores at its threshold or above stay."""
+    vectors, network = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.where(quality.score_column(vectors, network)(F.col("text")) >= quality.THRESHOLD)
+
+
 def exact_copies(spark, docs, sf_dir):
     """Of documents with equal texts the one with the smallest id stays."""
-    return keep_rows(docs, exact_dedup(docs, keep="smallest").where("kept"))
+    found = exact_dedup(docs, keep="smallest").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    return keep_rows(docs, found.where("kept"))
+
+
+def near_copies(spark, docs, sf_dir):
+    """Of each class of documents linked by similarity the one with the smallest id stays."""
+    found = jaccard_join(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    found = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    return keep_rows(docs, found.where("kept"))
+
+
+def clean_of_benchmark(spark, docs, sf_dir):
+    """Documents without any benchmark window stay; one that quotes a benchmark goes whole, rather than with a gap."""
+    hits = decontaminate.hit_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.where(hits(F.col("text")) == 0)
+
 
+def token_digests(spark, docs, sf_dir):
+    """The number and digest of the tokens of each document, and the digest of what they decode to."""
+    import public_tokenizers
 
-def keep_rows(docs, kept, id_col="doc_id"):
-    """The rows of docs whose id is among the kept ones (null counts as an id); rows that repeat id and text stay once."""
-    ids = kept.select(F.col(id_col).alias("_kept")).distinct()
-    rows = docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows
+    return bpe.digest(bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
 #: Name and function of each stage.
 STAGES = [
+    ("quality classifier", good_quality),
     ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("byte-level BPE", token_digests),
 ]
 
 #: The classifier, the path join and the tokenizer can't be stated in SQL; the stages are tested one by one.

@@ -151,6 +151,16 @@ class Shard:
         return batch
 
 
+def send_phrases(benchmark, item_col, item_text_col, window):
+    """The windows of all items, as a broadcast of checked size."""
+    items = texts(benchmark, item_col, item_text_col)
+    size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+    if size > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"The benchmark has {size} characters; split it into parts of at most {MAX_BENCHMARK_BYTES}.")
+    rows = items.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text").collect()
+    return benchmark.sparkSession.sparkContext.broadcast(phrases([r["id"] for r in rows], [r["text"] for r in rows], window))
+
+
 def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text", window=WINDOW):
     """One row per input row: doc_id, n_words, n_hit, spans (merged, of words and of UTF-8 bytes), items (sorted as strings).
 
@@ -160,12 +170,7 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
     length Spark can hold; matches never cross documents. Other columns are not read. The benchmark may have up to
     MAX_BENCHMARK_BYTES of text; a larger one raises, since it is sent to every task.
     """
-    items = texts(benchmark, item_col, item_text_col)
-    size = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"The benchmark has {size} characters; split it into parts of at most {MAX_BENCHMARK_BYTES}.")
-    rows = items.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text").collect()
-    known = docs.sparkSession.sparkContext.broadcast(phrases([r["id"] for r in rows], [r["text"] for r in rows], window))
+    known = send_phrases(benchmark, item_col, item_text_col, window)
 
     def run(batches):
         shard = Shard(known.value)
@@ -185,6 +190,24 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
     return source.mapInArrow(run, schema)
 
 
+def hit_words(benchmark, item_col="item_id", item_text_col="text", window=WINDOW):
+    """A function of a text column that gives the number of hit words, for filters that keep whole rows. Limits as above."""
+    known = send_phrases(benchmark, item_col, item_text_col, window)
+
+    @F.arrow_udf("long")
+    def hits(column: pa.Array) -> pa.Array:
+        shard, counts = Shard(known.value), []
+        for i, j, data, offsets in text_chunks(column):
+            shard.add(pa.nulls(j - i), data, offsets)
+            if shard.size >= SHARD_SYMBOLS:
+                counts.append(shard.result().column("n_hit"))
+        if shard.rows:
+            counts.append(shard.result().column("n_hit"))
+        return pa.concat_arrays(counts) if counts else pa.array([], pa.int64())
+
+    return hits
+
+
 def digest(found):
     """The columns of the report: counts, a hash of the items, and whether anything was hit."""
     return found.select(
