@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontaminate, licenses, quality, secrets_scan
+from rollbook.llm import bpe, decontaminate, licenses, quality, secrets_scan, suffix_dedup
 from rollbook.llm.exact_dedup import exact_dedup
 from rollbook.llm.jaccard_join import jaccard_join
 
@@ -91,3 +91,8 @@ def op2_bpe(spark, sf_dir):
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_join(documents(spark, sf_dir))
+
+
+@query("op5_suffix_dedup")
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(suffix_dedup.suffix_dedup(documents(spark, sf_dir)))
