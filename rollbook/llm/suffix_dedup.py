@@ -310,7 +310,8 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
     wanted = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("gram", "n", "code")).alias("firsts"))
     s, w = source.alias("s"), wanted.alias("w")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
-    shipped = s.join(w, same("s", "w")).select("s.doc_id", "s.tie", "s.text", "w.firsts").mapInArrow(
+    once = s.dropDuplicates(["doc_id", "tie"]).alias("s") if repeated else s
+    shipped = once.join(w, same("s", "w")).select("s.doc_id", "s.tie", "s.text", "w.firsts").mapInArrow(
         ship, schema("gram", "salt", "doc_id", "tie", "code", "bytes")
     )
     marks = (
