@@ -1,9 +1,11 @@
 """Suffix-array dedup: bytes covered by a string of LENGTH bytes that also starts earlier.
 
 1. Every start of a LENGTH-byte string belongs to the least gram (GRAM bytes, by hash, the leftmost of equals) inside its string;
-   equal strings therefore belong to equal grams at the same distance. Only grams that occur twice in the corpus can matter.
-2. The starts of one gram lie side by side. They and the bytes their strings cover are a snippet. Equal snippets are entered once,
-   with their first place; of the other places every string starts earlier.
+   equal strings therefore belong to equal grams at the same distance. The starts of one gram lie side by side; they and the
+   bytes their strings cover are a snippet.
+2. Snippets are shuffled by gram, as hashes. Only grams that occur twice in the corpus matter. Of equal snippets only the first
+   place is looked at further; at the others every string starts earlier. Each task does this for its own batches before the
+   shuffle, so that a third of all documents being copies sends one row for each batch.
 3. Shards hold the snippets of whole grams; a gram with very many places is dealt to several shards. In each shard a suffix array
    (refinement by doubling) and Kasai's common prefixes give the groups of starts with LENGTH bytes in common; the first place of
    a group stays.
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.kernels import BYTE_VALUES, ranges, rolling, span_hash, text_chunks
+from rollbook.llm.kernels import BYTE_VALUES, mix, ranges, rolling, span_hash, text_chunks
 from rollbook.llm.shared import texts
 
 LENGTH = 100
@@ -40,7 +42,7 @@ def suffix_order(data):
     for k in range(7):
         key *= np.uint64(257)
         key[:n - k] += data[k:].astype(np.uint64) + np.uint64(1)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     slots, members, sorted_key, depth = np.arange(n), order, key[order], 7
     rank = np.empty(n, np.int64)
     while True:
@@ -57,7 +59,7 @@ def suffix_order(data):
         key = rank[members] * (n + 1)
         inside = after < n
         key[inside] += rank[after[inside]] + 1
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         members, sorted_key = members[again], key[again]
         order[slots] = members
         depth *= 2
@@ -154,7 +156,7 @@ def true_runs(flags, counts):
 
 
 # A code holds a first start, a number of starts (below 128) and what it means.
-PLACE, FIRST, COVERED = 0, 1, 2
+PLACE, COVERED = 0, 2
 
 
 def code(start, count, meaning):
@@ -162,14 +164,9 @@ def code(start, count, meaning):
 
 
 def covered_runs(codes, length):
-    """Merged byte runs [start, end) from the codes of a document: covered starts, and places that are not the first of theirs."""
-    codes = np.asarray(codes, np.int64)
-    meaning, place = codes & 3, codes >> 2
-    kept = np.concatenate([np.setdiff1d(place[meaning == PLACE], place[meaning == FIRST]), place[meaning == COVERED]])
-    kept.sort()
-    if not len(kept):
-        return kept, kept
-    start, end = kept >> 7, (kept >> 7) + (kept & 127) + length - 1
+    """Merged byte runs [start, end) from the codes of covered starts of a document."""
+    place = np.sort(np.asarray(codes, np.int64)) >> 2
+    start, end = place >> 7, (place >> 7) + (place & 127) + length - 1
     reach = np.maximum.accumulate(end)
     new = np.ones(len(start), bool)
     new[1:] = start[1:] > reach[:-1]
@@ -177,6 +174,42 @@ def covered_runs(codes, length):
     return start[head], reach[np.append(head[1:] - 1, len(start) - 1)]
 
 
+def salted(table, salts, gram=True):
+    """Rows of a table of places with salts (one for all, or one each), with or without their gram."""
+    n = table.num_rows
+    grams = table.column("gram").combine_chunks() if gram else pa.nulls(n, pa.int64())
+    salts = pa.array(np.broadcast_to(np.asarray(salts, np.int32), n))
+    return pa.RecordBatch.from_arrays(
+        [grams, salts, *(table.column(c).combine_chunks() for c in ("doc_id", "tie", "code"))], names=["gram", "salt", "doc_id", "tie", "code"]
+    )
+
+
+class OpenRun:
+    """First places of the gram whose run may go on in the next batch; at most `split` of them are held."""
+
+    def __init__(self, split):
+        self.split, self.gram, self.held, self.left, self.rows = split, None, None, 0, 0
+
+    def add(self, gram, firsts, rows):
+        """More places of a gram: its new first places, and the number of rows they come from."""
+        if gram != self.gram:
+            yield from self.close()
+            self.gram = gram
+        self.rows += rows
+        if self.left == 0:
+            self.held = firsts if self.held is None else pa.concat_tables([self.held, firsts])
+            if self.held.num_rows <= self.split:
+                return
+            firsts, self.held = self.held, None
+        yield salted(firsts, (self.left + np.arange(firsts.num_rows)) // self.split)
+        self.left += firsts.num_rows
+
+    def close(self):
+        if self.held is not None and self.rows > 1:
+            yield salted(self.held, -1)
+        self.gram, self.held, self.left, self.rows = None, None, 0, 0
+
+
 def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRAM, split=SPLIT, shard_bytes=SHARD_BYTES):
     """One row per input row: doc_id, n_bytes, spans (start, end of the removed runs in UTF-8 bytes), kept (the bytes that stay).
 
@@ -195,31 +228,77 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
     id_type = source.schema["doc_id"].dataType
 
     def cut(batches):
+        """Snippets as hashes. Later copies within a batch have no gram: they are covered, whatever the rest of the corpus holds."""
         for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column(2)):
+            order = pc.sort_indices(pa.Table.from_batches([batch.select([0, 1])]), [("doc_id", "ascending"), ("tie", "ascending")], null_placement="at_start")
+            batch = batch.take(order)
+            found = []
+            for i, _, data, offsets in text_chunks(batch.column(2)):
                 grams, whole, row, start, count = snippets(data, offsets, length, gram)
-                row = pa.array(row)
+                found.append((grams, whole, row + i, code(start, count, PLACE)))
+            grams, whole, row, codes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+            _, first = np.unique(mix(grams.astype(np.uint64)) ^ whole.astype(np.uint64), return_index=True)
+            later = np.ones(len(row), bool)
+            later[first] = False
+            for k in range(0, len(row), 1 << 17):
+                part = slice(k, k + (1 << 17))
+                at, null = pa.array(row[part]), later[part]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(grams.view(np.int64)), pa.array(whole.view(np.int64)), batch.column(0).slice(i, j - i).take(row),
-                        batch.column(1).slice(i, j - i).take(row), pa.array(code(start, count, PLACE)),
+                        pa.array(grams[part].view(np.int64), mask=null), pa.array(whole[part].view(np.int64), mask=null),
+                        batch.column(0).take(at), batch.column(1).take(at), pa.array(codes[part]),
                     ],
                     names=["gram", "whole", "doc_id", "tie", "code"],
                 )
 
+    def sort_out(batches):
+        """Rows sorted by gram, snippet and place. Yields later places of snippets (no gram), and first places of repeated grams.
+
+        First places have a salt: -1, or the number of the shard where their gram has more than `split` different snippets.
+        """
+        run = OpenRun(split)
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            loose = table.column("gram").null_count
+            if loose:
+                yield salted(table.slice(0, loose), -1)
+                table = table.slice(loose)
+            if not table.num_rows:
+                continue
+            grams, whole = table.column("gram").to_numpy(), table.column("whole").to_numpy()
+            new = np.ones(len(grams), bool)
+            new[1:] = (grams[1:] != grams[:-1]) | (whole[1:] != whole[:-1])
+            new[0] = (grams[0], whole[0]) != last
+            last = grams[-1], whole[-1]
+            if not new.all():
+                yield salted(table.filter(pa.array(~new)), -1, gram=False)
+            edges = np.append(np.flatnonzero(np.append(True, grams[1:] != grams[:-1])), len(grams))
+            # Runs that begin and end in this batch are handled at once; the first and the last may go on.
+            inner = slice(1, len(edges) - 2)
+            starts, ends = edges[:-1][inner], edges[1:][inner]
+            if len(starts):
+                low, high = starts[0], ends[-1]
+                sizes = ends - starts
+                firsts = new[low:high] & np.repeat(sizes > 1, sizes)
+                counts = np.add.reduceat(firsts.astype(np.int64), starts - low)
+                number = ranges(np.zeros(len(counts), np.int64), counts)
+                yield salted(table.slice(low, high - low).filter(pa.array(firsts)), np.where(np.repeat(counts, counts) > split, number // split, -1))
+            for k in sorted({0, len(edges) - 2}):
+                a, z = edges[k], edges[k + 1]
+                yield from run.add(grams[a], table.slice(a, z - a).filter(pa.array(new[a:z])), z - a)
+        yield from run.close()
+
     def schema(*fields):
         kinds = {"doc_id": id_type, "bytes": T.BinaryType(), "string": T.BinaryType(), "salt": T.IntegerType()}
         return T.StructType([T.StructField(f, kinds.get(f, T.LongType())) for f in fields])
 
-    rows = source.mapInArrow(cut, schema("gram", "whole", "doc_id", "tie", "code"))
-    counts = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    places = rows.join(counts, "gram")
-    firsts = (
-        # Grouped by a struct, so that equal snippets of one gram are summed before they are shuffled and a hot gram can be split.
-        places.groupBy(F.struct("gram", "whole").alias("k"))
-        .agg(F.min(F.struct("doc_id", "tie", "code")).alias("p"), F.max("n").alias("n"))
-        .select("k.gram", "n", "p.doc_id", "p.tie", "p.code")
+    places = (
+        source.mapInArrow(cut, schema("gram", "whole", "doc_id", "tie", "code"))
+        .repartition(F.coalesce("gram", F.xxhash64("doc_id", "code"))).sortWithinPartitions("gram", "whole", "doc_id", "tie", "code")
+        .mapInArrow(sort_out, schema("gram", "salt", "doc_id", "tie", "code"))
     )
+    firsts = places.where("gram IS NOT NULL")
 
     def ship(batches):
         """The bytes of the first places, each document's all at once."""
@@ -227,18 +306,16 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
             for i, j, data, offsets in text_chunks(batch.column(2)):
                 lists = batch.column(3).slice(i, j - i)
                 flat = lists.flatten()
-                grams, n, codes = (flat.field(k).to_numpy() for k in range(3))
+                grams, salt, codes = (flat.field(k).to_numpy() for k in range(3))
                 row = np.repeat(np.arange(j - i), pc.list_value_length(lists).to_numpy())
                 begin = offsets[row] + (codes >> 9)
                 end = begin + (codes >> 2 & 127) + length - 1
                 raw = data.tobytes()
-                salts = -(-n // split)
                 owner = pa.array(row)
                 ids, ties = batch.column(0).slice(i, j - i).take(owner), batch.column(1).slice(i, j - i).take(owner)
-                spread = span_hash(rolling(BYTE_VALUES[data]), begin, end) % salts.astype(np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(grams), pa.array(np.where(salts > 1, spread.astype(np.int64), -1).astype(np.int32)), ids, ties, pa.array(codes),
+                        pa.array(grams), pa.array(salt), ids, ties, pa.array(codes),
                         pa.array([raw[a:z] for a, z in zip(begin.tolist(), end.tolist())], pa.binary()),
                     ],
                     names=["gram", "salt", "doc_id", "tie", "code", "bytes"],
@@ -256,9 +333,9 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
             owner = np.repeat(np.arange(len(bodies)), counts)[open_]
             text = b"".join(bodies)
             begin = np.cumsum(counts) - counts
-            line = np.concatenate([np.arange(len(bodies)), piece, owner])
-            marks = np.concatenate([codes | FIRST, code((codes[piece] >> 9) + offset, run, COVERED), code((codes[owner] >> 9) + open_ - begin[owner], 1, COVERED)])
-            strings = [None] * (len(bodies) + len(piece)) + [text[s:s + length] for s in starts[open_].tolist()]
+            line = np.concatenate([piece, owner])
+            marks = np.concatenate([code((codes[piece] >> 9) + offset, run, COVERED), code((codes[owner] >> 9) + open_ - begin[owner], 1, COVERED)])
+            strings = [None] * len(piece) + [text[s:s + length] for s in starts[open_].tolist()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(strings, pa.binary()), *(table.column(c).combine_chunks().take(pa.array(line)) for c in ("doc_id", "tie")), pa.array(marks)],
                 names=["string", "doc_id", "tie", "code"],
@@ -307,7 +384,7 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
             last = keys[-1]
             yield batch.filter(pa.array(later)).select([1, 2, 3])
 
-    wanted = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("gram", "n", "code")).alias("firsts"))
+    wanted = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("gram", "salt", "code")).alias("firsts"))
     s, w = source.alias("s"), wanted.alias("w")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
     once = s.dropDuplicates(["doc_id", "tie"]).alias("s") if repeated else s
@@ -321,7 +398,9 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
         .repartition(F.when(F.col("string").isNull(), F.xxhash64("doc_id", "code")).otherwise(F.xxhash64("string"))).sortWithinPartitions("string", "doc_id", "tie", "code")
         .mapInArrow(merged, schema("doc_id", "tie", "code"))
     )
-    codes = places.select("doc_id", "tie", "code").unionByName(marks).groupBy("doc_id", "tie").agg(F.collect_list("code").alias("codes"))
+    # At places that are not the first of their snippet all strings are covered.
+    later = places.where("gram IS NULL").select("doc_id", "tie", F.col("code").bitwiseOR(COVERED).alias("code"))
+    codes = later.unionByName(marks).groupBy("doc_id", "tie").agg(F.collect_list("code").alias("codes"))
 
     def remove(batches):
         for batch in batches:
