@@ -4,7 +4,8 @@
 2. A set is embedded as T_COORDINATES min-hashes; two sets agree in one with a probability equal to their similarity.
 3. Chosen paths: every run starts at a root; a node samples coordinates (its path alone decides which) and a set goes on to the
    child named by its value there. Sets alone in a node drop out, nodes of at most LEAF sets are compared by brute force, larger
-   ones are split again, down to DEPTH. What still stays together there shares so many values that it is taken as one group.
+   ones are split again, down to DEPTH. What still stays together there, or a child that keeps DENSE of its parent's sets, is so
+   alike that it is taken as one plausible group: splitting on would only repeat it.
    Runs are repeated until the expected recall at the threshold reaches the target.
 4. Groups of plausible sets are joined to components, and within a component all pairs are checked exactly on the whole sets, in
    blocks of BLOCK sets a side. A pair meets in one pair of blocks only, so links are counted once, and pairs are never emitted.
@@ -28,7 +29,8 @@ SIMILARITY = 0.8
 RECALL = 0.999
 T_COORDINATES = 128
 LEAF = 256
-DEPTH = 8
+DEPTH = 6
+DENSE = 0.75
 BLOCK = 256
 _COLUMNS = 4096
 
@@ -237,8 +239,8 @@ def _plausible_groups(sets, two, leaf, depth, least):
             sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, T_COORDINATES)
             row, coordinate = children(paths, two)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(child_path(paths[row], coordinate, sketches[row, coordinate])), batch.column(1).take(pa.array(row)), batch.column(2).take(pa.array(row))],
-                names=["path", "rid", "sketch"],
+                [pa.array(child_path(paths[row], coordinate, sketches[row, coordinate])), *(batch.column(k).take(pa.array(row)) for k in (1, 2, 3))],
+                names=["path", "rid", "sketch", "was"],
             )
 
     def compare(batches):
@@ -251,19 +253,20 @@ def _plausible_groups(sets, two, leaf, depth, least):
                 node = mix(np.array([path], np.int64).view(np.uint64) + label[keep].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([table.column("rid").combine_chunks().filter(pa.array(keep)), pa.array(node)], names=["rid", "node"])
 
-    schema = "path long, rid long, sketch binary"
     first = crowded(sets.select("rid", F.explode("paths").alias("path")))
-    now = saved(first.join(sets.select("rid", "sketch"), "rid").select("path", "rid", "sketch", "n"), "paths1")
+    now = saved(first.join(sets.select("rid", "sketch"), "rid").select("path", "rid", "sketch", "n", F.lit(None).cast("long").alias("was")), "paths1")
     found = None
     for level in range(1, depth + 1):
         small = now.where(F.col("n") <= leaf).select("path", "rid", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(compare, "rid long, node long")
         found = small if found is None else found.unionByName(small)
         large = now.where(F.col("n") > leaf)
-        if level == depth:
-            return found.unionByName(large.select("rid", F.col("path").alias("node")))
-        if large.isEmpty():
+        dense = F.lit(level == depth) | F.coalesce(F.col("n") >= DENSE * F.col("was"), F.lit(False))
+        found = found.unionByName(large.where(dense).select("rid", F.col("path").alias("node")))
+        large = large.where(~dense)
+        if level == depth or large.isEmpty():
             return found
-        now = saved(crowded(large.select("path", "rid", "sketch").mapInArrow(split, schema)).select("path", "rid", "sketch", "n"), f"paths{level + 1}")
+        parts = large.select("path", "rid", "sketch", "n").mapInArrow(split, "path long, rid long, sketch binary, was long")
+        now = saved(crowded(parts).select("path", "rid", "sketch", "n", "was"), f"paths{level + 1}")
 
 
 def _checked(source, sets, groups, size, similarity, block):
