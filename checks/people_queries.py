@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import listed, query, rounded
+from checks.registry import ORACLES, listed, query, rounded
 from checks.rows import group, predicate
 from checks.sql import blank, emails, has, moment, norm
 from checks.views import people, people_sql, table
 from rollbook.operators.predicates import compile_group
+from rollbook.operators.facade import run
 from rollbook.plans import classify as K
 from rollbook.plans import evaluate as X
 from rollbook.plans import people as H
@@ -49,10 +50,9 @@ def column_metadata(spark, sf_dir):
     return listed(M.column_metadata(people(spark, sf_dir).select("grad_year", "alt_email", "_row_id")), "sample_values")
 
 
-def _rate(cell, test, sample=30):
-    """Share of the first present values, blanks left out, that pass a test on v."""
-    first = f"SELECT {cell} AS v, person_id FROM people_v WHERE {cell} IS NOT NULL ORDER BY person_id LIMIT {sample}"
-    return f"(SELECT avg(({test})::INT) FROM ({first}) WHERE trim(v) <> '')"
+def _rate(cell, test):
+    """Share of the present values, blanks left out, that pass a test on v."""
+    return f"(SELECT avg(({test})::INT) FROM (SELECT {cell} AS v FROM people_v) WHERE trim(v) <> '')"
 
 
 _P_MAIL, _Q_MAIL = "'p' || person_id || '@alpha.edu'", "'q' || person_id || '@example.org'"
@@ -102,7 +102,7 @@ def sample_candidates(spark, sf_dir):
     f"SELECT 'email', count(*), 0.0::DOUBLE, round(avg((len({emails('email')}) > 0)::INT), 6) FROM people_v WHERE NOT {blank('email')}"
 ))
 def sample_rates(spark, sf_dir):
-    rates = M.sample_rates(people(spark, sf_dir).select("do_not_contact", "email", "_row_id"), sample=None, this_year=2025)
+    rates = M.sample_rates(people(spark, sf_dir).select("do_not_contact", "email", "_row_id"), this_year=2025)
     return rounded(rates.select("column", "filled", "boolean_rate", "email_rate"), 6, "email_rate")
 
 
@@ -532,6 +532,17 @@ def people_filter_employer(spark, sf_dir):
     return H.people_filter(app_view(people(spark, sf_dir)), spec).select("bucket", "_row_id")
 
 
+@query("run_composite_sorted", people_sql(
+    f"SELECT bucket, {_DISPLAY}, {{matching}}, id AS _row_id FROM s JOIN people_v ON person_id = id WHERE {{exact}} ORDER BY event_count DESC NULLS LAST, bucket, id LIMIT 30", *_judged(TECH),
+).replace("{matching}", "_MATCHING_").replace("{exact}", "_EXACT_"))
+def run_composite_sorted(spark, sf_dir):
+    params = {
+        "people_operation": {"type": "contains_any", "params": {"filter_mode": "people", "people_filter": {"industries": ["tech"]}}},
+        "predicate_group": EXACT, "constraint_logic": "and", "sort": {"column": "event_count", "direction": "desc"}, "limit": 30,
+    }
+    return run(app_view(people(spark, sf_dir)), {"type": "composite_people_filter", "params": params}).rows
+
+
 @query("people_metrics", people_sql(
     "SELECT (SELECT count(*) FROM people_v) AS total_rows, count(c) AS total_matches, count(d) AS direct_count, count(a) AS adjacent_count, count(u) AS uncertain_count, cast(0 AS BIGINT) AS adjacent_included_count FROM q",
     *_judged(TECH),
@@ -565,6 +576,9 @@ def composite_and(spark, sf_dir):
     return H.composite_filter(app_view(people(spark, sf_dir)), TECH_SPEC, EXACT, "and")
 
 
+ORACLES["run_composite_sorted"] = ORACLES["run_composite_sorted"].replace("_MATCHING_", _MATCHING).replace("_EXACT_", _EXACT_SQL)
+
+
 @query("composite_or", people_sql(
     f"SELECT bucket, {_DISPLAY}, {_MATCHING}, id AS _row_id FROM "
     "(SELECT bucket, id FROM s WHERE bucket IN ('counted', 'direct') UNION SELECT b, id FROM x, (VALUES ('counted'), ('direct')) t(b) "

@@ -22,7 +22,15 @@ PICKED = ["person_id", "first_name", "email", "giving", "manager", "city"]
 def csv_scan(spark, sf_dir):
     path = f"{shared_folder(spark)}/people-{uuid.uuid4().hex}"
     files.write_csv(people(spark, sf_dir).select(*PICKED), path)
-    return files.read_csv(spark, path, multiline=False).select(*PICKED)
+    return files.read_csv(spark, path).select(*PICKED)
+
+
+@query("csv_scan_multiline", people_sql("SELECT person_id::VARCHAR AS person_id, first_name || chr(10) || '\"' || coalesce(city, '') AS note FROM people_v WHERE first_name <> ''"))
+def csv_scan_multiline(spark, sf_dir):
+    path = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
+    notes = people(spark, sf_dir).filter("first_name <> ''").selectExpr("person_id", "concat(first_name, '\\n\"', coalesce(city, '')) as note")
+    files.write_csv(notes, path)
+    return files.read_csv(spark, path, multiline=True)
 
 
 @query("null_tokens", people_sql(
@@ -70,6 +78,14 @@ def row_id(spark, sf_dir):
     return files.with_row_id(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), key="c_custkey")
 
 
+@query("row_id_keyless", "SELECT c_custkey FROM customer")
+def row_id_keyless(spark, sf_dir):
+    """Two reads of a table without a key agree in their ids."""
+    df = files.with_row_id(table(spark, sf_dir, "customer").select("c_custkey").repartition(5))
+    again = df.select(F.col("_row_id").alias("_id"), F.col("c_custkey").alias("_key"))
+    return df.join(again, (F.col("_row_id") == F.col("_id")) & (F.col("c_custkey") == F.col("_key"))).select("c_custkey")
+
+
 @query("app_view", people_sql("SELECT person_id, employer FROM people_v"))
 def app_view(spark, sf_dir):
     labelled = people(spark, sf_dir).selectExpr("person_id", "employer", "expected_industry", "first_name as eval_first_name")
@@ -141,13 +157,13 @@ def _evidence(*hits):
     cases = ", ".join(f"CASE WHEN {cond} THEN {{'c': '{c}', 't': '{t}', 'r': 'Matched {c}: ' || {c}}} END" for cond, c, t in hits)
     found = f"list_filter([{cases}], lambda h: h IS NOT NULL)"
 
-    def joined(field, keep=""):
+    def joined(field, between=", "):
         items = f"list_transform({found}, lambda h: h.{field})"
         # Order of first appearance.
         distinct = f"list_filter({items}, lambda v, i: list_position({items}, v) = i)"
-        return f"array_to_string(({distinct}){keep}, '{'; ' if keep else ', '}')"
+        return f"array_to_string({distinct}, '{between}')"
 
-    return {"c": joined("c"), "t": joined("t"), "r": joined("r", "[1:3]")}
+    return {"c": joined("c"), "t": joined("t"), "r": joined("r", "; ")}
 
 
 def _first_hit(term, *columns):
@@ -180,6 +196,13 @@ def contains_any(spark, sf_dir):
     return rows.select("p_partkey", "matched_column", "matched_term", S.REASON)
 
 
+@query("contains_any_wide", "SELECT p_partkey FROM part WHERE contains(lower(p_type), 'econ')")
+def contains_any_wide(spark, sf_dir):
+    """A search of all text columns, of which the last of twelve holds the term."""
+    wide = table(spark, sf_dir, "part").select("p_partkey", *(F.lit("-").alias(f"title_{i}") for i in range(11)), F.col("p_type").alias("remark"))
+    return S.contains_any(wide, terms=["econ"]).select("p_partkey")
+
+
 _GROUPED = [{"columns": ["p_name"], "terms": ["red", "ring"]}, {"columns": ["p_brand", "p_type"], "terms": ["ring", "1"]}]
 
 
@@ -374,3 +397,30 @@ def _register_operators():
 
 
 _register_operators()
+
+
+def run(df, kind, **params):
+    from rollbook.operators.facade import run as run_operation
+
+    return run_operation(df, {"type": kind, "params": params}).rows
+
+
+@query("run_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 7")
+def run_top_n(spark, sf_dir):
+    df = files.with_row_id(table(spark, sf_dir, "orders"), key="o_orderkey")
+    return run(df, "top_n", column="o_totalprice", n=7, return_columns=["o_orderkey", "o_totalprice"])
+
+
+@query("run_filter_predicates", people_sql(
+    f"SELECT first_name, city FROM people_v WHERE {strict('giving')} > 5000 ORDER BY {strict('giving')} DESC, person_id LIMIT 40"
+))
+def run_filter_predicates(spark, sf_dir):
+    tree = group("and", predicate("greater_than", "giving", 5000))
+    return run(people(spark, sf_dir), "filter_predicates", predicate_group=tree, sort={"column": "giving"}, limit=40, return_columns=["first_name", "city"])
+
+
+@query("run_contains_any", "SELECT p_partkey, 'p_name' AS matched_column, 'red' AS matched_term, 'Matched p_name: ' || p_name AS \"MATCH REASON\" FROM part "
+       "WHERE contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 30")
+def run_contains_any(spark, sf_dir):
+    df = files.with_row_id(table(spark, sf_dir, "part"), key="p_partkey")
+    return run(df, "contains_any", columns=["p_name"], terms=["red"], limit=30, display_columns=["p_partkey"])

@@ -10,7 +10,7 @@ from checks.views import events, events_sql, people, people_sql, table
 from rollbook.functions import dates, display, numbers, text
 from rollbook.functions import emails as E
 from rollbook.functions.missing import type_of
-from rollbook.operators.sampling import col, date_like_columns
+from rollbook.operators.sampling import col
 
 
 def _applied(df, key, functions):
@@ -23,10 +23,9 @@ def lenient_number(spark, sf_dir):
     return _applied(people(spark, sf_dir), "person_id", [("n", "giving", numbers.lenient_number), ("e", "event_count", numbers.lenient_number)])
 
 
-@query("lenient_number_events", events_sql("SELECT event_id, CASE WHEN value_text <> 'n/a' THEN replace(value_text, '$', '')::DOUBLE END AS t, CASE WHEN NOT isnan(value) THEN value END AS v FROM events_v WHERE coalesce(value, 0) < 'Infinity'::DOUBLE"))
+@query("lenient_number_events", events_sql("SELECT event_id, CASE WHEN value_text <> 'n/a' THEN replace(value_text, '$', '')::DOUBLE END AS t, CASE WHEN NOT isnan(value) THEN value END AS v FROM events_v"))
 def lenient_number_events(spark, sf_dir):
-    df = events(spark, sf_dir).filter("coalesce(value, 0) < double('Infinity') or isnan(value)").filter("not isnan(coalesce(value, 0))")
-    return _applied(df, "event_id", [("t", "value_text", numbers.lenient_number), ("v", "value", numbers.lenient_number)])
+    return _applied(events(spark, sf_dir), "event_id", [("t", "value_text", numbers.lenient_number), ("v", "value", numbers.lenient_number)])
 
 
 @query("strict_number", people_sql(f"SELECT person_id, {strict('giving')} AS n FROM people_v"))
@@ -36,9 +35,7 @@ def strict_number(spark, sf_dir):
 
 @query("lenient_date", events_sql(f"SELECT event_id, strftime({moment('ts_text')}, '%Y-%m-%d %H:%M:%S') AS d FROM events_v"))
 def lenient_date(spark, sf_dir):
-    df = events(spark, sf_dir)
-    gated = [c for c in ("ts_text",) if c in date_like_columns(df, ["ts_text", "event_type"])]
-    parsed = _applied(df, "event_id", [("d", c, dates.lenient_moment) for c in gated])
+    parsed = _applied(events(spark, sf_dir), "event_id", [("d", "ts_text", dates.lenient_moment)])
     return parsed.withColumn("d", F.date_format("d", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -130,12 +127,11 @@ def matching_emails(spark, sf_dir):
 
 
 @query("mask_emails", people_sql(
-    "SELECT person_id, substr(CASE WHEN email LIKE '.%' THEN email ELSE regexp_replace(replace(email, 'ALPHA', 'alpha'), '([A-Za-z])[A-Za-z]*@', '\\1***@', 'g') END, 1, 100) AS masked "
-    "FROM people_v WHERE email NOT LIKE 'Ben@%'"
+    "SELECT person_id, CASE WHEN email LIKE '.%' THEN email ELSE regexp_replace(replace(replace(email, 'ALPHA', 'alpha'), 'Mail', 'mail'), '([A-Za-z])[A-Za-z]*@', '\\1***@', 'g') END AS masked "
+    "FROM people_v"
 ))
 def mask_emails(spark, sf_dir):
-    df = people(spark, sf_dir).filter("email not like 'Ben@%'")
-    return df.select("person_id", E.mask_emails(F.col("email")).alias("masked"))
+    return people(spark, sf_dir).select("person_id", E.mask_emails(F.col("email")).alias("masked"))
 
 
 _CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>\\n]*>', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
@@ -152,11 +148,15 @@ def clean_text_capped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_text(F.col("html"), max_length=200).alias("t"))
 
 
-@query("format_value", "SELECT c_custkey, format('{:,.2f}', c_acctbal) AS amount, format('{:,}', c_custkey * 1000) AS big, "
+# A third of the amounts is whole.
+_AMOUNTS = "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN round(c_acctbal) ELSE c_acctbal END AS c_acctbal FROM customer"
+
+
+@query("format_value", "SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN format('{:,}', c_acctbal::BIGINT) ELSE format('{:,.2f}', c_acctbal) END AS amount, format('{:,}', c_custkey * 1000) AS big, "
        "CASE WHEN abs(c_acctbal * 1000) >= 1e6 THEN '$' || format('{:.1f}', c_acctbal * 1000 / 1e6) || 'M' WHEN abs(c_acctbal * 1000) >= 1e5 THEN '$' || format('{:.1f}', c_acctbal * 1000 / 1e3) || 'K' "
-       "ELSE '$' || format('{:,}', round(c_acctbal * 1000)::BIGINT) END AS short FROM customer WHERE c_acctbal <> floor(c_acctbal)")
+       "ELSE '$' || format('{:,}', round(c_acctbal * 1000)::BIGINT) END AS short FROM c".replace("SELECT", f"WITH c AS ({_AMOUNTS}) SELECT", 1))
 def format_value(spark, sf_dir):
-    df = table(spark, sf_dir, "customer").filter("c_acctbal != floor(c_acctbal)")
+    df = table(spark, sf_dir, "customer").selectExpr("c_custkey", "if(c_custkey % 3 = 0, round(c_acctbal), c_acctbal) as c_acctbal")
     return df.select(
         "c_custkey", display.format_value(F.col("c_acctbal")).alias("amount"),
         display.format_value(F.col("c_custkey") * 1000).alias("big"),

@@ -18,7 +18,7 @@ def keyed(spark, sf_dir, name, key):
     return with_row_id(table(spark, sf_dir, name), key=key)
 
 
-@query("group_by_count", 'SELECT c_mktsegment, count(*) AS "Count" FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25')
+@query("group_by_count", 'SELECT c_mktsegment, count(*) AS "Count" FROM customer GROUP BY 1')
 def group_by_count(spark, sf_dir):
     return A.group_by_count(table(spark, sf_dir, "customer"), "c_mktsegment")
 
@@ -59,20 +59,20 @@ for _agg, _sql in (("count", "count(*)"), ("sum", "round(sum(o_totalprice), 2)")
 
     @query(
         f"group_by_month_{_agg}",
-        f"SELECT strftime(o_orderdate, '%Y-%m') AS \"Month\", {_sql} AS \"{_label}\" FROM orders GROUP BY 1 ORDER BY 1 DESC LIMIT 24",
+        f"SELECT strftime(o_orderdate, '%Y-%m') AS \"Month\", {_sql} AS \"{_label}\" FROM orders GROUP BY 1",
     )
     def group_by_month(spark, sf_dir, agg=_agg, label=_label):
         value = None if agg == "count" else "o_totalprice"
         return rounded(A.group_by_month(table(spark, sf_dir, "orders"), "o_orderdate", value, agg), 2 if agg == "sum" else 4, label)
 
 
-@query("value_counts", 'SELECT l_shipdate::DATE::VARCHAR AS l_shipdate, count(*) AS "Count" FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25')
+@query("value_counts", 'SELECT l_shipdate::DATE::VARCHAR AS l_shipdate, count(*) AS "Count" FROM lineitem GROUP BY 1')
 def value_counts(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate"))
     return A.value_counts(df, "l_shipdate")
 
 
-@query("unique_values", 'SELECT p_brand, count(*) AS "Count", (SELECT count(DISTINCT p_brand) FROM part) AS unique_count FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50')
+@query("unique_values", 'SELECT p_brand, count(*) AS "Count", (SELECT count(DISTINCT p_brand) FROM part) AS unique_count FROM part GROUP BY 1')
 def unique_values(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     distinct = A.unique_metrics(part, "p_brand").select("unique_count").scalar()
@@ -165,6 +165,16 @@ def date_summary_text(spark, sf_dir):
     return _dates_as_text(df, "Min Date", "Max Date")
 
 
+@query("date_summary_late", "SELECT 'note' AS \"Column\", strftime(min(o_orderdate), '%Y-%m-%d') AS \"Min Date\", strftime(max(o_orderdate), '%Y-%m-%d') AS \"Max Date\", "
+       "cast(0 AS BIGINT) AS \"Missing Count\", count(*) AS \"Parsed Count\" FROM orders WHERE o_orderkey > (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 1 OFFSET 15)")
+def date_summary_late(spark, sf_dir):
+    """Text whose first sixteen values are no dates."""
+    df = keyed(spark, sf_dir, "orders", "o_orderkey")
+    edge = df.orderBy("o_orderkey").limit(16).agg(F.max("o_orderkey")).scalar()
+    late = df.select("_row_id", F.when(F.col("o_orderkey") <= edge, F.lit("none yet")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("note"))
+    return _dates_as_text(R.date_summary(late), "Min Date", "Max Date")
+
+
 @query("duplicate_count", "SELECT cast(count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_partkey, l_linenumber, l_returnflag FROM lineitem)) AS BIGINT) AS duplicate_row_count FROM lineitem")
 def duplicate_count(spark, sf_dir):
     return R.duplicate_count(table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_returnflag"))
@@ -185,7 +195,7 @@ def _top_values(column):
     return (
         f"SELECT '{column}' AS \"column\", (SELECT count(DISTINCT {column}) FROM customer) AS unique_count, cast(0 AS BIGINT) AS missing_count, "
         f"row_number() OVER (ORDER BY n DESC, {column}) AS rank, {column} AS value, n AS \"count\" FROM "
-        f"(SELECT {column}, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10)"
+        f"(SELECT {column}, count(*) AS n FROM customer GROUP BY 1)"
     )
 
 
@@ -232,7 +242,7 @@ def column_profile_num(spark, sf_dir):
     return rounded(rounded(df, 4, "sum"), 8, "mean", "median", "sd")
 
 
-@query("column_profile_cat", "SELECT l_returnflag AS value, count(*) AS \"count\", (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS \"unique\" FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8")
+@query("column_profile_cat", "SELECT l_returnflag AS value, count(*) AS \"count\", (SELECT count(DISTINCT l_returnflag) FROM lineitem) AS \"unique\" FROM lineitem GROUP BY 1")
 def column_profile_cat(spark, sf_dir):
     return R.column_profile(table(spark, sf_dir, "lineitem"), "l_returnflag")
 
@@ -258,14 +268,22 @@ def profile_flags(spark, sf_dir):
     return R.profile_flags(people(spark, sf_dir, row_id=False).select("giving", "city", "updated_at", "grad_year"))
 
 
-@query("sort_rows", "SELECT * FROM customer ORDER BY c_acctbal, c_custkey LIMIT 25")
+def _placed(df):
+    """The place of each row in a sorted table: rows in earlier partitions, and before it in its own."""
+    at = df.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    return at.join(F.broadcast(before), "_part").withColumn("place", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
+
+
+@query("sort_rows", "SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS place FROM customer")
 def sort_rows(spark, sf_dir):
-    return O.sort_rows(keyed(spark, sf_dir, "customer", "c_custkey"), "c_acctbal").drop("_row_id")
+    return O.sort_rows(keyed(spark, sf_dir, "customer", "c_custkey"), "c_acctbal").drop("_row_id").transform(_placed)
 
 
-@query("sort_rows_text", "SELECT p_partkey, p_name FROM part ORDER BY lower(p_name) DESC, p_partkey LIMIT 25")
+@query("sort_rows_text", "SELECT p_partkey, p_name, row_number() OVER (ORDER BY lower(p_name) DESC, p_partkey) - 1 AS place FROM part")
 def sort_rows_text(spark, sf_dir):
-    return O.sort_rows(keyed(spark, sf_dir, "part", "p_partkey"), "p_name", ascending=False).select("p_partkey", "p_name")
+    return O.sort_rows(keyed(spark, sf_dir, "part", "p_partkey"), "p_name", ascending=False).select("p_partkey", "p_name").transform(_placed)
 
 
 @query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
@@ -289,6 +307,12 @@ def duplicate_rows(spark, sf_dir):
     return rows.select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
+@query("duplicate_rows_dotted", "SELECT o_orderkey, o_custkey AS \"No. of customer\" FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
+def duplicate_rows_dotted(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("No. of customer"))
+    return O.duplicate_rows(df, ["No. of customer"])
+
+
 @query("duplicate_metrics", "SELECT cast(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS duplicate_row_count, cast(sum(n) AS BIGINT) AS total_rows FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus)")
 def duplicate_metrics(spark, sf_dir):
     return O.duplicate_metrics(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus"])

@@ -109,7 +109,7 @@ def strict_date(column, data_type):
 
 
 def lenient_moment(column, data_type):
-    """Wall-clock timestamp for aggregation. Numbers are never dates here; gate text columns with looks_dated first."""
+    """Wall-clock timestamp for aggregation. Numbers are never dates here; text that is no date gives null."""
     if isinstance(data_type, (T.DateType, T.TimestampNTZType)):
         return column.cast("timestamp_ntz")
     if isinstance(data_type, T.TimestampType):

@@ -82,11 +82,12 @@ def matching_emails(tokens, expected, negated=False, quantifier="any", include_s
     return F.transform(_distinct_by_address(F.filter(tokens, qualifies)), lambda token: token["address"])
 
 
-def mask_emails(column, max_length=100):
+def mask_emails(column, max_length=None):
     """Addresses become a***@domain, for samples shown to people."""
 
     def masked(text, token):
         hidden = F.concat(F.substring(token["address"], 1, 1), F.lit("***@"), token["domain"])
         return F.replace(text, token["original"], hidden)
 
-    return F.substring(F.aggregate(email_tokens(column), column, masked), 1, max_length)
+    text = F.aggregate(email_tokens(column), column, masked)
+    return text if max_length is None else F.substring(text, 1, max_length)

@@ -139,8 +139,8 @@ def company_match(normalised_company, companies):
     return matches(normalised_company, company_pattern(companies))
 
 
-def clean_text(column, max_length=1000):
-    """Text without tags and NULs, blanks collapsed; longer texts end in "..."."""
+def clean_text(column, max_length=None):
+    """Text without tags and NULs, blanks collapsed; with max_length longer texts end in "..."."""
     text = F.regexp_replace(F.coalesce(column, F.lit("")), r"<[^>\n]*>", "")
     text = F.regexp_replace(text, "\x00", "")
     text = F.regexp_replace(text, r"[ \t]+", " ")

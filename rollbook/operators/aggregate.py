@@ -11,8 +11,7 @@ from rollbook.functions.dates import lenient_moment, month_key
 from rollbook.functions.missing import as_text, is_blank, is_text, type_of
 from rollbook.functions.numbers import lenient_number
 from rollbook.operators.columns import resolve_column, resolve_columns
-from rollbook.operators.sampling import col, data_columns, date_like_columns
-from rollbook.sources.files import ROW_ID
+from rollbook.operators.sampling import col, data_columns
 
 MISSING_KEY = "Missing"
 MONTH_AGGREGATES = {"count": None, "sum": F.sum, "average": F.avg}
@@ -29,14 +28,13 @@ def number_of(df, name):
 
 
 def _ranked(grouped, value, key, limit, ascending=False):
-    """Order by value, ties by key; without a limit the order is left to the caller."""
-    if limit is None:
-        return grouped
+    """Order by value, ties by key; all groups unless there is a limit."""
     order = col(value).asc_nulls_last() if ascending else col(value).desc_nulls_last()
-    return grouped.orderBy(order, col(key).asc()).limit(limit)
+    ordered = grouped.orderBy(order, col(key).asc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def group_by_count(df, by, limit=25):
+def group_by_count(df, by, limit=None):
     name = resolve_column(df.columns, by)
     counted = df.groupBy(group_key(df, name).alias(name)).agg(F.count(F.lit(1)).alias("Count"))
     return _ranked(counted, "Count", name, limit)
@@ -49,12 +47,12 @@ def _group_by_number(df, by, value, label, aggregate, limit):
     return _ranked(valid.groupBy(name).agg(aggregate("_value").alias(out)), out, name, limit)
 
 
-def group_by_sum(df, by, value, limit=25):
+def group_by_sum(df, by, value, limit=None):
     """Sums per group. Rows without a number are dropped first, so groups without any number vanish."""
     return _group_by_number(df, by, value, "Sum", F.sum, limit)
 
 
-def group_by_average(df, by, value, limit=25):
+def group_by_average(df, by, value, limit=None):
     return _group_by_number(df, by, value, "Average", F.avg, limit)
 
 
@@ -68,7 +66,7 @@ def group_by_metrics(df, value):
     )
 
 
-def group_by_agg(df, by, value=None, op="count", limit=12):
+def group_by_agg(df, by, value=None, op="count", limit=None):
     """count, sum, mean, min or max per group; minima sort upwards, everything else downwards."""
     name = resolve_column(df.columns, by)
     key = group_key(df, name).alias(name)
@@ -83,16 +81,14 @@ def group_by_agg(df, by, value=None, op="count", limit=12):
     return _ranked(out, "value", name, limit, ascending=op == "min")
 
 
-def group_by_month(df, date_column, value=None, aggregation="count", limit=24, row_id=ROW_ID):
-    """Per month yyyy-MM; the last months in time order. Months without rows are not filled in."""
+def group_by_month(df, date_column, value=None, aggregation="count", limit=None):
+    """Per month yyyy-MM in time order; with a limit the last months. Every cell of a text column is parsed. Months without rows are not filled in."""
     if aggregation not in MONTH_AGGREGATES:
         raise ValueError("Aggregation must be count, sum or average.")
     if aggregation != "count" and not value:
         raise ValueError("A value column is required for sum and average.")
     name = resolve_column(df.columns, date_column)
     data_type = type_of(df, name)
-    if is_text(data_type) and name not in date_like_columns(df, [name], row_id):
-        df = df.filter(F.lit(False))
     picked = [month_key(lenient_moment(col(name), data_type)).alias("Month")]
     if aggregation == "count":
         label, aggregate = "Count", F.count(F.lit(1))
@@ -107,14 +103,14 @@ def group_by_month(df, date_column, value=None, aggregation="count", limit=24, r
     return grouped.orderBy("Month")
 
 
-def value_counts(df, column, limit=25):
+def value_counts(df, column, limit=None):
     """Present values by frequency."""
     name = resolve_column(df.columns, column)
     counted = df.filter(~is_blank(col(name), type_of(df, name))).groupBy(col(name)).agg(F.count(F.lit(1)).alias("Count"))
     return _ranked(counted, "Count", name, limit)
 
 
-def unique_values(df, column, limit=50):
+def unique_values(df, column, limit=None):
     return value_counts(df, column, limit)
 
 
@@ -142,7 +138,7 @@ def _pearson(a, b):
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def correlation(df, columns=None, limit=20):
+def correlation(df, columns=None, limit=None):
     """All pairs of numeric columns by strength, from one aggregation."""
     names = numeric_candidates(df, columns, minimum=2)
     pairs = list(combinations(names, 2))
@@ -157,9 +153,8 @@ def correlation(df, columns=None, limit=20):
     )
     rows = row.select(F.inline(found)).filter("Correlation is not null and not isnan(Correlation)")
     rows = rows.withColumn("Absolute Correlation", F.abs("Correlation"))
-    if limit is None:
-        return rows
-    return rows.orderBy(F.desc("Absolute Correlation"), "Column 1", "Column 2").limit(limit)
+    ordered = rows.orderBy(F.desc("Absolute Correlation"), "Column 1", "Column 2")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def correlation_pair(df, a, b):

@@ -35,7 +35,6 @@ SEARCH_WORDS = (
     "occupation", "job", "employer", "company", "organization", "organisation", "workplace", "industry", "major",
     "degree", "title", "role", "position", "field", "sector",
 )
-MAX_SEARCH_COLUMNS = 8
 
 # Normalised headers that are internal and never shown.
 FORBIDDEN_HEADERS = frozenset(
@@ -182,7 +181,7 @@ def resolve_columns(columns, requested, profile=None):
 
 
 def searchable_columns(df, requested=None, profile=None):
-    """The requested columns, else up to eight text columns with telling headers first."""
+    """The requested columns, else all text columns, those with telling headers first."""
     found = resolve_columns(df.columns, requested, profile)
     if found:
         return found
@@ -190,10 +189,10 @@ def searchable_columns(df, requested=None, profile=None):
     telling = [
         name for word in SEARCH_WORDS for name in texts if word in compact(name) or compact(name) in word
     ]
-    chosen = list(dict.fromkeys(telling)) or texts
+    chosen = list(dict.fromkeys(telling + texts))
     if not chosen:
         raise UnknownColumn(requested or "searchable text")
-    return chosen[:MAX_SEARCH_COLUMNS]
+    return chosen
 
 
 def preview(df, limit=20, row_id=ROW_ID):

@@ -32,7 +32,7 @@ def _sorted(df, key, ascending, limit, row_id):
     return rows if limit is None else rows.limit(limit)
 
 
-def sort_rows(df, column, ascending=True, limit=25, row_id=ROW_ID):
+def sort_rows(df, column, ascending=True, limit=None, row_id=ROW_ID):
     """Rows in column order, absent values last, ties in row order."""
     return _sorted(df, sort_key(df, resolve_column(df.columns, column)), ascending, limit, row_id)
 
@@ -64,15 +64,19 @@ def top_rows(df, column, ascending=False, limit=10, numeric=None, row_id=ROW_ID)
     return df.orderBy(order, *ties).limit(limit)
 
 
-def duplicate_rows(df, subset=None, limit=100, row_id=ROW_ID):
-    """Every member of a group of equal rows, nulls being equal; equality may be limited to some columns."""
+def duplicate_rows(df, subset=None, limit=None, row_id=ROW_ID):
+    """Every member of a group of equal rows, nulls being equal; equality may be limited to some columns.
+
+    A limit takes the first rows by row id, or by the compared columns where there is none.
+    """
     keys = resolve_columns(df.columns, subset) or data_columns(df)
     groups = df.groupBy(*(col(k) for k in keys)).agg(F.count(F.lit(1)).alias("_copies"))
     repeated = groups.filter(F.col("_copies") > 1)
-    rows = attach_groups(df, repeated, keys, "_copies", how="inner").drop("_copies")
+    rows = attach_groups(df, repeated, keys, how="inner").drop("_copies")
     if limit is None:
         return rows
-    return (rows.orderBy(col(row_id)) if row_id in rows.columns else rows).limit(limit)
+    order = [row_id] if row_id in rows.columns else keys
+    return rows.orderBy(*(col(c) for c in order)).limit(limit)
 
 
 def duplicate_metrics(df, subset=None):

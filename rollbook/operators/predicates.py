@@ -18,6 +18,7 @@ from rollbook.functions.emails import domain_matches, fold_domain, matching_emai
 from rollbook.functions.dates import strict_date
 from rollbook.functions.missing import NULLISH_TEXTS, as_text, collapse_blanks, is_blank, is_nullish, type_of
 from rollbook.functions.numbers import MAX_TYPED_LENGTH, STRICT_SHAPE, strict_number
+from rollbook.operators.columns import resolve_column
 from rollbook.operators.sampling import col
 
 NO_VALUE = frozenset(("exists", "missing"))
@@ -57,7 +58,7 @@ def number_value(value):
         return float(value)
     text = str(value).strip()
     negative = text.startswith("(") and text.endswith(")")
-    bare = text.strip("()").replace("$", "").replace(",", "").strip()
+    bare = (text[1:-1] if negative else text).replace("$", "").replace(",", "").strip()
     if len(text) > MAX_TYPED_LENGTH or not re.fullmatch(STRICT_SHAPE, bare):
         raise PredicateError(f"{value!r} is not a number.")
     return -float(bare) if negative else float(bare)
@@ -372,7 +373,10 @@ def predicate_metrics(df, group):
 
 
 def filter_spec(df, spec):
-    """Free filter: {"all": [...]}, {"any": [...]}, {"not": ...} or one predicate given as {"op", "column", "value"}."""
+    """Free filter: {"all": [...]}, {"any": [...]}, {"not": ...} or one predicate given as {"op", "column", "value"}.
+
+    Columns may be named by any header alias; without one the predicate is about the e-mail column.
+    """
     return df.filter(compile_spec(df, spec))
 
 
@@ -389,10 +393,12 @@ def compile_spec(df, spec):
     if operator == "not_missing":
         operator = "exists"
     values = spec.get("values", spec.get("value"))
+    named = spec.get("columns") or spec.get("column") or "email"
+    named = [named] if isinstance(named, str) else list(named)
     predicate = {
-        **{k: v for k, v in spec.items() if k not in ("op", "column", "value")},
+        **{k: v for k, v in spec.items() if k not in ("op", "column", "columns", "value")},
         "operator": operator,
-        "columns": list(spec.get("columns") or [spec.get("column")]),
+        "columns": [resolve_column(df.columns, name) for name in named],
         "values": values if isinstance(values, list) else [] if values is None else [values],
         "require_valid_value": bool(spec.get("require_valid_value", operator not in NO_VALUE)),
     }

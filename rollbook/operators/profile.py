@@ -12,10 +12,10 @@ from rollbook.functions.missing import as_text, is_blank, is_null, is_text, stri
 from rollbook.functions.numbers import lenient_number
 from rollbook.operators.aggregate import numeric_candidates, number_of, value_counts
 from rollbook.operators.columns import resolve_column, resolve_columns
-from rollbook.operators.quantiles import SMALL_ROWS, quantile_columns
-from rollbook.operators.sampling import col, data_columns, date_like_columns, first_values
+from rollbook.operators.quantiles import FEW_ROWS, quantile_columns
+from rollbook.operators.sampling import col, data_columns, distinct_values, first_values, leading
 from rollbook.sources.files import ROW_ID
-from rollbook.sources.inference import decided_type, type_counters
+from rollbook.sources.inference import PARSE_SHARE, decided_type, type_counters
 
 LOW_CARDINALITY = 20
 
@@ -28,10 +28,6 @@ def _missing(df, name, test=is_blank):
     return F.count(F.when(test(col(name), type_of(df, name)), 1))
 
 
-def _distinct(df, name, test=is_blank):
-    return F.countDistinct(F.when(~test(col(name), type_of(df, name)), col(name)))
-
-
 def _per_column(summary, columns, fields):
     """One row per column out of a one-row summary; fields(i, name) gives the struct members."""
     rows = F.array(*(F.struct(*fields(i, name)) for i, name in enumerate(columns)))
@@ -50,22 +46,25 @@ def missing_values(df, columns=None):
     return _per_column(summary, names, fields).orderBy(F.desc("Missing Count"))
 
 
-def _samples(df, columns, n, row_id):
+def _in_order(rows):
+    """Per column the values in row order, as one array; the rows are few per column."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "value")))
-    values = F.transform(ordered, lambda item: item["value"])
-    return first_values(df, columns, n, row_id=row_id).groupBy("column").agg(values.alias("samples"))
+    return rows.groupBy("column").agg(F.transform(ordered, lambda item: item["value"]).alias("samples"))
 
 
-def _typed_summary(df, names, row_id):
-    dated = set(date_like_columns(df, names, row_id))
+def _typed_summary(df, names):
     return df.agg(
         F.count(F.lit(1)).alias("total"),
-        *type_counters(df, names, dated),
+        *type_counters(df, names),
         *(_missing(df, n).alias(f"m{i}") for i, n in enumerate(names)),
-        *(_distinct(df, n).alias(f"d{i}") for i, n in enumerate(names)),
     )
 
 
+def _distinct_counts(values):
+    """Rows (column, unique): how many different values each column has, from its distinct values."""
+    return values.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+
+
 def column_summary(df, columns=None, row_id=ROW_ID):
     """Type, present, missing and distinct counts and three sample values per column."""
     names = _chosen(df, columns)
@@ -76,21 +75,23 @@ def column_summary(df, columns=None, row_id=ROW_ID):
             decided_type(df, i, name).alias("Type"),
             (F.col("total") - F.col(f"m{i}")).alias("Non-null Count"),
             F.col(f"m{i}").alias("Missing Count"),
-            F.col(f"d{i}").alias("Unique Count"),
         )
 
-    rows = _per_column(_typed_summary(df, names, row_id), names, fields)
-    samples = _samples(df, names, 3, row_id).withColumnRenamed("column", "Column")
-    joined = rows.join(samples, "Column", "left")
-    return joined.withColumn("Sample Values", F.coalesce(F.array_join("samples", ", "), F.lit(""))).drop("samples")
+    rows = _per_column(_typed_summary(df, names), names, fields)
+    unique = _distinct_counts(distinct_values(df, names, row_id=row_id)).withColumnRenamed("column", "Column")
+    samples = _in_order(first_values(df, names, 3, row_id=row_id)).withColumnRenamed("column", "Column")
+    return rows.join(unique, "Column", "left").join(samples, "Column", "left").select(
+        "Column", "Type", "Non-null Count", "Missing Count", F.coalesce("unique", F.lit(0)).cast("long").alias("Unique Count"),
+        F.coalesce(F.array_join("samples", ", "), F.lit("")).alias("Sample Values"),
+    )
 
 
-def numeric_summary(df, columns=None, small_rows=SMALL_ROWS):
+def numeric_summary(df, columns=None, few_rows=FEW_ROWS):
     """Count, missing, sum, mean, exact median, extremes and sample deviation; columns without numbers are left out."""
     names = numeric_candidates(df, columns)
     numbers = df.select(*(number_of(df, name).alias(f"v{i}") for i, name in enumerate(names)))
     values = {name: F.col(f"v{i}") for i, name in enumerate(names)}
-    medians = quantile_columns(numbers, values, (0.5,), small_rows)
+    medians = quantile_columns(numbers, values, (0.5,), few_rows)
     aggregates = [F.count(F.lit(1)).alias("total")]
     for i, name in enumerate(names):
         v = values[name]
@@ -115,12 +116,12 @@ def numeric_summary(df, columns=None, small_rows=SMALL_ROWS):
     return _per_column(numbers.agg(*aggregates), names, fields).filter(F.col("Count") > 0)
 
 
-def describe_numeric(df, small_rows=SMALL_ROWS):
+def describe_numeric(df, few_rows=FEW_ROWS):
     """Count, mean, sample deviation, extremes and exact quartiles of the columns of a numeric type."""
     names = [n for n in data_columns(df) if isinstance(type_of(df, n), T.NumericType)]
     numbers = df.select(*(number_of(df, name).alias(f"v{i}") for i, name in enumerate(names)))
     values = {name: F.col(f"v{i}") for i, name in enumerate(names)}
-    quartiles = quantile_columns(numbers, values, (0.25, 0.5, 0.75), small_rows)
+    quartiles = quantile_columns(numbers, values, (0.25, 0.5, 0.75), few_rows)
     aggregates = []
     for i, name in enumerate(names):
         v = values[name]
@@ -143,9 +144,13 @@ def describe_numeric(df, small_rows=SMALL_ROWS):
     return _per_column(numbers.agg(*aggregates), names, fields)
 
 
-def date_summary(df, columns=None, row_id=ROW_ID):
-    """Earliest and latest date, missing and parsed counts of the date-like columns."""
-    names = date_like_columns(df, _chosen(df, columns), row_id)
+def date_summary(df, columns=None):
+    """Earliest and latest date, missing and parsed counts of columns with dates.
+
+    Of the columns asked for, those with any date; otherwise those of a date type and text of which four fifths are dates.
+    """
+    asked = resolve_columns(df.columns, columns)
+    names = [n for n in asked or data_columns(df) if is_moment_type(type_of(df, n)) or is_text(type_of(df, n))]
     if not names:
         raise ValueError("No date-like column was found.")
     aggregates = []
@@ -157,12 +162,15 @@ def date_summary(df, columns=None, row_id=ROW_ID):
         ]
 
     def fields(i, name):
+        whole = bool(asked) or is_moment_type(type_of(df, name))
+        enough = F.lit(True) if whole else F.col(f"n{i}") >= PARSE_SHARE * (F.col("total") - F.col(f"m{i}"))
         return (
             F.lit(name).alias("Column"), F.col(f"min{i}").alias("Min Date"), F.col(f"max{i}").alias("Max Date"),
-            F.col(f"m{i}").alias("Missing Count"), F.col(f"n{i}").alias("Parsed Count"),
+            F.col(f"m{i}").alias("Missing Count"), F.col(f"n{i}").alias("Parsed Count"), enough.alias("_enough"),
         )
 
-    return _per_column(df.agg(*aggregates), names, fields).filter(F.col("Parsed Count") > 0)
+    found = _per_column(df.agg(F.count(F.lit(1)).alias("total"), *aggregates), names, fields)
+    return found.filter("_enough and `Parsed Count` > 0").drop("_enough")
 
 
 def datetime_summary(df):
@@ -191,12 +199,15 @@ def duplicate_count(df):
 
 def _unpivot(df, names):
     """Rows (column, value) of text; one pass for all columns."""
-    cells = (F.struct(F.lit(n).alias("column"), as_text(col(n), type_of(df, n)).alias("value")) for n in names)
-    return df.select(F.inline(F.array(*cells)))
+    pairs = (F.struct(F.lit(n).alias("column"), as_text(col(n), type_of(df, n)).alias("value")) for n in names)
+    return df.select(F.inline(F.array(*pairs)))
+
 
+def categorical_summary(df, limit=None):
+    """Rows (column, unique_count, missing_count, rank, value, count): values of text and Boolean columns by frequency.
 
-def categorical_summary(df, limit=10):
-    """Rows (column, unique_count, missing_count, rank, value, count): the most frequent values of text and Boolean columns."""
+    With a limit only the most frequent ones. Ranks without a limit sort all distinct values of a column in one task.
+    """
     names = [f.name for f in df.schema if is_text(f.dataType) or isinstance(f.dataType, T.BooleanType)]
     counts = _unpivot(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy("column").agg(
@@ -205,7 +216,8 @@ def categorical_summary(df, limit=10):
     )
     # The rank filter lets Spark keep only the leading rows of each column before it shuffles.
     order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    top = counts.filter("value is not null").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    top = counts.filter("value is not null").withColumn("rank", F.row_number().over(order))
+    top = top if limit is None else top.filter(F.col("rank") <= limit)
     return totals.join(top, "column", "left").select("column", "unique_count", "missing_count", "rank", "value", "count")
 
 
@@ -225,30 +237,26 @@ def table_summary(df):
     return _per_column(summary, names, fields)
 
 
-def dataset_context(df, sample_limit=5, row_id=ROW_ID):
-    """Per column: type, missing and distinct counts, first values, and all values of columns with at most 20."""
+def dataset_context(df, sample_limit=5, low_cardinality=LOW_CARDINALITY, row_id=ROW_ID):
+    """Per column: type, missing and distinct counts, first values, and all values of columns with few different ones."""
     names = data_columns(df)
 
     def fields(i, name):
         return (
             F.lit(name).alias("column"), decided_type(df, i, name).alias("type"),
-            F.col(f"m{i}").alias("missing_count"), F.col(f"d{i}").alias("unique_count"),
+            F.col(f"m{i}").alias("missing_count"),
         )
 
-    summary = _per_column(_typed_summary(df, names, row_id), names, fields)
-    known = summary.collect()
-    summary = df.sparkSession.createDataFrame(known, summary.schema)
-    low = [row["column"] for row in known if 0 < row["unique_count"] <= LOW_CARDINALITY]
-    result = summary.join(
-        _samples(df, names, sample_limit, row_id).withColumnRenamed("samples", "sample_values"), "column", "left"
-    )
-    if not low:
-        return result.withColumn("low_cardinality_values", F.lit(None).cast("array<string>"))
-    ordered = F.array_sort(F.collect_list(F.struct("position", "value")))
-    values = first_values(df, low, LOW_CARDINALITY, row_id=row_id, distinct=True).groupBy("column").agg(
-        F.transform(ordered, lambda item: item["value"]).alias("low_cardinality_values")
+    summary = _per_column(_typed_summary(df, names), names, fields)
+    values = distinct_values(df, names, row_id=row_id)
+    unique = _distinct_counts(values)
+    few = _in_order(leading(values, low_cardinality)).withColumnRenamed("samples", "_few")
+    samples = _in_order(first_values(df, names, sample_limit, row_id=row_id)).withColumnRenamed("samples", "sample_values")
+    joined = summary.join(unique, "column", "left").join(samples, "column", "left").join(few, "column", "left")
+    return joined.select(
+        "column", "type", "missing_count", F.coalesce("unique", F.lit(0)).cast("long").alias("unique_count"), "sample_values",
+        F.when(F.col("unique") <= low_cardinality, F.col("_few")).alias("low_cardinality_values"),
     )
-    return result.join(values, "column", "left")
 
 
 # The shape of a number cell, and the shares from which a column is numeric or dated.
@@ -296,13 +304,13 @@ def profile_flags(df):
     return _per_column(df.agg(*aggregates), names, fields)
 
 
-def column_profile(df, column, kind=None, small_rows=SMALL_ROWS):
-    """Summary by kind: num (with population deviation), date (span) or text (top 8 values and the distinct count)."""
+def column_profile(df, column, kind=None, few_rows=FEW_ROWS, limit=None):
+    """Summary by kind: num (with population deviation), date (span) or text (values by frequency and the distinct count)."""
     name = resolve_column(df.columns, column)
     kind = kind or profile_flags(df.select(col(name))).first()["type"]
     if kind == "num":
         number = df.select(number_of(df, name).alias("v"))
-        median = quantile_columns(number, {"v": F.col("v")}, (0.5,), small_rows)["v"]
+        median = quantile_columns(number, {"v": F.col("v")}, (0.5,), few_rows)["v"]
         v = F.col("v")
         return number.agg(
             F.count(v).alias("count"), F.avg(v).alias("mean"), median.alias("median"), F.min(v).alias("min"),
@@ -311,6 +319,7 @@ def column_profile(df, column, kind=None, small_rows=SMALL_ROWS):
     if kind == "date":
         moment = lenient_moment(col(name), type_of(df, name))
         return df.agg(F.min(moment).alias("earliest"), F.max(moment).alias("latest"), F.count(moment).alias("count"))
-    top = value_counts(df, name, limit=8)
-    distinct = df.agg(_distinct(df, name)).scalar()
-    return top.select(as_text(col(name), type_of(df, name)).alias("value"), F.col("Count").alias("count"), distinct.alias("unique"))
+    counts = value_counts(df, name)
+    unique = counts.agg(F.count(F.lit(1)).alias("unique"))  # one row
+    top = counts if limit is None else counts.limit(limit)
+    return top.select(as_text(col(name), type_of(df, name)).alias("value"), F.col("Count").alias("count"), unique.scalar().alias("unique"))

@@ -1,22 +1,19 @@
 """Exact quantiles of whole columns without collecting a column in one task.
 
-Spark's percentile() keeps every distinct value of its group in one task. That is fine for small tables and used there.
-On larger ones the values are counted in equal-width bins, each wanted rank picks its bin, and the bin is divided again until
-it holds few rows; only these are ranked. Every pass is one job for all columns and ranks, whose counts are combined before
-they are shuffled, and the driver sees at most BINS counts per open bracket.
+The values of every column are counted in equal-width bins; each wanted rank picks its bin, and the bin is divided again until
+it holds few rows; only these are ranked. Every pass is one scan and one job for all columns and ranks, whose counts are
+combined before they are shuffled, and the driver sees at most BINS counts per open bracket. All tables take this way.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Window, functions as F
 
-SMALL_ROWS = 100_000
+FEW_ROWS = 10_000
 BINS = 4096
-MAX_PASSES = 40
 
 
 @dataclass(frozen=True)
@@ -29,8 +26,8 @@ class _Bracket:
     below: int
     inside: int
 
-    def open(self, small_rows):
-        return self.low < self.high and self.inside > small_rows
+    def open(self, few_rows):
+        return self.low < self.high and self.inside > few_rows
 
     def member(self, value):
         return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
@@ -41,25 +38,24 @@ class _Bracket:
         return F.least(F.floor((value / 2 - self.low / 2) / width * BINS), F.lit(BINS - 1)).cast("int")
 
 
-def _per_bracket(df, values, brackets, count):
-    """Counts of each bracket's members under its number. A bracket reads one column, with its bounds as a plain filter."""
-
-    def one(i, bracket):
-        members = df.select(values[bracket.name].alias("value")).filter(bracket.member(F.col("value")))
-        return count(members, bracket).select(F.lit(i).alias("id"), "*")
-
-    return reduce(DataFrame.unionAll, (one(i, b) for i, b in enumerate(brackets)))
+def _members(df, values, brackets):
+    """Rows (id, bin, value) of all values in a bracket, from one scan. The brackets of a column do not overlap."""
+    cells = []
+    for name, value in values.items():
+        own = [(i, b) for i, b in enumerate(brackets) if b.name == name]
+        if own:
+            number, place = F, F
+            for i, b in own:
+                number, place = number.when(b.member(value), i), place.when(b.member(value), b.bin(value))
+            cells.append(F.struct(number.alias("id"), place.alias("bin"), value.alias("value")))
+    return df.select(F.inline(F.array(*cells))).filter("id is not null")
 
 
 def _divide(df, values, brackets):
     """The non-empty bins of each bracket, in order, as brackets of their own."""
-
-    def bins(members, bracket):
-        return members.groupBy(bracket.bin(F.col("value")).alias("bin")).agg(
-            F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
-        )
-
-    found = _per_bracket(df, values, brackets, bins)
+    found = _members(df, values, brackets).groupBy("id", "bin").agg(
+        F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
     parts = {b: [] for b in brackets}
     below = [b.below for b in brackets]
     for row in sorted(found.collect(), key=lambda r: (r["id"], r["bin"])):
@@ -72,7 +68,7 @@ def _divide(df, values, brackets):
 def _ranked(df, values, wanted):
     """{(name, rank): value} for ranks in brackets with few rows."""
     brackets = sorted({b for b in wanted.values()}, key=lambda b: (b.name, b.below))
-    rows = _per_bracket(df, values, brackets, lambda members, _: members.groupBy("value").count())
+    rows = _members(df, values, brackets).groupBy("id", "value").count()
     running = Window.partitionBy("id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranks = {i: sorted({rank - b.below for (n, rank), w in wanted.items() if w == b}) for i, b in enumerate(brackets)}
     asked = F.array(*(F.array(*map(F.lit, ranks[i])) for i in range(len(brackets))))
@@ -94,7 +90,7 @@ def _infinite(name, rank, row, i):
     return None
 
 
-def exact_quantiles(df, values, probabilities, small_rows=SMALL_ROWS):
+def exact_quantiles(df, values, probabilities, few_rows=FEW_ROWS):
     """{name: [quantile, ...]} with linear interpolation; None for a column without values."""
     extent = []
     for i, value in enumerate(values.values()):
@@ -103,7 +99,7 @@ def exact_quantiles(df, values, probabilities, small_rows=SMALL_ROWS):
             F.count(value).alias(f"n{i}"), F.count(F.when(value == -math.inf, 1)).alias(f"neg{i}"),
             F.count(finite).alias(f"fin{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
         ]
-    row = df.agg(*extent).first()
+    row = df.agg(*extent).first() if extent else None
     sizes = {name: row[f"n{i}"] for i, name in enumerate(values)}
     at, wanted = {}, {}
     for i, name in enumerate(values):
@@ -115,14 +111,13 @@ def exact_quantiles(df, values, probabilities, small_rows=SMALL_ROWS):
                     at[name, rank] = known
                 else:
                     wanted[name, rank] = _Bracket(name, row[f"lo{i}"], row[f"hi{i}"], row[f"neg{i}"], row[f"fin{i}"])
-    for _ in range(MAX_PASSES):
-        brackets = sorted({b for b in wanted.values() if b.open(small_rows)}, key=lambda b: (b.name, b.below))
-        if not brackets:
-            break
+    while brackets := sorted({b for b in wanted.values() if b.open(few_rows)}, key=lambda b: (b.name, b.below)):
         parts = _divide(df, values, brackets)
         for (name, rank), b in wanted.items():
             if b in parts:
                 wanted[name, rank] = next(p for p in parts[b] if p.below <= rank < p.below + p.inside)
+                if wanted[name, rank] == b:
+                    raise ArithmeticError(f"Values of '{name}' between {b.low} and {b.high} are too close to be told apart.")
     at |= {key: b.low for key, b in wanted.items() if b.low == b.high}
     rest = {key: b for key, b in wanted.items() if b.low != b.high}
     at |= _ranked(df, values, rest) if rest else {}
@@ -135,9 +130,7 @@ def exact_quantiles(df, values, probabilities, small_rows=SMALL_ROWS):
     return {name: [quantile(name, p) if sizes[name] else None for p in probabilities] for name in values}
 
 
-def quantile_columns(df, values, probabilities, small_rows=SMALL_ROWS):
+def quantile_columns(df, values, probabilities, few_rows=FEW_ROWS):
     """{name: array-of-quantiles column} to use beside other aggregates of the same table."""
-    if df.count() <= small_rows:
-        return {name: F.percentile(value, list(probabilities)) for name, value in values.items()}
-    exact = exact_quantiles(df, values, probabilities, small_rows)
+    exact = exact_quantiles(df, values, probabilities, few_rows)
     return {name: F.array(*(F.lit(q).cast("double") for q in found)) for name, found in exact.items()}

@@ -1,17 +1,12 @@
-"""The first values of each column, and decisions that rest on them."""
+"""Columns of a table, and the first values of each column."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Window, functions as F
 
-from pyspark.sql import DataFrame, Window, functions as F
-
-from rollbook.functions.dates import DATE_LIKE, is_moment_type
-from rollbook.functions.missing import as_text, is_blank, is_text, type_of
+from rollbook.functions.missing import as_text, is_blank, type_of
 from rollbook.sources.files import ROW_ID
 
-DATE_SAMPLE = 10
-HEAD_ROWS = 200
 POSITION = "_position"
 
 
@@ -24,72 +19,43 @@ def data_columns(df):
     return [name for name in df.columns if not (name.startswith("_") and name.endswith(ROW_ID))]
 
 
-def _value(df, name):
-    return as_text(col(name), type_of(df, name))
+def cells(df, columns, missing=is_blank, row_id=ROW_ID):
+    """Rows (ordinal, column, position, value) of all present cells as text: one narrow pass over the table."""
+    position = col(row_id) if row_id in df.columns else F.monotonically_increasing_id()
+    each = F.array(
+        *(
+            F.struct(
+                F.lit(i).alias("ordinal"), F.lit(name).alias("column"),
+                F.when(~missing(col(name), type_of(df, name)), as_text(col(name), type_of(df, name))).alias("value"),
+            )
+            for i, name in enumerate(columns)
+        )
+    )
+    rows = df.select(position.alias("position"), each.alias("_cells")).select("position", F.inline("_cells"))
+    return rows.filter("value is not null").select("ordinal", "column", "position", "value")
 
 
-def _first_of_column(df, index, name, n, missing, position, distinct):
-    """The first n present values of one column: a bounded top-n over two columns of the scan."""
-    present = df.filter(~missing(col(name), type_of(df, name))).select(_value(df, name).alias("value"), position.alias("position"))
-    if distinct:
-        present = present.groupBy("value").agg(F.min("position").alias("position"))
-    picked = present.orderBy("position").limit(n)
-    return picked.select(F.lit(index).alias("ordinal"), F.lit(name).alias("column"), "position", "value")
+def distinct_values(df, columns, missing=is_blank, row_id=ROW_ID):
+    """Rows (ordinal, column, value, position, count): every present value once, with the place where it stands first."""
+    found = cells(df, columns, missing, row_id).groupBy("ordinal", "column", "value")
+    return found.agg(F.min("position").alias("position"), F.count(F.lit(1)).alias("count"))
 
 
-def _head(df, row_id):
-    """The first rows, found through the row id alone so that the scan of the other columns can be pruned."""
-    if row_id not in df.columns:
-        return df.limit(HEAD_ROWS).withColumn(POSITION, F.monotonically_increasing_id())
-    ids = df.select(col(row_id).alias(POSITION)).orderBy(POSITION).limit(HEAD_ROWS)
-    last = ids.agg(F.max(POSITION)).first()[0]
-    return df.filter(col(row_id) <= F.lit(last)).withColumn(POSITION, col(row_id))
+def leading(rows, n):
+    """The first n rows of each column. The rank filter lets tasks drop all but their own first n before the shuffle."""
+    order = Window.partitionBy("ordinal").orderBy("position")
+    ranked = rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n)
+    return ranked.select("ordinal", "column", "position", "value")
 
 
 def first_values(df, columns, n, missing=is_blank, row_id=ROW_ID, distinct=False):
     """Rows (ordinal, column, position, value): the first n present values of each column in row order.
 
-    The first rows of the table usually hold enough values of every column. Only columns that are too sparse there get a
-    top-n of their own over the whole table. With distinct=True repeated values count once, at their first appearance.
+    With distinct=True repeated values count once, at their first appearance.
     """
     columns = list(columns)
-    head = _head(df, row_id)
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("ordinal"), F.lit(name).alias("column"), F.col(POSITION).alias("position"),
-                F.when(~missing(col(name), type_of(df, name)), _value(df, name)).alias("value"),
-            )
-            for i, name in enumerate(columns)
-        )
-    )
-    present = head.select(F.inline(cells)).filter("value is not null")
-    if distinct:
-        present = present.groupBy("ordinal", "column", "value").agg(F.min("position").alias("position"))
-    counts = present.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n")).collect()
-    enough = {row["ordinal"] for row in counts if row["n"] >= n}
-    order = Window.partitionBy("ordinal").orderBy("position")
-    parts = []
-    if enough:
-        ranked = present.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= n)
-        parts.append(ranked.filter(F.col("ordinal").isin(*enough)).select("ordinal", "column", "position", "value"))
-    position = col(row_id) if row_id in df.columns else F.monotonically_increasing_id()
-    parts += [
-        _first_of_column(df, i, name, n, missing, position, distinct) for i, name in enumerate(columns) if i not in enough
-    ]
-    return reduce(DataFrame.unionAll, parts)
-
-
-def date_like_columns(df, columns, row_id=ROW_ID):
-    """Columns that may hold dates: date types, and text whose first ten values show a date shape. Runs one small job."""
-    typed = [name for name in columns if is_moment_type(type_of(df, name))]
-    texts = [name for name in columns if is_text(type_of(df, name))]
-    if not texts:
-        return typed
-    sample = first_values(df, texts, DATE_SAMPLE, row_id=row_id)
-    dated = sample.filter(F.lower("value").rlike(DATE_LIKE)).select("column").distinct()
-    found = {row["column"] for row in dated.collect()}
-    return [name for name in columns if name in typed or name in found]
+    rows = distinct_values(df, columns, missing, row_id) if distinct else cells(df, columns, missing, row_id)
+    return leading(rows, n)
 
 
 def any_row(df, condition):

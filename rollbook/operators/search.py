@@ -12,11 +12,9 @@ from rollbook.functions.dates import lenient_moment
 from rollbook.functions.missing import as_text, is_blank, is_text, type_of
 from rollbook.operators.columns import resolve_column, searchable_columns
 from rollbook.operators.predicates import date_value
-from rollbook.operators.sampling import col, date_like_columns
-from rollbook.sources.files import ROW_ID
+from rollbook.operators.sampling import col
 
 REASON = "MATCH REASON"
-MAX_REASONS = 3
 HIT_TYPE = "array<struct<column:string,term:string,value:string>>"
 
 
@@ -35,14 +33,12 @@ def filter_missing(df, column):
     return df.filter(is_blank(col(name), type_of(df, name)))
 
 
-def date_range_filter(df, column, start=None, end=None, row_id=ROW_ID):
-    """Rows dated from start to end, both included; either may be left out."""
+def date_range_filter(df, column, start=None, end=None):
+    """Rows dated from start to end, both included; either may be left out. Every cell of a text column is parsed."""
     if start is None and end is None:
         raise ValueError("Give a start or an end date.")
     name = resolve_column(df.columns, column)
     data_type = type_of(df, name)
-    if is_text(data_type) and name not in date_like_columns(df, [name], row_id):
-        return df.filter(F.lit(False))
     # A date or timestamp column is compared as it is, so that the filter reaches the scan.
     moment = lenient_moment(col(name), data_type) if is_text(data_type) else col(name)
     kind = "timestamp_ntz" if is_text(data_type) else data_type.simpleString()
@@ -124,7 +120,7 @@ def match_hits(df, groups, case_sensitive=False):
 
 
 def search(df, columns=None, terms=(), groups=None, case_sensitive=False, require_all=False, evidence=True):
-    """Rows containing any (or all) terms as substrings, with matched_column, matched_term and a reason of three parts.
+    """Rows containing any (or all) terms as substrings, with matched_column, matched_term and all reasons.
 
     With require_all every distinct term must occur somewhere in its groups.
     """
@@ -145,7 +141,7 @@ def search(df, columns=None, terms=(), groups=None, case_sensitive=False, requir
         *(col(name) for name in kept),
         joined("column").alias("matched_column"),
         joined("term").alias("matched_term"),
-        F.array_join(F.slice(reasons, 1, MAX_REASONS), "; ").alias(REASON),
+        F.array_join(reasons, "; ").alias(REASON),
     )
 
 

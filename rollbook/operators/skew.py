@@ -7,29 +7,16 @@ from operator import and_
 
 from pyspark.sql import functions as F
 
-# Groups with at least this many rows are split, the largest ones first. No more than MAX_HOT_GROUPS are, which bounds what is
-# broadcast at any data size; a group beyond them is joined like the small ones.
-HOT_ROWS = 200_000
-MAX_HOT_GROUPS = 1000
-SPLITS = 64
 
+def attach_groups(rows, groups, keys, how="left"):
+    """Join rows with groups (unique on keys, nulls equal); group columns other than keys are added.
 
-def attach_groups(rows, groups, keys, size, how="left", hot_rows=HOT_ROWS):
-    """Join rows with groups (unique on keys, nulls equal), spreading large groups over many tasks.
-
-    size names the column of groups with each group's row count. Rows of large groups get one of SPLITS salts, and those
-    groups are repeated once per salt; small groups are joined as they are. Group columns other than keys are added.
+    The groups come from an aggregation and the rows are joined as they are, so this is an ordinary shuffled join with one row
+    per key on one side. Adaptive execution splits the row side of a large key into as many tasks as its size asks for, however
+    many such keys there are; nothing is salted or broadcast here.
     """
-    largest = groups.filter(F.col(size) >= hot_rows).orderBy(F.desc(size), *keys).limit(MAX_HOT_GROUPS)
-    hot = F.broadcast(largest.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.lit(True).alias("_hot")))
-    is_hot = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
-    unmarked = ["_hot", *(f"_hot_{k}" for k in keys)]
-    # The salt is a function of the row and its input partition, so a task that runs again salts alike.
-    spread = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)) + F.spark_partition_id(), F.lit(SPLITS))
-    left = rows.join(hot, is_hot, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0).cast("int"))
-    every_salt = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPLITS - 1))).otherwise(F.array(F.lit(0)))
-    right = groups.join(hot, is_hot, "left").withColumn("_group_salt", F.explode(every_salt)).drop(*unmarked)
-    right = right.select(*(F.col(k).alias(f"_key_{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    on = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys))
-    joined = left.drop(*unmarked).join(right, on & (F.col("_salt") == F.col("_group_salt")), how)
-    return joined.drop("_salt", "_group_salt", *(f"_key_{k}" for k in keys))
+    named = groups.select(
+        *(F.col(f"`{k}`").alias(f"_key_{i}") for i, k in enumerate(keys)), *(F.col(f"`{c}`") for c in groups.columns if c not in keys)
+    )
+    on = reduce(and_, (rows[f"`{k}`"].eqNullSafe(named[f"_key_{i}"]) for i, k in enumerate(keys)))
+    return rows.join(named, on, how).drop(*(f"_key_{i}" for i in range(len(keys))))

@@ -21,6 +21,7 @@ from rollbook.operators.columns import canonical_column, find_column, person_col
 from rollbook.operators.sampling import col, data_columns
 from rollbook.plans import phrases as V
 from rollbook.plans.taxonomy import GENERIC_ROLES, PRIORITY, SEED, industry_key
+from rollbook.sources.files import ROW_ID
 
 DIRECT, ADJACENT, UNCERTAIN, NON_MATCH = "direct_match", "adjacent", "uncertain", "non_match"
 RANK = {DIRECT: 3, ADJACENT: 2, UNCERTAIN: 1, NON_MATCH: 0}
@@ -58,6 +59,11 @@ class Signals:
     taxonomies: object
     tests: dict = field(default_factory=dict)
     names: dict = field(default_factory=dict)
+    described: bool = True
+
+    def undescribed(self):
+        """The same tests, as if no column described the employer."""
+        return Signals(self.taxonomies, self.tests, self.names, described=False)
 
     def _keep(self, key, make):
         if key not in self.names:
@@ -72,6 +78,8 @@ class Signals:
         return self._keep(("employer", terms), lambda: has_term(F.col("_employer"), terms))
 
     def descriptor(self, *terms):
+        if not self.described:
+            return F.lit(False)
         return self._keep(("descriptor", terms), lambda: has_term(F.col("_descriptor"), terms))
 
     def either(self, *terms):
@@ -81,6 +89,8 @@ class Signals:
 
     def anywhere(self, *terms):
         """Title, employer and employer description read as one text."""
+        if not self.described:
+            return self.either(*terms)
         whole = F.btrim(F.concat_ws(" ", "_title", "_employer", "_descriptor"))
         return self._keep(("anywhere", terms), lambda: has_term(whole, terms))
 
@@ -365,12 +375,12 @@ def industry_outcome(s, industry, spec):
 
 
 def _shows(s, industry):
-    """Some evidence for a required industry: employer label, related specialty, or a direct match."""
+    """Some evidence for a required industry: employer label, related specialty, or a direct match by title or employer."""
     key = industry_key(industry)
     tests = [s.label(V.EMPLOYER_LABELS[key])] if key in V.EMPLOYER_LABELS else []
     tests += [s.specialty(name) for name in V.RELATED_SPECIALTIES.get(key, ())]
     if s.taxonomies.get(key):
-        tests.append(industry_outcome(s, key, QuerySpec((key,)))["rank"] == RANK[DIRECT])
+        tests.append(industry_outcome(s.undescribed(), key, QuerySpec((key,)))["rank"] == RANK[DIRECT])
     return reduce(or_, tests) if tests else F.lit(False)
 
 
@@ -651,8 +661,11 @@ def company_industries(df, column="employer", taxonomies=SEED):
     return rows.withColumn("industries", found).drop("_company")
 
 
-def explain_people(df, name, industry, taxonomies=SEED, profile=None, limit=20):
-    """Why the people of a name do or do not belong to an industry; every word of the name must occur."""
+def explain_people(df, name, industry, taxonomies=SEED, profile=None, limit=None, row_id=ROW_ID):
+    """Why the people of a name do or do not belong to an industry; every word of the name must occur.
+
+    A limit takes the first ones by row id.
+    """
     columns = data_columns(df)
     sources = [canonical_column(columns, f, profile) for f in ("first_name", "last_name", "full_name", "nickname")]
     parts = [F.coalesce(as_text(col(c), type_of(df, c)), F.lit("")) for c in dict.fromkeys(sources) if c]
@@ -663,10 +676,12 @@ def explain_people(df, name, industry, taxonomies=SEED, profile=None, limit=20):
     for word in name.lower().split():
         rows = rows.filter(F.lower("_name").contains(word))
     matched = match_industry(rows, industry, taxonomies, profile)
+    if limit is not None:
+        matched = matched.orderBy(col(row_id)).limit(limit)
     title, employer = (person_column(columns, f, profile) for f in ("occupation", "employer"))
     found = matched.select(
         F.col("_name").alias("name"),
         *(col(c).alias(n) if c else F.lit("").alias(n) for c, n in ((title, "occupation"), (employer, "employer"))),
         F.lit(industry_key(industry)).alias("target_industry"), "status", "match_sources", "confidence",
     )
-    return found if limit is None else found.limit(limit)
+    return found

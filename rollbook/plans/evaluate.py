@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from rollbook.functions.emails import row_email_tokens
@@ -13,7 +11,6 @@ from rollbook.operators.columns import compact
 from rollbook.operators.predicates import compile_spec
 from rollbook.operators.sampling import col, data_columns
 from rollbook.operators.skew import attach_groups
-from rollbook.session import checkpointed
 from rollbook.sources.files import ROW_ID
 
 NAME = "_name"
@@ -91,16 +88,8 @@ def _result_emails(rows):
 
 
 def lookup(rows, table, keys):
-    """Left join with a table unique on keys, even when many rows share a key.
-
-    Row counts per key meet the table first, where every key occurs once; the result goes back to the rows by way of
-    attach_groups, which spreads large keys.
-    """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    renamed = table.select(*(F.col(k).alias(f"_t_{k}") for k in keys), *(c for c in table.columns if c not in keys))
-    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_t_{k}")) for k in keys))
-    groups = sizes.join(renamed, on, "left").drop(*(f"_t_{k}" for k in keys))
-    return attach_groups(rows, groups, keys, "_size").drop("_size")
+    """Left join with a table unique on keys, even when many rows share a key."""
+    return attach_groups(rows, table, keys)
 
 
 IDENTITY = (NAME, "_employer", "_title", "_addresses")
@@ -125,7 +114,7 @@ def match_gold(rows, gold):
     """
     identities = rows.select(*(v.alias(n) for n, v in _features(rows, _result_emails(rows)).items()))
     grouped = identities.filter(F.col(NAME) != "").groupBy(*IDENTITY).agg(F.count(F.lit(1)).alias("result_rows"))
-    left = checkpointed(grouped)
+    left = grouped
     known = _gold_identities(gold)
     counts = _variants(known).groupBy(*PATTERN).agg(F.count(F.lit(1)).alias("_n"))
     # Each identity asks for the gold rows of its four patterns at once; the answers come back together under the identity.
@@ -147,7 +136,7 @@ def match_gold(rows, gold):
         F.when(by_title, F.col("_title")).alias("match_title"),
         gold_rows.alias("gold_rows"),
     )
-    return _with_email_match(checkpointed(found), known)
+    return _with_email_match(found, known)
 
 
 def _gold_identities(gold, *extra):
@@ -168,7 +157,7 @@ def _with_email_match(found, known):
 
 def matched_gold(rows, gold, row_id=ROW_ID):
     """The gold rows that some result row matches."""
-    patterns = checkpointed(match_gold(rows, gold))
+    patterns = match_gold(rows, gold)
     variants = _variants(_gold_identities(gold, row_id))
     plain = patterns.filter("not by_email").select(*PATTERN).distinct().withColumn("_hit", F.lit(True))
     by_address = (

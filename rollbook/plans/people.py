@@ -1,8 +1,9 @@
 """People filters: one bucket per person, alone or combined with exact predicates.
 
-A person may have any number of rows. All decisions about a person come from one aggregation of row ids (minima and maxima,
-combined before the shuffle), and the rows to show are then fetched by their unique id. No window and no sort by person is
-involved, so a person with a third of all rows costs no more than their partial aggregates.
+A person may have any number of rows. Rows that are in no bucket are dropped before anything is shuffled. One aggregation per
+person then picks the rows to show by row id (minima and maxima, combined before the shuffle), together with their cells. No
+window, no sort by person and no second pass over the table is involved, so a person with a third of all rows costs no more
+than their partial aggregates.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.missing import as_text, is_blank, type_of
 from rollbook.functions.text import norm_compact, norm_text, term_pattern
-from rollbook.operators.columns import find_column, people_selection, person_column
+from rollbook.operators.columns import find_column, people_selection, person_column, resolve_column
+from rollbook.operators.order import sort_key
 from rollbook.operators.predicates import compile_group, matching_email
 from rollbook.operators.sampling import col, data_columns
 from rollbook.operators.skew import attach_groups
@@ -48,8 +50,9 @@ def person_key(df, profile=None, id_columns=ID_COLUMNS, row_id=ROW_ID):
 
 def dedupe_people(df, profile=None, row_id=ROW_ID):
     """The first row of each person."""
-    first = df.groupBy(person_key(df, profile, row_id=row_id).alias("_person")).agg(F.min(row_id).alias(row_id))
-    return df.join(first.select(row_id), row_id, "left_semi")
+    whole = F.struct(*(col(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
+    first = df.groupBy(person_key(df, profile, row_id=row_id).alias("_person")).agg(F.min_by(whole, col(row_id)).alias("_row"))
+    return first.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(df.columns)))
 
 
 def _judged(df, spec, taxonomies, profile, row_id, *extra):
@@ -72,38 +75,61 @@ def _when(flag):
 
 
 # First counted row, last direct row (a later direct row replaces an earlier one), first adjacent and first uncertain row.
-CHOICES = {
-    "counted": lambda: F.min(_when("_counted")),
-    "direct": lambda: F.max(_when("_direct")),
-    "adjacent": lambda: F.min(_when("_adjacent")),
-    "uncertain": lambda: F.min(_when("_uncertain")),
+PICKS = {
+    "counted": (F.min_by, "_counted"), "direct": (F.max_by, "_direct"), "adjacent": (F.min_by, "_adjacent"), "uncertain": (F.min_by, "_uncertain"),
 }
 
 
+def _beside():
+    """A person who counts is not shown as adjacent, and one who is either is not shown as uncertain."""
+    return {
+        "adjacent": F.when(F.col("counted").isNull(), F.col("adjacent")),
+        "uncertain": F.when(F.col("counted").isNull() & F.col("adjacent").isNull(), F.col("uncertain")),
+    }
+
+
 def _per_person(judged, *extra):
-    chosen = judged.groupBy("_person").agg(*(make().alias(name) for name, make in CHOICES.items()), *extra)
-    beside = F.when(F.col("counted").isNull(), F.col("adjacent"))
-    unsure = F.when(F.col("counted").isNull() & F.col("adjacent").isNull(), F.col("uncertain"))
-    return chosen.withColumns({"adjacent": beside, "uncertain": unsure})
+    chosen = judged.groupBy("_person").agg(*(best(F.col("_id"), _when(flag)).alias(name) for name, (best, flag) in PICKS.items()), *extra)
+    return chosen.withColumns(_beside())
 
 
-def _shown(chosen):
-    """Rows (bucket, row id) of the rows to show."""
-    pairs = F.array(*(F.struct(F.lit(b).alias("bucket"), F.col(b).alias("_id")) for b in BUCKETS))
-    return chosen.select(F.inline(pairs)).filter("_id is not null")
+def _cells(df, profile, columns, row_id, extra=None):
+    """Names and cells of the rows to show."""
+    shown = df.withColumns(extra or {}).select(*people_selection(df, profile, columns), *(col(n) for n in extra or {}), col(row_id))
+    cells = [*people_selection(df, profile, columns), *(extra or {}).values(), col(row_id)]
+    return shown.columns, F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cells))).alias("_cells")
 
 
-def people_filter(df, spec, taxonomies=SEED, profile=None, columns=None, row_id=ROW_ID):
-    """Rows (bucket, people columns, row id): every person in "counted" and "direct", or in "adjacent" or "uncertain"."""
-    chosen = _per_person(_judged(df, spec, taxonomies, profile, row_id))
-    return _display(df, _shown(chosen), profile, columns, row_id)
+FLAGS = ("_counted", "_adjacent", "_uncertain")
+
+
+def _flagged(judged, *more):
+    return judged.filter(reduce(or_, (F.col(flag) for flag in (*FLAGS, *more))))
+
+
+def _chosen(judged, exact=False):
+    """Per person the rows to show, whole, under the same choice as _per_person; with exact also the first exact row."""
+    row = F.struct("_id", "_cells", *(["_exact"] if exact else []))
+    picks = {name: best(row, _when(flag)).alias(name) for name, (best, flag) in PICKS.items()}
+    chosen = judged.groupBy("_person").agg(*picks.values(), *([F.min_by(row, _when("_exact")).alias("exact")] if exact else []))
+    return chosen.withColumns(_beside())
+
 
+def _listed(chosen):
+    """Rows (bucket, row) of the rows to show."""
+    pairs = F.array(*(F.struct(F.lit(b).alias("bucket"), F.col(b).alias("row")) for b in BUCKETS))
+    return chosen.select(F.inline(pairs)).filter("row is not null")
 
-def _display(df, shown, profile, columns, row_id, extra=None):
-    keyed = df.withColumns({"_id": col(row_id), **(extra or {})})
-    rows = keyed.join(shown, "_id")
-    added = [col(name) for name in (extra or {})]
-    return rows.select("bucket", *people_selection(df, profile, columns), *added, F.col("_id").alias(row_id))
+
+def _display(rows, names):
+    return rows.select("bucket", *(F.col(f"row._cells.c{i}").alias(n) for i, n in enumerate(names)))
+
+
+def people_filter(df, spec, taxonomies=SEED, profile=None, columns=None, row_id=ROW_ID):
+    """Rows (bucket, people columns, row id): every person in "counted" and "direct", or in "adjacent" or "uncertain"."""
+    names, cells = _cells(df, profile, columns, row_id)
+    chosen = _chosen(_flagged(_judged(df, spec, taxonomies, profile, row_id, cells)))
+    return _display(_listed(chosen), names)
 
 
 def people_metrics(df, spec, taxonomies=SEED, profile=None, row_id=ROW_ID):
@@ -142,12 +168,12 @@ def candidate_metrics(df, spec, terms, columns, taxonomies=SEED, profile=None, r
     and its person has neither counted nor been adjacent before it.
     """
     judged = _judged(df, spec, taxonomies, profile, row_id, _term_hits(df, columns, terms).alias("_hits"))
-    people = judged.groupBy("_person").agg(
+    # Only rows with a hit are counted, and only counted and adjacent rows say anything about their person.
+    people = judged.filter(F.col("_counted") | F.col("_adjacent")).groupBy("_person").agg(
         F.min(_when("_counted")).alias("_first_counted"),
         F.least(F.min(_when("_counted")), F.min(_when("_adjacent"))).alias("_first_related"),
-        F.count(F.lit(1)).alias("_rows"),
     )
-    rows = attach_groups(judged, people, ["_person"], "_rows")
+    rows = attach_groups(judged.filter("_hits > 0"), people, ["_person"])
     before_counted = F.col("_first_counted").isNull() | (F.col("_id") < F.col("_first_counted"))
     before_related = F.col("_first_related").isNull() | (F.col("_id") < F.col("_first_related"))
     taken = F.col("_counted") | (F.col("_adjacent") & before_counted) | (F.col("_uncertain") & before_related)
@@ -159,48 +185,54 @@ def candidate_metrics(df, spec, terms, columns, taxonomies=SEED, profile=None, r
     )
 
 
-def _composed(df, spec, group, taxonomies, profile, row_id):
-    """Per person the shown rows of the fuzzy buckets and the first row that meets the predicates."""
-    exact = df.withColumn("_exact", compile_group(df, group))
-    judged = _judged(exact, spec, taxonomies, profile, row_id, F.col("_exact"))
-    return _per_person(judged, F.min(_when("_exact")).alias("exact"))
-
-
 def _united(chosen):
     """Buckets of "fuzzy or exact": exact rows join counted and direct, and a row shown there leaves the other buckets."""
+    exact = F.col("exact")
 
-    def rows(bucket, *ids):
-        distinct = F.array_distinct(F.array_compact(F.array(*ids)))
-        return F.transform(distinct, lambda i: F.struct(F.lit(bucket).alias("bucket"), i.alias("_id")))
+    def joined(bucket):
+        row = F.col(bucket)
+        other = F.when(~exact["_id"].eqNullSafe(row["_id"]), exact)
+        return F.transform(F.array_compact(F.array(row, other)), lambda r: F.struct(F.lit(bucket).alias("bucket"), r.alias("row")))
 
-    def unless_exact(name):
-        return F.when(~F.col(name).eqNullSafe(F.col("exact")), F.col(name))
+    def unless_exact(bucket):
+        row = F.when(~F.col(bucket)["_id"].eqNullSafe(exact["_id"]), F.col(bucket))
+        return F.transform(F.array_compact(F.array(row)), lambda r: F.struct(F.lit(bucket).alias("bucket"), r.alias("row")))
 
-    buckets = F.concat(
-        rows("counted", F.col("counted"), F.col("exact")),
-        rows("direct", F.col("direct"), F.col("exact")),
-        rows("adjacent", unless_exact("adjacent")),
-        rows("uncertain", unless_exact("uncertain")),
-    )
+    buckets = F.concat(joined("counted"), joined("direct"), unless_exact("adjacent"), unless_exact("uncertain"))
     return chosen.select(F.inline(buckets))
 
 
-def composite_filter(df, spec, group, logic="and", taxonomies=SEED, profile=None, columns=None, row_id=ROW_ID):
+def composite_filter(df, spec, group, logic="and", taxonomies=SEED, profile=None, columns=None, row_id=ROW_ID, sort=None, limit=None):
     """People buckets combined with exact predicates.
 
     "and" keeps the shown rows that meet the predicates. A person's counted and direct row can differ, so the two buckets
     can keep different people. "or" adds the first matching row of each person to both. E-mail predicates add the column
-    "Matching Email".
+    "Matching Email". sort is {"column", "direction"} of a column of the table; a limit takes the first rows in that order,
+    or by bucket and row id.
     """
     if logic not in ("and", "or"):
         raise ValueError("Logic must be and or or.")
     emails = matching_email(df, group)
     extra = {"Matching Email": emails} if emails is not None else {}
+    key = {}
+    if sort:
+        key = {"_sort": sort_key(df, resolve_column(df.columns, sort["column"]))}
+    names, cells = _cells(df, profile, columns, row_id, {**extra, **key})
+    exact = df.withColumn("_exact", F.coalesce(compile_group(df, group), F.lit(False)))
+    judged = _judged(exact, spec, taxonomies, profile, row_id, F.col("_exact"), cells)
     if logic == "and":
-        chosen = _per_person(_judged(df, spec, taxonomies, profile, row_id))
-        return _display(df.filter(compile_group(df, group)), _shown(chosen), profile, columns, row_id, extra)
-    chosen = _composed(df, spec, group, taxonomies, profile, row_id)
-    return _display(df, _united(chosen), profile, columns, row_id, extra)
+        rows = _listed(_chosen(_flagged(judged), exact=True)).filter("row._exact")
+    else:
+        rows = _united(_chosen(_flagged(judged, "_exact"), exact=True))
+    shown = _display(rows, names)
+    order = [F.col("bucket"), col(row_id)]
+    if sort:
+        ascending = str(sort.get("direction") or "desc").lower().startswith("asc")
+        order.insert(0, F.col("_sort").asc_nulls_last() if ascending else F.col("_sort").desc_nulls_last())
+    if sort or limit is not None:
+        shown = shown.orderBy(*order)
+    shown = shown.drop("_sort") if sort else shown
+    return shown if limit is None else shown.limit(limit)
 
 
 def composite_metrics(df, spec, group, logic="and", taxonomies=SEED, profile=None, row_id=ROW_ID):

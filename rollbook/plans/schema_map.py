@@ -14,11 +14,10 @@ from rollbook.functions.emails import email_tokens, mask_emails
 from rollbook.functions.missing import as_text, is_null, strip, type_of
 from rollbook.functions.numbers import LENIENT_SHAPE
 from rollbook.operators.columns import compact
-from rollbook.operators.sampling import col, data_columns, first_values
+from rollbook.operators.sampling import cells, col, data_columns, distinct_values, first_values, leading
 from rollbook.plans import registry as R
 from rollbook.sources.files import ROW_ID
 
-SAMPLE = 30
 MAX_YEAR_AHEAD = 10
 
 
@@ -38,22 +37,26 @@ def column_metadata(df, samples=3, row_id=ROW_ID):
     counters = []
     for i, name in enumerate(names):
         absent = is_null(col(name), type_of(df, name))
-        counters += [F.count(F.when(absent, 1)).alias(f"m{i}"), F.countDistinct(F.when(~absent, col(name))).alias(f"d{i}")]
+        counters.append(F.count(F.when(absent, 1)).alias(f"m{i}"))
     rows = F.array(
         *(
             F.struct(
                 F.lit(n).alias("column"), F.lit(_type_word(type_of(df, n))).alias("type"),
-                F.col(f"m{i}").alias("missing_count"), F.col(f"d{i}").alias("unique_count"),
+                F.col(f"m{i}").alias("missing_count"),
             )
             for i, n in enumerate(names)
         )
     )
     summary = df.agg(*counters).select(F.inline(rows))
-    values = first_values(df, names, samples, missing=is_null, row_id=row_id, distinct=True)
-    masked = values.withColumn("value", mask_emails(strip(F.col("value")))).filter("value != ''")
+    values = distinct_values(df, names, is_null, row_id)
+    unique = values.groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    masked = leading(values, samples).withColumn("value", mask_emails(strip(F.col("value")))).filter("value != ''")
     ordered = F.array_sort(F.collect_list(F.struct("position", "value")))
     listed = masked.groupBy("column").agg(F.transform(ordered, lambda item: item["value"]).alias("sample_values"))
-    return summary.join(listed, "column", "left")
+    joined = summary.join(unique, "column", "left").join(listed, "column", "left")
+    return joined.select(
+        "column", "type", "missing_count", F.coalesce("unique", F.lit(0)).cast("long").alias("unique_count"), "sample_values"
+    )
 
 
 def _literal_rows(spark, names, rows):
@@ -105,7 +108,7 @@ def header_candidates(df):
 
 
 def _sampled(df, sample, row_id):
-    """Rows (ordinal, column, value): the first values of each column, or all of them with sample=None."""
+    """Rows (column, value) of all values, or of the first ones of each column if a sample is asked for."""
     names = data_columns(df)
     if sample is not None:
         return first_values(df, names, sample, missing=is_null, row_id=row_id).select("column", "value")
@@ -115,7 +118,7 @@ def _sampled(df, sample, row_id):
     return df.select(F.inline(cells)).filter("value is not null")
 
 
-def sample_rates(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
+def sample_rates(df, sample=None, row_id=ROW_ID, this_year=None):
     """Per column: how many filled values there are and which share looks like each kind of content."""
     text = strip(F.col("value"))
     year = F.regexp_extract(text, r"^(\d{4})(?:\.0)?$", 1)
@@ -136,7 +139,7 @@ def sample_rates(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
     )
 
 
-def sample_candidates(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
+def sample_candidates(df, sample=None, row_id=ROW_ID, this_year=None):
     """Candidates from cell contents, together with what the header says. Free-text columns are skipped."""
     rates = sample_rates(df, sample, row_id, this_year)
     header = F.col("header")
@@ -171,7 +174,7 @@ def confidence_label(confidence):
     return F.when(confidence >= R.HIGH, F.lit("high")).when(confidence >= R.MEDIUM, F.lit("medium")).otherwise(F.lit("low"))
 
 
-def schema_candidates(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
+def schema_candidates(df, sample=None, row_id=ROW_ID, this_year=None):
     """Best candidate per source and field.
 
     There are a few candidates per column of the table, however many rows it has, so they fit one partition and the windows
@@ -206,11 +209,11 @@ def _assignments(candidates):
         .withColumn("_near", F.sum((F.col("confidence") >= F.round(top - R.FIELD_GAP, 6)).cast("int")).over(field))
         .withColumn("_single", single)
         .withColumn("conflicted", single & (F.col("_near") > 1))
-        .withColumn("kept", ~F.col("conflicted") & F.when(single, F.col("_place") == 1).otherwise(F.col("_place") <= R.MAX_SOURCES))
+        .withColumn("kept", ~F.col("conflicted") & (~single | (F.col("_place") == 1)))
     )
 
 
-def infer_schema(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
+def infer_schema(df, sample=None, row_id=ROW_ID, this_year=None):
     """Profile rows (canonical_field, source_columns, confidence, label, method, user_confirmed)."""
     assigned = _assignments(schema_candidates(df, sample, row_id, this_year)).filter("kept")
     ordered = F.array_sort(F.collect_list(F.struct("_place", "source")))
@@ -225,7 +228,7 @@ def infer_schema(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
     )
 
 
-def schema_conflicts(df, sample=SAMPLE, row_id=ROW_ID, this_year=None):
+def schema_conflicts(df, sample=None, row_id=ROW_ID, this_year=None):
     """Rows (type, canonical_fields, source_columns): sources with rival fields and fields with rival sources."""
     candidates = schema_candidates(df, sample, row_id, this_year)
     contested = _best_per_source(candidates).filter("contested").select("source", F.col("confidence").alias("top"))
@@ -251,9 +254,8 @@ def validate_mapping(mapping, columns, ignored=()):
     for field, sources in mapping.items():
         if field not in R.FIELDS:
             raise ValueError(f"Unknown canonical field '{field}'.")
-        most = R.MAX_SOURCES if field in R.MULTI_SOURCE_FIELDS else 1
-        if len(sources) > most:
-            raise ValueError(f"Field '{field}' takes at most {most} source columns.")
+        if len(sources) > 1 and field not in R.MULTI_SOURCE_FIELDS:
+            raise ValueError(f"Field '{field}' takes one source column.")
         for source in sources:
             if source not in columns:
                 raise ValueError(f"Source column '{source}' does not exist.")
@@ -316,7 +318,7 @@ def apply_mapping(df, mapping):
     return df.select(*fields, *(col(n) for n in df.columns if n not in mapped and n not in taken))
 
 
-def semantic_columns(df, field, mapping=None, samples=5, row_id=ROW_ID):
+def semantic_columns(df, field, mapping=None, samples=None, row_id=ROW_ID):
     """All columns of a field in table order: mapped ones, else by header, and for e-mail also by contents."""
     names = data_columns(df)
     mapped = [s for s in (mapping or {}).get(field, ()) if s in names]
@@ -335,7 +337,7 @@ def semantic_columns(df, field, mapping=None, samples=5, row_id=ROW_ID):
     unsure = [n for n in free if not named(n)]
     found = set()
     if unsure:
-        values = first_values(df, unsure, samples, row_id=row_id)
+        values = cells(df, unsure, row_id=row_id) if samples is None else first_values(df, unsure, samples, row_id=row_id)
         hit = (F.size(email_tokens(F.col("value"))) > 0).cast("double")
         rates = values.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("rate"))
         found = {row["column"] for row in rates.filter("n >= 3 and rate >= 0.8").collect()}

@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from rollbook.functions.missing import is_text, strip
+from rollbook.session import saved
 
 ROW_ID = "_row_id"
 
@@ -49,8 +50,9 @@ def null_tokens(df, tokens=NA_TOKENS, columns=None):
     return df.select(*projected)
 
 
-def read_csv(spark, path, multiline=True, trim_cells=False, na_tokens=None):
-    """A headed CSV as text columns. With multiline=False, large files without quoted line breaks are split over tasks."""
+def read_csv(spark, path, multiline=False, trim_cells=False, na_tokens=None):
+    """A headed CSV as text columns. Large files are split over tasks; multiline=True reads cells with quoted
+    line breaks, at the price of one task per file."""
     header = (
         spark.read.option("header", False).option("multiLine", multiline).option("escape", '"').csv(path).limit(1)
     )
@@ -93,12 +95,13 @@ def free_row_id_name(columns):
 def with_row_id(df, key=None, name=None):
     """Stable row identity. A unique integer key is used as it is.
 
-    Without a key, ids follow the scan order. Save the result (checkpoint() or a table) before using it twice, because a
-    recomputed scan may number rows differently.
+    Without a key, ids follow the scan order and the table is written to the shared folder once, here, so that every later
+    read of the result has the same ids.
     """
     name = name or free_row_id_name(df.columns)
-    identity = F.col(f"`{key}`").cast("long") if key else F.monotonically_increasing_id()
-    return df.withColumn(name, identity)
+    if key:
+        return df.withColumn(name, F.col(f"`{key}`").cast("long"))
+    return saved(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def is_answer_key(name):

@@ -8,8 +8,7 @@ from pyspark.sql import types as T
 from rollbook.functions.dates import is_moment_type, lenient_moment
 from rollbook.functions.missing import is_blank, is_null, is_text, type_of
 from rollbook.functions.numbers import lenient_number
-from rollbook.operators.sampling import col, data_columns, date_like_columns
-from rollbook.sources.files import ROW_ID
+from rollbook.operators.sampling import col, data_columns
 
 PARSE_SHARE = 0.8
 
@@ -25,7 +24,7 @@ def type_label(data_type):
     return None
 
 
-def type_counters(df, columns, dated):
+def type_counters(df, columns):
     """Aggregates that decide each text column's type: present, numeric and dated value counts."""
     counters = []
     for i, name in enumerate(columns):
@@ -35,8 +34,7 @@ def type_counters(df, columns, dated):
         value = col(name)
         counters.append(F.count(F.when(~is_blank(value, data_type), 1)).alias(f"present_{i}"))
         counters.append(F.count(lenient_number(value, data_type)).alias(f"numeric_{i}"))
-        moment = lenient_moment(value, data_type) if name in dated else F.lit(None).cast("timestamp_ntz")
-        counters.append(F.count(moment).alias(f"dated_{i}"))
+        counters.append(F.count(lenient_moment(value, data_type)).alias(f"dated_{i}"))
     return counters
 
 
@@ -53,11 +51,10 @@ def decided_type(df, i, name):
     )
 
 
-def infer_types(df, columns=None, row_id=ROW_ID):
+def infer_types(df, columns=None):
     """One row (column, type) per column; boolean, date, number or text. All columns share one aggregation."""
     columns = list(columns or data_columns(df))
-    dated = set(date_like_columns(df, columns, row_id))
-    counters = type_counters(df, columns, dated)
+    counters = type_counters(df, columns)
     summary = df.agg(*counters) if counters else df.sparkSession.range(1)
     rows = F.array(*(F.struct(F.lit(n).alias("column"), decided_type(df, i, n).alias("type")) for i, n in enumerate(columns)))
     return summary.select(F.inline(rows))

@@ -190,7 +190,7 @@ def buckets_by_loop(rows, verdicts, keys):
 
 
 @pytest.mark.parametrize(("seed", "partitions", "adjacent"), [(1, 1, False), (1, 8, False), (2, 5, True)])
-def test_people_filter_against_the_loop(spark, seed, partitions, adjacent, monkeypatch):
+def test_people_filter_against_the_loop(spark, seed, partitions, adjacent):
     spec = K.QuerySpec(("tech",), include_adjacent=adjacent)
     df, rows = crowd(spark, seed, partitions)
     verdicts = {r["id"]: (r["classification"], r["count_as_match"]) for r in K.classify(df, spec, WORDS).collect()}
@@ -220,7 +220,6 @@ def test_people_filter_against_the_loop(spark, seed, partitions, adjacent, monke
     terms, titles = ["product manager", "google", "chef"], ("Occupation", "Employer")
     texts = {r[0]: [str(r[3] or "").lower(), str(r[4] or "").lower()] for r in rows}
     hits = {i: sum(any(t in cell for cell in cells) for t in terms) for i, cells in texts.items()}
-    monkeypatch.setattr("rollbook.operators.skew.HOT_ROWS", 5)
     got = H.candidate_metrics(df, spec, terms, titles, WORDS).first()
     assert tuple(got) == (sum(hits.values()), sum(h > 0 for h in hits.values()), sum(hits[i] > 0 for i in skipped))
 

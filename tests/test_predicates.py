@@ -123,3 +123,17 @@ def test_numeric_filter_reaches_the_scan(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "t")).select("id", "v")
     plan = P.filter_predicates(df, group("and", leaf("equals", "id", "5")), columns=["id"])
     assert "ReadSchema: struct<id:bigint>" in plan._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("text", ["(5", "5)", "((5))", "()", "1e5"])
+def test_malformed_number_literals_are_refused(text):
+    with pytest.raises(P.PredicateError):
+        P.number_value(text)
+
+
+def test_specs_take_header_aliases_and_default_to_email(frame):
+    df = frame(["Job Title", "Email"], [("Chef", "a@x.com"), ("Cook", "")])
+    assert P.filter_spec(df, {"op": "equals", "column": "occupation", "value": "chef"}).count() == 1
+    assert P.filter_spec(df, {"op": "not_missing"}).count() == 1
+    with pytest.raises(ValueError):
+        P.filter_spec(df, {"op": "equals", "column": "nowhere at all", "value": "x"})

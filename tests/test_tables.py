@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook import run
 from rollbook.operators import aggregate as A
+from rollbook.operators import facade
 from rollbook.operators import columns as C
 from rollbook.operators import order as O
 from rollbook.operators import profile as R
@@ -123,11 +124,11 @@ def test_correlation_skips_constant_columns(frame):
     assert A.correlation_pair(df, "a", "b").first()["n"] == 3
 
 
-@pytest.mark.parametrize("small_rows", [1_000_000, 40])
-def test_numeric_summary(frame, small_rows):
+@pytest.mark.parametrize("few_rows", [1_000_000, 40])
+def test_numeric_summary(frame, few_rows):
     values = [random.Random(3).gauss(0, 50) for _ in range(301)] + [7.0] * 200
     df = frame(None, [(v,) for v in values] + [(None,)], "v double", partitions=5)
-    row = R.numeric_summary(df, small_rows=small_rows).first()
+    row = R.numeric_summary(df, few_rows=few_rows).first()
     assert (row["Count"], row["Missing"]) == (501, 1)
     for name, want in (("Median", statistics.median(values)), ("Mean", statistics.fmean(values)), ("Standard Deviation", statistics.stdev(values))):
         assert math.isclose(row[name], want, rel_tol=1e-9), name
@@ -141,7 +142,7 @@ def test_quantiles_against_brute_force(frame, seed):
     columns[2][:3] = [math.inf, -math.inf, math.inf]
     df = frame(None, list(zip(*columns)), "a double, b double, c double, d double", partitions=3)
     probabilities = (0.0, 0.1, 0.25, 0.5, 0.75, 1.0)
-    got = Q.exact_quantiles(df, {n: F.col(n) for n in "abcd"}, probabilities, small_rows=5)
+    got = Q.exact_quantiles(df, {n: F.col(n) for n in "abcd"}, probabilities, few_rows=5)
 
     def want(values, p):
         values, at = sorted(values), (len(values) - 1) * p
@@ -192,12 +193,11 @@ def test_order(frame):
         O.top_n(df, "t")
 
 
-@pytest.mark.parametrize("hot_rows", [1, 3, 10_000])
-def test_attach_groups_spreads_hot_keys(frame, hot_rows):
+def test_attach_groups_joins_null_keys(frame):
     rows = [(None if i % 3 == 0 else f"k{i % 5}" if i % 3 == 1 else "hot", i) for i in range(300)]
     df = frame(None, rows, "k string, i long", partitions=6)
     groups = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"))
-    got = sorted(tuples(attach_groups(df, groups, ["k"], "n", hot_rows=hot_rows), "i", "n", "first"))
+    got = sorted(tuples(attach_groups(df, groups, ["k"]), "i", "n", "first"))
     sizes, first = {}, {}
     for k, i in rows:
         sizes[k] = sizes.get(k, 0) + 1
@@ -212,6 +212,51 @@ def test_duplicates(frame):
     assert tuple(O.duplicate_metrics(df, ["a"]).first()) == (4, 5)
 
 
+def test_duplicates_with_odd_headers(frame):
+    df = frame(["No. of events", "b"], [("1", "x"), ("1", "y"), ("2", "z")])
+    assert sorted(tuples(O.duplicate_rows(df, ["No. of events"]))) == [("1", "x"), ("1", "y")]
+    assert tuples(O.duplicate_rows(df, ["No. of events"], limit=1)) in ([("1", "x")], [("1", "y")])
+
+
+def test_dates_after_the_first_values(frame):
+    """A text column whose first eleven values are no dates."""
+    rows = [(f"text {i}", "1") for i in range(11)] + [(f"2024-03-{d:02d}", "2") for d in range(1, 29)] * 2
+    df = frame(["seen", "v"], rows)
+    assert tuples(R.date_summary(df, ["seen"]), "Column", "Parsed Count") == [("seen", 56)]
+    assert [r["Column"] for r in R.date_summary(df).collect()] == ["seen"]
+    assert tuples(A.group_by_month(df, "seen")) == [("2024-03", 56)]
+    assert S.date_range_filter(df, "seen", "2024-03-28").count() == 2
+
+
+def test_all_text_columns_are_searched(frame):
+    df = frame([f"c{i}" for i in range(12)], [tuple("hit" if i == 11 else "miss" for i in range(12))])
+    assert S.contains_any(df, terms=["hit"]).first()["matched_column"] == "c11"
+    wide = frame(["Title", "remark"], [("x", "hit")])
+    assert S.contains_any(wide, terms=["hit"]).count() == 1
+
+
+def test_row_ids_without_a_key_stay(spark, frame):
+    df = files.with_row_id(frame(["a"], [(str(i),) for i in range(50)], partitions=7))
+    first = {r["a"]: r["_row_id"] for r in df.collect()}
+    assert len(set(first.values())) == 50 and {r["a"]: r["_row_id"] for r in df.orderBy("a").collect()} == first
+
+
+def test_facade_parameters(frame):
+    df = files.with_row_id(frame(["id", "name", "v", "city"], [("1", "Ann", "5", "Rome"), ("2", "Bo", "7", "Rome"), ("3", "Cy", "6", "Oslo")]), key="id")
+    top = facade.run(df, {"type": "top_n", "params": {"column": "v", "n": 2, "return_columns": ["name"]}}).rows
+    assert tuples(top) == [("Bo",), ("Cy",)]
+    found = facade.run(df, {"type": "filter_predicates", "params": {
+        "logic": "and", "predicates": [{"operator": "equals", "columns": ["city"], "values": ["rome"]}], "return_columns": ["name"], "limit": 1,
+    }}).rows
+    assert tuples(found) == [("Ann",)]
+    hits = facade.run(df, {"type": "contains_any", "params": {"term": "o", "columns": ["name", "city"], "display_columns": ["id"], "limit": 2}}).rows
+    assert hits.columns[:1] == ["id"] and "matched_column" in hits.columns and hits.count() == 2
+    with pytest.raises(ValueError, match="no parameter 'rows'"):
+        facade.run(df, {"type": "top_n", "params": {"column": "v", "rows": 2}})
+    for kind in facade.OPERATIONS:
+        assert kind in facade.PARAMETERS
+
+
 def test_sets(frame):
     a, b = (frame(None, [(i, tag) for i in ids], "_row_id long, tag string") for ids, tag in (([1, 2], "a"), ([2, 3], "b")))
     assert sorted(tuples(sets.union_rows(a, b))) == [(1, "a"), (2, "a"), (3, "b")]
