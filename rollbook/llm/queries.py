@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontaminate, licenses, quality, secrets_scan, suffix_dedup
+from rollbook.llm import bpe, decontaminate, licenses, pii, quality, secrets_scan, suffix_dedup, token_counts
 from rollbook.llm.exact_dedup import exact_dedup
 from rollbook.llm.jaccard_join import jaccard_join
 
@@ -96,3 +96,16 @@ def op6_jaccard_join(spark, sf_dir):
 @query("op5_suffix_dedup")
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digest(suffix_dedup.suffix_dedup(documents(spark, sf_dir)))
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.count_tokens(documents(spark, sf_dir), token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query("op9_pii")
+def op9_pii(spark, sf_dir):
+    found = pii.pseudonymise(documents(spark, sf_dir), key="a secret of the data's owner")
+    return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_values"))
