@@ -136,9 +136,11 @@ def pseudonym(kind, value, key):
     if kind == "ssn":
         return refill(value, permute_characters(digits, [DIGITS] * 9, key, kind))
     if kind == "card":
-        if not 13 <= len(digits) <= 19 or (luhn_sum(digits[:-1]) + int(digits[-1])) % 10:
+        issuer = re.match(r"[3-6]|2[2-7]", "".join(digits))
+        if not issuer or not 13 <= len(digits) <= 19 or (luhn_sum(digits[:-1]) + int(digits[-1])) % 10:
             return None
-        body = permute_characters(digits[:-1], [DIGITS] * (len(digits) - 1), key, kind)
+        kept = issuer.end()
+        body = issuer.group() + permute_characters(digits[kept:-1], [DIGITS] * (len(digits) - 1 - kept), key, kind)
         return refill(value, body + str(-luhn_sum(body) % 10))
     if not 8 <= len(digits) <= 15:
         return None
@@ -169,7 +171,8 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 def pseudonymise(docs, key, id_col="doc_id", text_col="text"):
     """One row per input row: doc_id, text with pseudonyms, spans (kind, start, end) of the values in the input.
 
-    Kinds are those of PATTERNS. Card numbers must pass their check digit and keep passing it, addresses and dates must exist;
+    Kinds are those of PATTERNS. Card numbers must begin like an issuer's and
+    pass their check digit, and keep doing so; addresses and dates must exist;
     what is not valid stays as it is. Of an e-mail address the part before the @ changes. Phone numbers keep their country code.
     A null text stays null, an empty one empty; repeated rows give repeated rows; an empty table gives no rows. Texts are read
     whole. Other columns are not read. key is a secret of any length: the same key gives the same pseudonyms.

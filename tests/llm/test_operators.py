@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from rollbook.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, quality, secrets_scan, suffix_dedup
+from rollbook.llm import bpe, decontaminate, exact_dedup, jaccard_join, licenses, pii, quality, secrets_scan, suffix_dedup, token_counts
 
 from tests.llm.test_kernels import plain_words
 
@@ -281,11 +281,76 @@ def test_quality_learns_nothing_from_held_out_labels(spark):
     assert np.allclose(one, two)
 
 
+# token counts
+
+SMALL = [("<unk>", 0.0), ("▁", -2.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("aba", -3.0), ("▁a", -3.0), ("bb", -1.5), ("▁▁", -3.5)]
+
+
+@pytest.mark.parametrize("crossing", [[], [("b▁a", -3.0)]])
+def test_token_counts(spark, crossing):
+    """Against the library's unigram model, with ties, unknown characters and pieces that cross a blank."""
+    from tokenizers import Tokenizer, models
+
+    pieces = SMALL + crossing
+    library = Tokenizer(models.Unigram(pieces, 0, False))
+    rng = random.Random(2)
+    rows = [(k, "".join(rng.choice("ab c▁é") for _ in range(rng.randint(0, 14)))) for k in range(500)] + [(500, None), (500, None), (501, "ab " * 4000)]
+    want = collections.Counter((i, len(library.encode(("▁" + t).replace(" ", "▁")).ids) if t else 0) for i, t in rows)
+    assert collections.Counter((r["doc_id"], r["n_tokens"]) for r in token_counts.count_tokens(table(spark, rows), pieces).collect()) == want
+
+
+def test_token_counts_of_a_public_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer, models
+
+    pieces = token_counts.read_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    library = Tokenizer(models.Unigram(pieces, 0, True))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r["doc_id"]: len(library.encode(("▁" + r["text"]).replace(" ", "▁")).ids) for r in docs.collect()}
+    assert {r["doc_id"]: r["n_tokens"] for r in token_counts.count_tokens(docs, pieces).collect()} == want
+
+
+# PII
+
+def test_pii(spark):
+    rows = [
+        (1, "card 4041894974608795, again 4041 8949 7460 8795; not 4041894974608796 nor 9807915762804493"), (2, "call +1 (988) 555-2485 or 988-555-2485"),
+        (3, "from 70.123.182.155 but not 300.1.1.1 or 1.2.3"), (4, "born 2024-02-29, 29/02/2024, 02/29/2024; never 2023-02-29"),
+        (5, "bosbt.42@mail8.example.com wrote; ssn 123-45-6789"), (6, None), (7, ""), (8, "nothing here"), (8, "nothing here"), (9, "x" * 5000 + " 10.0.0.1"),
+        (None, "é 10.0.0.1 é"),
+    ]
+    got = pii.pseudonymise(table(spark, rows), "key").collect()
+    assert len(got) == len(rows)
+    text = {r["doc_id"]: r["text"] for r in got}
+    assert text[6] is None and text[7] == "" and text[8] == "nothing here"
+    one, two = re.findall(r"\d{16}|\d{4} \d{4} \d{4} \d{4}", text[1])[:2]
+    assert one == two.replace(" ", "") != "4041894974608795" and one[0] == "4" and (pii.luhn_sum(one[:-1]) + int(one[-1])) % 10 == 0
+    assert text[1].endswith("not 4041894974608796 nor 9807915762804493")
+    assert re.fullmatch(r"call \+1 \([2-9]\d\d\) [2-9]\d\d-\d{4} or [2-9]\d\d-[2-9]\d\d-\d{4}", text[2]) and "988" not in text[2].split(" or ")[1][:3]
+    assert text[3].endswith("but not 300.1.1.1 or 1.2.3") and "70.123.182.155" not in text[3]
+    iso, day_first = re.match(r"born (\S+), (\S+),", text[4]).groups()
+    assert iso == "-".join(reversed(day_first.split("/"))) != "2024-02-29" and text[4].endswith("never 2023-02-29")
+    assert re.fullmatch(r"[a-z]{5}\.\d\d@mail8\.example\.com wrote; ssn \d{3}-\d\d-\d{4}", text[5]) and "bosbt" not in text[5] and "123-45-6789" not in text[5]
+    assert text[9].split()[1] == text[None].split()[1] != "10.0.0.1"
+    for r in got:
+        source = dict(rows)[r["doc_id"]]
+        assert all(source[s["start"]:s["end"]].strip() for s in r["spans"])
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 10, 97, 1000])
+def test_permutations(size):
+    assert sorted(pii.permute_number(i, size, b"k", "t") for i in range(size)) == list(range(size))
+    alphabets = [pii.DIGITS, pii.LOW, pii.HIGH]
+    words = [a + b + c for a in alphabets[0] for b in alphabets[1] for c in alphabets[2]]
+    assert sorted(pii.permute_characters(list(w), alphabets, b"k", "t") for w in words) == sorted(words)
+
+
 # empty tables
 
 @pytest.mark.parametrize("run", [
     lambda d, s: exact_dedup.exact_dedup(d), lambda d, s: secrets_scan.scan_secrets(d), lambda d, s: licenses.scan_licenses(d),
     lambda d, s: jaccard_join.jaccard_join(d), lambda d, s: suffix_dedup.suffix_dedup(d),
+    lambda d, s: pii.pseudonymise(d, "key"), lambda d, s: token_counts.count_tokens(d, [("a", 0.0)]),
     lambda d, s: decontaminate.decontaminate(d, s.createDataFrame([], "item_id string, text string")),
     lambda d, s: quality.quality_scores(d, s.createDataFrame([], "doc_id long, quality int")),
     lambda d, s: bpe.encode_texts(d, __import__("public_tokenizers").path("byte_bpe_50k.tiktoken")),
