@@ -168,3 +168,29 @@ def format_value(spark, sf_dir):
        "p AS (SELECT *, CASE WHEN lower(trim(manager)) NOT IN ('', 'nan', 'none', 'null') THEN trim(manager) END AS manager_name FROM people_v)"))
 def full_name(spark, sf_dir):
     return people(spark, sf_dir).select("person_id", text.full_name(F.col("first_name"), F.col("last_name"), F.col("manager")).alias("name"))
+
+
+# ---- the same functions over real texts -------------------------------------------------------------------------------
+
+@query("norm_text_documents", f"SELECT doc_id, md5({norm('text')}) AS n, md5({compact('text')}) AS c FROM documents")
+def norm_text_documents(spark, sf_dir):
+    folded = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.norm_text(folded)).alias("n"), F.md5(text.norm_compact(folded)).alias("c"))
+
+
+@query("has_term_documents", "SELECT doc_id, " + has("t", ["license", "that the"]) + " AS found FROM (SELECT doc_id, " + norm("text", "a-z0-9&") + " AS t FROM documents)")
+def has_term_documents(spark, sf_dir):
+    folded = table(spark, sf_dir, "documents").select("doc_id", text.norm_title(F.col("text")).alias("t"))
+    return folded.select("doc_id", text.has_term(F.col("t"), ["license", "that the"]).alias("found"))
+
+
+@query("extract_emails_documents", 
+       f"SELECT doc_id, array_to_string(list_filter(m, lambda v, i: list_position(m, v) = i), '|') AS found FROM (SELECT doc_id, {emails('text')} AS m FROM documents WHERE contains(text, '@'))")
+def extract_emails_documents(spark, sf_dir):
+    mail = table(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
+    return listed(mail.select("doc_id", E.extract_emails(F.col("text")).alias("found")), "found")
+
+
+@query("clean_text_conversations", "SELECT conv_id, turn, md5(" + _CLEAN.replace("html", "text") + ") AS digest FROM conversations")
+def clean_text_conversations(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.clean_text(F.col("text"))).alias("digest"))

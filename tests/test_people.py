@@ -246,3 +246,13 @@ def test_matching_email_column(frame):
     tree = {"logic": "and", "predicates": [{"operator": "email_domain_in", "columns": ["Email"], "values": ["y.com"]}]}
     rows = H.composite_filter(df, SPEC, tree, "and", WORDS).collect()
     assert {(r["bucket"], r["Matching Email"]) for r in rows} == {("counted", "b@y.com"), ("direct", "b@y.com")}
+
+
+def test_a_required_industry_must_show_in_title_or_employer(frame):
+    """The description of the employer is no evidence for a required industry."""
+    from rollbook.plans.classify import QuerySpec, classify
+
+    df = with_row_id(frame(["id", "Occupation", "Employer", "Employer Description"], [("1", "Consultant", "Acme Consulting", "hospital")]), key="id")
+    row = classify(df, QuerySpec(("consulting",), required=("healthcare",))).first()
+    assert (row["classification"], row["confidence"]) == ("adjacent", 0.6)
+    assert classify(df, QuerySpec(("consulting",))).first()["classification"] == "direct_match"
