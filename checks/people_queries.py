@@ -20,6 +20,7 @@ from rollbook.plans import phrases as V
 from rollbook.plans import schema_map as M
 from rollbook.plans.taxonomy import GENERIC_ROLES, SEED
 from rollbook.functions.text import fold_company
+from rollbook.session import saved
 from rollbook.sources.files import app_view
 
 # ---- schema mapping -------------------------------------------------------------------------------------------------
@@ -660,9 +661,10 @@ def matched_gold(spark, sf_dir):
 def check_composition(spark, sf_dir):
     df = app_view(people(spark, sf_dir))
     exact = df.filter(compile_group(df, EXACT))
-    fuzzy = H.people_filter(df, TECH_SPEC)
-    both = X.check_composition(H.composite_filter(df, TECH_SPEC, EXACT, "and"), fuzzy, exact)
-    either = X.check_composition(H.composite_filter(df, TECH_SPEC, EXACT, "or"), fuzzy, exact, logic="or")
+    # Results are compared as they were once written, each computed once.
+    fuzzy = saved(H.people_filter(df, TECH_SPEC), "fuzzy")
+    both = X.check_composition(saved(H.composite_filter(df, TECH_SPEC, EXACT, "and"), "both"), fuzzy, exact)
+    either = X.check_composition(saved(H.composite_filter(df, TECH_SPEC, EXACT, "or"), "either"), fuzzy, exact, logic="or")
     return both.agg(F.count(F.lit(1)).alias("and_problems")).select(
         "and_problems", either.agg(F.count(F.lit(1)) > 0).scalar().alias("or_differs")
     )
