@@ -225,6 +225,8 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
     source = texts(docs, id_col, text_col)
     repeated = not source.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
     source = source.withColumn("tie", F.xxhash64("text") if repeated else F.lit(0).cast("long")).select("doc_id", "tie", "text")
+    # Rows that repeat id and text have the same places; only one of them may be looked at, or each would be the other's earlier copy.
+    once = source.dropDuplicates(["doc_id", "tie"]) if repeated else source
     id_type = source.schema["doc_id"].dataType
 
     def cut(batches):
@@ -294,7 +296,7 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
         return T.StructType([T.StructField(f, kinds.get(f, T.LongType())) for f in fields])
 
     places = (
-        source.mapInArrow(cut, schema("gram", "whole", "doc_id", "tie", "code"))
+        once.mapInArrow(cut, schema("gram", "whole", "doc_id", "tie", "code"))
         .repartition(F.coalesce("gram", F.xxhash64("doc_id", "code"))).sortWithinPartitions("gram", "whole", "doc_id", "tie", "code")
         .mapInArrow(sort_out, schema("gram", "salt", "doc_id", "tie", "code"))
     )
@@ -387,8 +389,7 @@ def suffix_dedup(docs, id_col="doc_id", text_col="text", length=LENGTH, gram=GRA
     wanted = firsts.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("gram", "salt", "code")).alias("firsts"))
     s, w = source.alias("s"), wanted.alias("w")
     same = lambda a, b: F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.tie") == F.col(f"{b}.tie"))
-    once = s.dropDuplicates(["doc_id", "tie"]).alias("s") if repeated else s
-    shipped = once.join(w, same("s", "w")).select("s.doc_id", "s.tie", "s.text", "w.firsts").mapInArrow(
+    shipped = once.alias("s").join(w, same("s", "w")).select("s.doc_id", "s.tie", "s.text", "w.firsts").mapInArrow(
         ship, schema("gram", "salt", "doc_id", "tie", "code", "bytes")
     )
     marks = (

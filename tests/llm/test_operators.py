@@ -258,6 +258,19 @@ def test_suffix_dedup_takes_repeated_rows_for_one_document(spark):
     assert sorted((r["doc_id"], len(r["kept"])) for r in got) == [(1, len(text)), (1, len(text)), (2, 0)]
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_suffix_dedup_leaves_the_first_of_passages_in_repeated_rows(spark, partitions):
+    rng = random.Random(9)
+    base = [prose(rng, 40) for _ in range(3)]
+    rows = [(k, " ".join(rng.choice(base)[:rng.randint(0, 240)] for _ in range(3))) for k in range(20)] + [(None, base[0]), (30, None)]
+    want = brute_removed(rows, 100)
+    rows += rows[::2] + rows[::3] + [(None, base[0])] * 2
+    got = suffix_dedup.suffix_dedup(table(spark, rows, partitions)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["n_bytes"], r["n_bytes"] - len(r["kept"]), len(r["spans"]), bytes(r["kept"])) == want[r["doc_id"]]
+
+
 # quality classifier
 
 def test_quality(spark):
