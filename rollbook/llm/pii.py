@@ -31,9 +31,17 @@ PATTERNS = (
     ("date", r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![\w/-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"),
-    ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?![\w-])"),
+    ("phone", r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}[ .-]?\d{5,14})(?![\w-])"),
 )
 _ALL = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS), re.ASCII)
+_EACH = {k: re.compile(p, re.ASCII) for k, p in PATTERNS}
+_KINDS = tuple(_EACH)
+_NUMBER = re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}")
+_GOES_ON = re.compile(r"[\w-]", re.ASCII)
+#: Issuers with the lengths of their cards: a number like these is rather a card than the end of a phone number and more.
+_USUAL_CARD = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7])\d{14}|3[47]\d{13}|3[0689]\d{12}|(?:35|6\d)\d{14,17}")
+#: Country codes of one and two digits; all others have three.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{1,3}")
 
 
 def feistel(left, right, left_size, right_size, key, tweak):
@@ -104,6 +112,24 @@ def _digits(value):
     return [c for c in value if c in DIGITS]
 
 
+def valid_card(digits):
+    """Whether a number begins like an issuer's, has a card's length and passes its check digit."""
+    return bool(13 <= len(digits) <= 19 and re.match(r"[3-6]|2[2-7]", digits) and (luhn_sum(digits[:-1]) + int(digits[-1])) % 10 == 0)
+
+
+def card_end(text, start, usual=False):
+    """Where the longest valid card that begins here ends, or None."""
+    number = _NUMBER.match(text, start)
+    end = number.end() if number else start
+    digits = "".join(_digits(text[start:end]))
+    while len(digits) >= 13:
+        if not _GOES_ON.match(text, end) and valid_card(digits) and not (usual and not _USUAL_CARD.fullmatch(digits)):
+            return end
+        digits = digits[:-1]
+        end -= 1 if text[end - 2] in DIGITS else 2
+    return None
+
+
 def pseudonym(kind, value, key):
     """Another valid value of the kind in the same format, or None where the value is not valid."""
     if kind == "email":
@@ -136,15 +162,16 @@ def pseudonym(kind, value, key):
     if kind == "ssn":
         return refill(value, permute_characters(digits, [DIGITS] * 9, key, kind))
     if kind == "card":
-        issuer = re.match(r"[3-6]|2[2-7]", "".join(digits))
-        if not issuer or not 13 <= len(digits) <= 19 or (luhn_sum(digits[:-1]) + int(digits[-1])) % 10:
+        if not valid_card("".join(digits)):
             return None
-        kept = issuer.end()
-        body = issuer.group() + permute_characters(digits[kept:-1], [DIGITS] * (len(digits) - 1 - kept), key, kind)
+        kept = 2 if digits[0] == "2" else 1
+        body = "".join(digits[:kept]) + permute_characters(digits[kept:-1], [DIGITS] * (len(digits) - 1 - kept), key, kind)
         return refill(value, body + str(-luhn_sum(body) % 10))
     if not 8 <= len(digits) <= 15:
         return None
-    code = len(re.match(r"\+?(\d*)", value).group(1)) if value[0] == "+" else 0
+    code = len(re.match(r"\d*", value[1:]).group()) if value[0] == "+" else 0
+    if code > 3:  # no separator behind the country code
+        code = _COUNTRY.match(value, 1).end() - 1
     kept, own = digits[:code], digits[code:]
     alphabets = [DIGITS] * len(own)
     if len(own) == 10:  # area and exchange of this length don't begin with 0 or 1 where they didn't before
@@ -153,15 +180,43 @@ def pseudonym(kind, value, key):
     return refill(value, "".join(kept) + permute_characters(own, alphabets, key, kind))
 
 
+def values(text, replaced):
+    """(kind, start, end, new) of the values of a text, from left to right.
+
+    Where the longest candidate at a place fails its check, shorter cards and the other kinds are tried there; then the search goes
+    on one character further, as a value may begin inside the candidate. An address that does not exist is passed over whole.
+    """
+    at = 0
+    while m := _ALL.search(text, at):
+        kind, start, end = m.lastgroup, m.start(), m.end()
+        new = replaced(kind, m.group())
+        if kind == "ip" and new is None:
+            at = end
+            continue
+        if kind == "card" and new is None and (shorter := card_end(text, start)):
+            end, new = shorter, replaced(kind, text[start:shorter])
+        for other in _KINDS[_KINDS.index(kind) + 1:] if new is None else ():
+            if m := _EACH[other].match(text, start):
+                kind, end = other, m.end()
+                if (new := replaced(kind, m.group())) is not None:
+                    break
+        # A phone number must not take the first digits of a card.
+        if kind == "phone" and new is not None and any((card_end(text, k, usual=True) or 0) > end for k in range(start + 1, end)):
+            new = None
+        if new is None:
+            at = start + 1
+        else:
+            yield kind, start, end, new
+            at = end
+
+
 def rewrite(text, replaced):
     """The text with its values replaced, and the spans of the values (kind, start, end) in code points of the input."""
     parts, spans, at = [], [], 0
-    for m in _ALL.finditer(text):
-        new = replaced(m.lastgroup, m.group())
-        if new is not None:
-            parts += [text[at:m.start()], new]
-            spans.append({"kind": m.lastgroup, "start": m.start(), "end": m.end()})
-            at = m.end()
+    for kind, start, end, new in values(text, replaced):
+        parts += [text[at:start], new]
+        spans.append({"kind": kind, "start": start, "end": end})
+        at = end
     return ("".join([*parts, text[at:]]) if spans else text), spans
 
 
@@ -173,7 +228,8 @@ def pseudonymise(docs, key, id_col="doc_id", text_col="text"):
 
     Kinds are those of PATTERNS. Card numbers must begin like an issuer's and
     pass their check digit, and keep doing so; addresses and dates must exist;
-    what is not valid stays as it is. Of an e-mail address the part before the @ changes. Phone numbers keep their country code.
+    what is not valid stays as it is, but valid values inside it are found. Phone numbers that begin with + need no separators.
+    Of an e-mail address the part before the @ changes. Phone numbers keep their country code.
     A null text stays null, an empty one empty; repeated rows give repeated rows; an empty table gives no rows. Texts are read
     whole. Other columns are not read. key is a secret of any length: the same key gives the same pseudonyms.
     """

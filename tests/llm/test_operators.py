@@ -358,6 +358,29 @@ def test_permutations(size):
     assert sorted(pii.permute_characters(list(w), alphabets, b"k", "t") for w in words) == sorted(words)
 
 
+@pytest.mark.parametrize("text, found", [
+    ("4111111111111111 12/27", [("card", "4111111111111111")]), ("4111 1111 1111 1111 123", [("card", "4111 1111 1111 1111")]),
+    ("12 4111111111111111", [("card", "4111111111111111")]), ("12 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]),
+    ("(12) 4111 1111 1111 1111", [("card", "4111 1111 1111 1111")]), ("7 12.4111-1111-1111-1111 9", [("card", "4111-1111-1111-1111")]),
+    ("988-555-2485 1024", [("phone", "988-555-2485")]), ("988 555 2485 988 555 2485", [("phone", "988 555 2485")] * 2),
+    ("2023-02-29 4111111111111111", [("card", "4111111111111111")]), ("1 2 1 2 1 2 1 2 1 2 1 2 1 2 988-555-2485", [("phone", "988-555-2485")]),
+    ("+14155552671 +44 2071838750", [("phone", "+14155552671"), ("phone", "+44 2071838750")]), ("+123456", []), ("300.400.500.600", []),
+    ("4111111111111112", []), ("14155552671", []), ("x4111111111111111 4111111111111111x", []),
+])
+def test_pii_finds_values_inside_what_fails_its_check(text, found):
+    from functools import partial
+
+    new, spans = pii.rewrite(text, partial(pii.pseudonym, key=b"key"))
+    assert [(s["kind"], text[s["start"]:s["end"]]) for s in spans] == found
+    assert len(new) == len(text) and all(new[s["start"]:s["end"]] != text[s["start"]:s["end"]] for s in spans)
+
+
+@pytest.mark.parametrize("value, code", [("+14155552671", "+1"), ("+442071838750", "+44"), ("+35312345678", "+353"), ("+1415 555 2671", "+1")])
+def test_pii_keeps_the_country_code_only(value, code):
+    new = {pii.pseudonym("phone", value, f"k{k}".encode()) for k in range(20)}
+    assert all(n.startswith(code) and len(n) == len(value) for n in new) and len({n[len(code):len(code) + 3] for n in new}) > 1
+
+
 # empty tables
 
 @pytest.mark.parametrize("run", [
