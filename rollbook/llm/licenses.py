@@ -2,8 +2,9 @@
 
 1. Rolling word k-gram hashes of all documents; those no template holds are left out before they leave the task.
 2. A Spark join with the template positions. Templates are a small table; its size is checked before it is broadcast.
-3. Votes are summed by (document, template, diagonal), a diagonal being document position minus template position.
-4. Neighbouring diagonals whose places are near each other are merged: they are one copy with words put in or left out.
+3. Votes are counted by (document, template, diagonal), a diagonal being document position minus template position. Of the
+   diagonals of one place in a notice only the strongest counts, so that grams which a notice repeats leave no stray diagonals.
+4. Diagonals that lie near each other are merged: they are one copy with words put in or left out.
 5. Spans are verified: a phrase must have all its grams on one diagonal, a notice the wanted share of its grams.
 
 All steps after the first use one exchange by row.
@@ -99,23 +100,28 @@ def scan_licenses(docs, id_col="doc_id", text_col="text", phrases=PHRASES, notic
     info = spark.createDataFrame(about, "template int, label string, phrase boolean, t_words long, t_grams long")
     table = F.broadcast(table.join(F.broadcast(info), "template"))
 
-    votes = (
+    hits = (
         rows.select("row", "doc_id", "n_words", F.explode_outer("grams").alias("g")).select("row", "doc_id", "n_words", "g.hash", "g.pos")
-        .join(table, "hash", "left")
-        .groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "t_words", "t_grams", (F.col("pos") - F.col("tpos")).alias("diagonal"))
-        .agg(F.count("tpos").alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .join(table, "hash", "left").withColumn("diagonal", F.col("pos") - F.col("tpos"))
+    )
+    # A gram that a notice repeats votes for several diagonals; only the one with most votes on it and its neighbours counts.
+    by = Window.partitionBy("row", "template").orderBy("diagonal")
+    of_place = Window.partitionBy("row", "template", "pos").orderBy(F.desc("near"), F.desc("own"), "diagonal")
+    votes = (
+        hits.withColumn("near", F.count("tpos").over(by.rangeBetween(-max_drift, max_drift)))
+        .withColumn("own", F.count("tpos").over(by.rangeBetween(0, 0)))
+        .withColumn("_rank", F.row_number().over(of_place))
+        .where(F.col("phrase") | (F.col("_rank") == 1))
     )
-    # A phrase keeps its diagonals apart; those of a notice merge while they drift little and the places overlap or nearly so.
-    by = Window.partitionBy("row", "template").orderBy("low", "diagonal")
-    reach = F.max("high").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.lag("diagonal").over(by)
-    new = F.col("phrase") | before.isNull() | (F.abs(F.col("diagonal") - before) > max_drift) | (F.col("low") > reach + F.col("t_words"))
+    # A phrase keeps its diagonals apart; those of a notice merge while they drift little. Their places are near each other then.
+    drift = F.col("diagonal") - F.lag("diagonal").over(by)
+    new = drift.isNull() | (drift > F.when(F.col("phrase"), 0).otherwise(max_drift))
     regions = (
         votes.withColumn("_new", F.when(new, 1).otherwise(0))
         .withColumn("region", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("row", "doc_id", "n_words", "template", "label", "phrase", "t_words", "t_grams", "region")
-        .agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("t_grams")))
+        .agg(F.size(F.collect_set("tpos")).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .withColumn("share", F.col("votes") / F.col("t_grams"))
     )
     verified = F.when(F.col("phrase"), F.col("votes") == F.col("t_grams")).otherwise(F.col("share") >= min_share)
     span = F.when(verified, F.struct(F.col("low").alias("first_word"), (F.col("high") + k).alias("end_word"), "label", "phrase", "share"))

@@ -174,6 +174,28 @@ def test_licenses(spark, rows):
     assert labels[961] == "mit" and labels[962] == "mit" and labels[963] == "" and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_licenses_with_a_word_put_in_anywhere(spark):
+    rows, want = [], {}
+    for label, text in licenses.NOTICES:
+        w = plain_words(text)
+        n = len(w)
+        for k in range(1, n if (n - 2) / (n - 1) >= licenses.MIN_SHARE else 1):
+            copy = " ".join([*w[:k], "zq", *w[k:]])
+            first, end = (2 if k == 1 else 0), (n - 1 if k == n - 1 else n + 1)
+            rows.append((len(rows), f"{copy} qz {copy}"))
+            want[len(rows) - 1] = [(label, first + at, end + at, (n - 2) / (n - 1)) for at in (0, n + 2)]
+    got = licenses.scan_licenses(table(spark, rows)).collect()
+    assert len(got) == len(rows) > 100
+    assert {r["doc_id"]: [(s["label"], s["first_word"], s["end_word"], s["share"]) for s in r["spans"] if not s["phrase"]] for r in got} == want
+
+
+def test_licenses_count_no_gram_of_a_notice_twice(spark):
+    notice = "a b c a b d e f g h"
+    found = licenses.scan_licenses(table(spark, [(1, "a b c a b d x"), (2, notice), (3, "a b a b a b a b a b")]), phrases=(), notices=[("n", notice)]).collect()
+    best = {r["doc_id"]: r["best"] for r in found}
+    assert best[1] == pytest.approx(5 / 9) and best[2] == 1 and best[3] <= 2 / 9
+
+
 # Jaccard join
 
 def brute_links(rows, size=5, least=0.8):
