@@ -136,6 +136,25 @@ def test_secrets(spark):
     assert more[6] == ["entropy_alnum"] and more[7] == [] and more[3] == ["entropy_hex"] and more[8] == []
 
 
+@pytest.mark.parametrize("front", ["", "client_id=", "SIGNING_KEY=", "/path/", "pre_", "a+b-", "/no/digits/here/"])
+@pytest.mark.parametrize("key, kind", [
+    ("9f86d081884c7d659a2feaa0", "entropy_hex"), ("9F86D081884C7D659A2FEAA0", "entropy_hex"), ("x9Kq2Lm7Pz4Rt8Wv1Yb6Nc3H", "entropy_alnum"),
+    ("xRkqZLmWPzTYtQwvGbNcJhDs", "entropy_letters"),
+])
+def test_secrets_behind_separators(front, key, kind):
+    spans = secrets_scan.Scanner().entropy_spans(front + key + "=/tail", 7)
+    assert (7 + len(front), secrets_scan.KINDS.index(kind), 7 + len(front) + len(key)) in spans
+
+
+def test_secrets_by_class_of_the_run():
+    scanner, rng = secrets_scan.Scanner(), random.Random(5)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(24)) for _ in range(500)]
+    kinds = [{secrets_scan.KINDS[k] for _, k, _ in scanner.entropy_spans("client_id=" + key, 0)} for key in keys]
+    assert sum("entropy_hex" in k for k in kinds) > 450
+    for plain in ("md5=d41d8cd98f00b204e9800998ecf8427e", "internationalization_of_things", "getUserAccountInformationList", "id=12345678901234567890123"):
+        assert scanner.entropy_spans(plain, 0) == [], plain
+
+
 def test_dense_windows_count_step_by_step():
     import math
 
