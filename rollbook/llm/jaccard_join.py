@@ -43,13 +43,32 @@ def second_share(similarity):
     return min(1.0, 1 / similarity - 1)
 
 
+def expected_recall(similarity, runs, depth=DEPTH):
+    """Expected probability that a pair just at the threshold meets in a node of full depth in one of the runs.
+
+    All runs draw from the same min-hashes, so the runs are independent only for a given number of agreeing coordinates.
+    """
+    two, total = second_share(similarity), 0.0
+    for k in range(T_COORDINATES + 1):
+        alive = 1.0
+        for _ in range(depth):
+            x = k / T_COORDINATES * alive
+            alive = (1 - two) * x + two * (1 - (1 - x) ** 2)
+        total += math.comb(T_COORDINATES, k) * similarity ** k * (1 - similarity) ** (T_COORDINATES - k) * (1 - (1 - alive) ** runs)
+    return total
+
+
 def runs_needed(similarity, recall, depth=DEPTH):
     """Runs after which a pair just at the threshold has met in a node of full depth with the wanted probability."""
-    alive, two = 1.0, second_share(similarity)
-    for _ in range(depth):
-        x = similarity * alive
-        alive = (1 - two) * x + two * (1 - (1 - x) ** 2)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alive)))
+    low, high = 0, 1
+    while expected_recall(similarity, high, depth) < recall:
+        low, high = high, 2 * high
+        if high > 1 << 20:
+            raise ValueError(f"No number of runs reaches a recall of {recall} at a similarity of {similarity}.")
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if expected_recall(similarity, middle, depth) >= recall else (middle, high)
+    return high
 
 
 def children(paths, two):

@@ -265,6 +265,16 @@ def test_runs_reach_the_recall():
     assert jaccard_join.second_share(0.8) == pytest.approx(0.25)
 
 
+def test_runs_reach_the_recall_over_shared_min_hashes():
+    """Expectation over the share of agreeing min-hashes, which all runs have in common."""
+    runs, two = jaccard_join.runs_needed(0.8, 0.999), jaccard_join.second_share(0.8)
+    agree = np.random.default_rng(1).binomial(jaccard_join.T_COORDINATES, 0.8, 1_000_000) / jaccard_join.T_COORDINATES
+    alive = np.ones_like(agree)
+    for _ in range(jaccard_join.DEPTH):
+        alive = (1 - two) * agree * alive + two * (1 - (1 - agree * alive) ** 2)
+    assert (1 - (1 - alive) ** runs).mean() >= 0.9989
+
+
 # suffix-array dedup
 
 def brute_removed(rows, length):
