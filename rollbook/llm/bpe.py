@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.kernels import BYTE_VALUES, mix, ranges, rolling, span_hash, text_chunks
+from rollbook.llm.kernels import BYTE_VALUES, distinct, mix, ranges, rolling, span_hash, text_chunks
 from rollbook.llm.shared import texts
 
 BLOCK_BYTES = 32 << 20
@@ -183,13 +183,12 @@ class Block:
 
     def add(self, ids, data, offsets, classes):
         starts, ends, first = split(data, offsets, classes)
-        hashes = span_hash(rolling(BYTE_VALUES[data]), starts, ends)
-        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        local = np.empty(len(where), np.uint32)
-        order = np.argsort(where)
-        for k, s, e in zip(order.tolist(), starts[where[order]].tolist(), ends[where[order]].tolist()):
-            word = raw[s:e]
+        lengths = ends - starts
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        body = data if bounds[-1] == len(data) else data[ranges(starts, lengths)]
+        inverse, found = distinct(np.ascontiguousarray(body), bounds)
+        local = np.empty(len(found), np.uint32)
+        for k, word in enumerate(found.to_pylist()):
             number = self.numbers.get(word)
             if number is None:
                 number = self.numbers[word] = len(self.words)

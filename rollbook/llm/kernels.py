@@ -1,7 +1,9 @@
 """Vector kernels over the byte buffers of Arrow text columns, used inside tasks.
 
 A word is a maximal run of the bytes 0-9, A-Z, a-z and 0x80-0xFF, lower-cased for A-Z only; in UTF-8 this is the same as the
-pattern [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ over the lower-cased text. Word hashes have 64 bits and are the same in every task.
+pattern [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ over the lower-cased text. Word hashes are polynomials modulo the prime 2**61 - 1 and the
+same in every task. The cheaper span_hash() is one modulo 2**64, for which texts of 1,024 bytes can be made that collide; it is for
+spans shorter than that, and where a collision does no harm. Where equal words must be told by their bytes, coded() does that.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ def mix(x):
 
 
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_LOWER_VALUES = BYTE_VALUES[LOWER]
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -70,6 +71,72 @@ def span_hash(prefix, starts, ends):
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+PRIME = np.uint64((1 << 61) - 1)
+_PRIME_BASE = 0x0B7E151628AED2A6 % int(PRIME)
+_BLOCK = 1 << 20
+_31, _30, _61 = np.uint64(31), np.uint64(30), np.uint64(61)
+_LOW31, _LOW30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_LOWER_NUMBERS = LOWER.astype(np.uint64) + np.uint64(1)
+_prime_powers = None
+
+
+def reduced(x):
+    """x modulo the prime, for any x of 64 bits."""
+    x = (x & PRIME) + (x >> _61)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def product(a, b):
+    """a times b modulo the prime, for numbers below it."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return reduced(reduced(np.uint64(2) * a1 * b1 + (middle >> _30) + ((middle & _LOW30) << _31)) + a0 * b0)
+
+
+def prime_powers():
+    """Powers 0.._BLOCK-1 of the base as low 31 and high 30 bits, and those of its inverse; made once in a process."""
+    global _prime_powers
+    if _prime_powers is None:
+        def table(base):
+            out = np.ones(_BLOCK, np.uint64)
+            done = 1
+            while done < _BLOCK:
+                out[done:2 * done] = product(out[:done], np.uint64(pow(base, done, int(PRIME))))
+                done *= 2
+            return out
+
+        up = table(_PRIME_BASE)
+        _prime_powers = up & _LOW31, up >> _31, table(pow(_PRIME_BASE, -1, int(PRIME)))
+    return _prime_powers
+
+
+def prime_hashes(numbers, starts, ends):
+    """Hashes of spans of small numbers (1 to 256), mixed. The powers begin anew every _BLOCK places, so tables stay small."""
+    low, high, down = prime_powers()
+    sums = [np.zeros(len(numbers) + 1, np.uint64) for _ in range(2)]
+    for i in range(0, len(numbers), _BLOCK):
+        part = numbers[i:i + _BLOCK]
+        for total, power in zip(sums, (low, high)):
+            np.cumsum(part * power[:len(part)], out=total[i + 1:i + 1 + len(part)])
+            total[i + 1:i + 1 + len(part)] += total[i]
+
+    def within(s, e):
+        """Values of spans that lie in one block each; differences of the sums are right although the sums may wrap around."""
+        h = reduced(sums[1][e] - sums[1][s])
+        h = reduced((h >> _30) + ((h & _LOW30) << _31) + reduced(sums[0][e] - sums[0][s]))
+        return product(h, down[s % _BLOCK])
+
+    out = within(starts, np.minimum(ends, (starts // _BLOCK + 1) * _BLOCK))
+    for k in np.flatnonzero((ends - 1) // _BLOCK > starts // _BLOCK):
+        value, at, step = int(out[k]), (int(starts[k]) // _BLOCK + 1) * _BLOCK, 0
+        while at < ends[k]:
+            piece = int(within(np.array([at]), np.array([min(int(ends[k]), at + _BLOCK)]))[0])
+            value = (value + piece * pow(_PRIME_BASE, at - int(starts[k]), int(PRIME))) % int(PRIME)
+            at += _BLOCK
+        out[k] = value
+    return mix(out)
+
+
 def text_buffers(column):
     """The bytes of a text or binary column and the n+1 offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -96,9 +163,9 @@ def chunks(offsets, limit=CHUNK_BYTES):
         i = j
 
 
-def word_spans(data, offsets):
-    """Starts and ends of the words of rows that lie behind each other in data; offsets are relative to data."""
-    inside = IS_WORD[data]
+def word_spans(data, offsets, mask=IS_WORD):
+    """Starts and ends of the runs of bytes in mask, of rows that lie behind each other in data; offsets are relative to data."""
+    inside = mask[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     last = inside.copy()
@@ -113,10 +180,33 @@ def word_spans(data, offsets):
 def words(data, offsets):
     """Word starts, ends, hashes, and for each row the position of its first word (n+1 values)."""
     starts, ends = word_spans(data, offsets)
-    hashes = span_hash(rolling(_LOWER_VALUES[data]), starts, ends)
+    hashes = prime_hashes(_LOWER_NUMBERS[data], starts, ends)
     return starts, ends, hashes, np.searchsorted(starts, offsets)
 
 
+def distinct(body, bounds):
+    """Numbers of the pieces of body between bounds, and the distinct pieces; they are told apart by their bytes."""
+    bounds = np.ascontiguousarray(bounds, np.int64)
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(body)])
+    found = column.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def coded(data, offsets, mask=IS_WORD):
+    """Numbers of the words, the distinct words (A-Z lower-cased), and for each row the position of its first word (n+1 values)."""
+    starts, ends = word_spans(data, offsets, mask)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    numbers, words_ = distinct(np.ascontiguousarray(LOWER[data[mask[data]]]), bounds)
+    return numbers, words_, np.searchsorted(starts, offsets)
+
+
+def counted(numbers, first, size):
+    """Row, number and count of each number of a row that has it; numbers are below size."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    keys, counts = np.unique(row * size + numbers, return_counts=True)
+    return keys // max(size, 1), keys % max(size, 1), counts
+
 def text_chunks(column, limit=CHUNK_BYTES):
     """For each chunk of a column: first row, last row, its bytes and its own offsets from 0."""
     data, offsets = text_buffers(column)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from rollbook.llm.kernels import BYTE_VALUES, rolling, span_hash, text_chunks
+from rollbook.llm.kernels import distinct, text_chunks
 from rollbook.llm.shared import texts
 
 MARK = "▁"
@@ -88,8 +88,10 @@ class Counter:
         first = np.zeros(len(data), bool)
         first[row_begin] = True
         first = first[starts]
-        hashes = span_hash(rolling(BYTE_VALUES[data]), starts, ends) + first
-        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if not len(starts):
+            return np.zeros(len(offsets) - 1, np.int64)
+        words, _ = distinct(np.ascontiguousarray(data), np.append(starts, len(data)))
+        _, where, inverse = np.unique(2 * words.astype(np.int64) + first, return_index=True, return_inverse=True)
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         counts = np.empty(len(where), np.int64)
