@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.llm import bpe, decontaminate, licenses, pii, quality, secrets_scan, suffix_dedup, token_counts
+from rollbook.llm import bpe, decontaminate, divergence, licenses, pii, quality, ranked_search, secrets_scan, suffix_dedup, token_counts, toxicity
 from rollbook.llm.exact_dedup import exact_dedup
 from rollbook.llm.jaccard_join import jaccard_join
 
@@ -109,3 +109,60 @@ def op8_token_counts(spark, sf_dir):
 def op9_pii(spark, sf_dir):
     found = pii.pseudonymise(documents(spark, sf_dir), key="a secret of the data's owner")
     return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_values"))
+
+
+LOWERED_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_divergence",
+    rf"""
+    WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                      regexp_extract_all({LOWERED_SQL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+         tok AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+         kept AS (SELECT lang, term FROM (SELECT DISTINCT i, lang, term FROM tok) GROUP BY 1, 2 HAVING count(*) >= 10),
+         v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+         grp AS (SELECT DISTINCT lang, source FROM d),
+         cnt AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+         tot AS (SELECT lang, source, sum(c)::BIGINT AS n FROM cnt GROUP BY 1, 2),
+         p AS (SELECT g.lang, g.source, k.term, coalesce(c, 0) AS c, 1 + (1000000000 * (coalesce(c, 0) + 2)) // (coalesce(n, 0) + 2 * v) AS p
+               FROM grp g JOIN kept k USING (lang) JOIN v USING (lang) LEFT JOIN tot USING (lang, source) LEFT JOIN cnt USING (lang, source, term)),
+         langs AS (SELECT lang, term, sum(c)::BIGINT AS c FROM cnt GROUP BY 1, 2),
+         q AS (SELECT lang, term, 1 + (1000000000 * (c + 2)) // (sum(c) OVER (PARTITION BY lang) + 2 * v)::BIGINT AS q FROM langs JOIN v USING (lang)),
+         sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+         pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+                   FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+                   LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+         terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q),
+         ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+    SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10
+    """,
+)
+def op11_divergence(spark, sf_dir):
+    return divergence.source_divergence(documents(spark, sf_dir))
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark, sf_dir):
+    found = toxicity.toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return found.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query(
+    "op13_ranked_search",
+    rf"""
+    WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+         tok AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+         size AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0),
+         item AS (SELECT DISTINCT item_id, unnest({WORDS_SQL}) AS term FROM benchmark),
+         tf AS (SELECT doc_id, n, term, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM item) GROUP BY 1, 2, 3),
+         weight AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, size GROUP BY term, docs),
+         score AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+                   FROM item JOIN tf USING (term) JOIN weight USING (term), size GROUP BY 1, 2),
+         ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM score WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 10
+    """,
+)
+def op13_ranked_search(spark, sf_dir):
+    return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
