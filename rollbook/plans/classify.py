@@ -1,8 +1,8 @@
 """Rule-based industry classification of people, as column expressions.
 
-Everything here is row-wise: no shuffle, no join, and no group that could be skewed. Each test is one regular expression
-over folded text, computed once per row in a first projection; rules then read these Boolean signals. A policy is an ordered
-list of rules (condition, outcome); the first that holds decides.
+Each test is one regular expression over folded text, computed once per row in a first projection; rules then read these Boolean
+signals. A policy is an ordered list of rules (condition, outcome); the first that holds decides. All of that is row-wise. Where
+the vocabulary is a TermTable, its terms are not part of the plan: distinct texts meet them by a join, and rules read the result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,8 @@ from rollbook.functions.text import (
 from rollbook.operators.columns import canonical_column, find_column, person_column
 from rollbook.operators.sampling import col, data_columns
 from rollbook.plans import phrases as V
-from rollbook.plans.taxonomy import GENERIC_ROLES, PRIORITY, SEED, industry_key
+from rollbook.plans.lookup import attach_vocabulary
+from rollbook.plans.taxonomy import GENERIC_ROLES, PRIORITY, SEED, TermTable, industry_key
 from rollbook.sources.files import ROW_ID
 
 DIRECT, ADJACENT, UNCERTAIN, NON_MATCH = "direct_match", "adjacent", "uncertain", "non_match"
@@ -59,11 +60,12 @@ class Signals:
     taxonomies: object
     tests: dict = field(default_factory=dict)
     names: dict = field(default_factory=dict)
+    wanted: dict = field(default_factory=dict)
     described: bool = True
 
     def undescribed(self):
         """The same tests, as if no column described the employer."""
-        return Signals(self.taxonomies, self.tests, self.names, described=False)
+        return Signals(self.taxonomies, self.tests, self.names, self.wanted, described=False)
 
     def _keep(self, key, make):
         if key not in self.names:
@@ -97,12 +99,19 @@ class Signals:
     def company(self, *names):
         return self._keep(("company", names), lambda: company_match(F.col("_company"), names))
 
-    def terms(self, industry, kind):
-        return self.taxonomies.terms(industry, kind)
+    def known(self, place, industry, kind):
+        """A term of the industry's vocabulary occurs in that text."""
+        if not isinstance(self.taxonomies, TermTable):
+            return getattr(self, place)(*self.taxonomies.terms(industry, kind))
+        if not self.described and place == "descriptor":
+            return F.lit(False)
+        place = "either" if not self.described and place == "anywhere" else place
+        code = self.wanted.setdefault((place, industry_key(industry), kind), len(self.wanted))
+        return self._keep(("known", code), lambda: F.coalesce(F.array_contains("_hits", F.lit(code)), F.lit(False)))
 
     def employer_of(self, industry):
         """The employer is a known company of the industry or carries its wording."""
-        return self.company(*self.terms(industry, "company")) | self.employer(*self.terms(industry, "employer"))
+        return self.known("company", industry, "company") | self.known("employer", industry, "employer")
 
     def label(self, label):
         industries = [i for i, name in V.EMPLOYER_LABELS.items() if name == label and self.taxonomies.get(i)]
@@ -149,11 +158,11 @@ NO_EVIDENCE = "no title or employer evidence"
 
 def _tech(s, spec):
     technical = s.title(*V.TECHNICAL_TITLES)
-    known = s.company(*s.terms("tech", "company"))
+    known = s.known("company", "tech", "company")
     worded = s.employer(*V.TECH_EMPLOYER_WORDS)
     beside = s.title(*V.TECH_ADJACENT_TITLES)
-    vague = s.employer(*s.terms("tech", "ambiguous"))
-    other_domain = s.either(*s.terms("tech", "exclusion"))
+    vague = s.known("employer", "tech", "ambiguous")
+    other_domain = s.known("either", "tech", "exclusion")
     advisers = s.label("consulting_professional_services") & s.employer("consulting", "advisory", "professional services")
     is_technical = outcome(DIRECT, 0.98, "technical title")
     is_known = outcome(DIRECT, 0.95, "known technology company")
@@ -191,7 +200,7 @@ def _tech(s, spec):
 
 
 def _investment_banking(s, spec):
-    bank = s.company(*s.terms("investment_banking", "company"))
+    bank = s.known("company", "investment_banking", "company")
     other = s.title("corporate banking", "commercial banking", "risk analyst", "wealth management", "asset management")
     return decide(
         [
@@ -289,7 +298,7 @@ def _government_legal(s, spec):
             (s.title(*V.GOVERNMENT_LEGAL_TITLES), outcome(DIRECT, 0.95, "legal, policy or government title")),
             (employer & schools, outcome(NON_MATCH, 0.85, "education department without legal title")),
             (employer, outcome(DIRECT, 0.88, "government or legal employer")),
-            (s.either(*s.terms("government_legal", "ambiguous")), outcome(UNCERTAIN, 0.4, "weak public-sector wording")),
+            (s.known("either", "government_legal", "ambiguous"), outcome(UNCERTAIN, 0.4, "weak public-sector wording")),
         ],
         outcome(NON_MATCH, 0.2, NO_EVIDENCE),
     )
@@ -323,7 +332,7 @@ def _consulting(s, spec):
             (adviser, outcome(DIRECT, 0.8, "advisory firm with plausible title")),
             (s.title("advisor", "adviser"), outcome(UNCERTAIN, 0.5, "adviser without context")),
             (internal, outcome(ADJACENT, 0.6, "internal business role")),
-            (s.employer(*s.terms("consulting", "ambiguous")), outcome(UNCERTAIN, 0.45, "ambiguous employer wording")),
+            (s.known("employer", "consulting", "ambiguous"), outcome(UNCERTAIN, 0.45, "ambiguous employer wording")),
         ],
         outcome(NON_MATCH, 0.2, NO_EVIDENCE),
     )
@@ -343,16 +352,16 @@ POLICIES = {
 
 def _layers(s, industry):
     """Taxonomy layers in order: (condition, status, source, confidence)."""
-    title = s.title(*s.terms(industry, "title"))
-    excluded = ~title & s.anywhere(*s.terms(industry, "exclusion"))
-    described = s.descriptor(*s.terms(industry, "employer"))
+    title = s.known("title", industry, "title")
+    excluded = ~title & s.known("anywhere", industry, "exclusion")
+    described = s.known("descriptor", industry, "employer")
     return [
         (title, "confirmed", "title_keyword", 1.0),
-        (s.company(*s.terms(industry, "company")), "confirmed", "known_company", 0.95),
-        (s.employer(*s.terms(industry, "employer")), "confirmed", "employer_keyword", 0.9),
+        (s.known("company", industry, "company"), "confirmed", "known_company", 0.95),
+        (s.known("employer", industry, "employer"), "confirmed", "employer_keyword", 0.9),
         (described & ~excluded, "confirmed", "employer_keyword", 0.82),
         (excluded, "excluded", "exclusion_keyword", 0.9),
-        (s.employer(*s.terms(industry, "ambiguous")), "uncertain", "ambiguous_employer", 0.45),
+        (s.known("employer", industry, "ambiguous"), "uncertain", "ambiguous_employer", 0.45),
     ]
 
 
@@ -420,7 +429,7 @@ def _employer_signal(s):
     rules += [(s.label(label), F.lit(name)) for label, name in V.EMPLOYER_SIGNALS]
     rules += [
         (s.employer(*V.RESEARCH_EMPLOYER_WORDS), F.lit("research")),
-        (s.employer(*s.terms("tech", "ambiguous")), F.lit("ambiguous")),
+        (s.known("employer", "tech", "ambiguous"), F.lit("ambiguous")),
     ]
     return decide(rules, F.lit("unknown"))
 
@@ -428,7 +437,7 @@ def _employer_signal(s):
 def _reason_code(s, selected):
     name = F.col("classification")
     technical, tech_asked = s.title(*V.TECHNICAL_TITLES), selected == "tech"
-    known = tech_asked & s.company(*s.terms("tech", "company"))
+    known = tech_asked & s.known("company", "tech", "company")
     direct = decide(
         [
             (technical & s.label("financial_services"), F.lit("technical_role_in_finance")),
@@ -494,6 +503,8 @@ def prepared(df, profile=None):
 
 
 def _with_signals(df, s):
+    if s.wanted:
+        df = attach_vocabulary(df, s.taxonomies.table, s.wanted)
     return df.withColumns(s.tests) if s.tests else df
 
 
@@ -516,7 +527,7 @@ def match_industry(df, industry, taxonomies=SEED, profile=None):
         raise ValueError(f"Unknown industry '{industry}'.")
     s = Signals(taxonomies)
     layers = _layers(s, key)
-    generic = s.title(*GENERIC_ROLES, *s.terms(key, "generic"))
+    generic = s.title(*GENERIC_ROLES) | s.known("title", key, "generic")
 
     def result(status, sources, confidence):
         listed = F.array(*map(F.lit, sources)) if sources else F.array().cast("array<string>")
@@ -652,13 +663,13 @@ def people_by_occupation(df, terms, profile=None):
 def company_industries(df, column="employer", taxonomies=SEED):
     """Add industries: those that know the company, in the fixed order of industries."""
     name = find_column(df.columns, column)
-    known = [i for i in PRIORITY if i in taxonomies] + [i for i in taxonomies if i not in PRIORITY]
+    known = [i for i in PRIORITY if taxonomies.get(i)] + [i for i in taxonomies if i not in PRIORITY]
+    s = Signals(taxonomies)
+    tests = [(i, s.known("company", i, "company")) for i in known]
     folded = norm_company(F.coalesce(as_text(col(name), type_of(df, name)), F.lit("")))
-    rows = df.withColumn("_company", folded)
-    found = F.array_compact(
-        F.array(*(F.when(company_match(F.col("_company"), taxonomies.terms(i, "company")), F.lit(i)) for i in known))
-    )
-    return rows.withColumn("industries", found).drop("_company")
+    rows = _with_signals(df.withColumn("_company", folded), s)
+    found = F.array_compact(F.array(*(F.when(test, F.lit(i)) for i, test in tests)))
+    return _finish(rows, df.columns, [found.alias("industries")])
 
 
 def explain_people(df, name, industry, taxonomies=SEED, profile=None, limit=None, row_id=ROW_ID):

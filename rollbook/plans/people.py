@@ -1,7 +1,7 @@
 """People filters: one bucket per person, alone or combined with exact predicates.
 
-A person may have any number of rows. Rows that are in no bucket are dropped before anything is shuffled. One aggregation per
-person then picks the rows to show by row id (minima and maxima, combined before the shuffle), together with their cells. No
+A person may have any number of rows. Rows that are in no bucket become one group, of which a task sends one row. One aggregation
+per person picks the rows to show by row id (minima and maxima, combined before the shuffle), together with their cells. No
 window, no sort by person and no second pass over the table is involved, so a person with a third of all rows costs no more
 than their partial aggregates.
 """
@@ -21,7 +21,9 @@ from rollbook.operators.predicates import compile_group, matching_email
 from rollbook.operators.sampling import col, data_columns
 from rollbook.operators.skew import attach_groups
 from rollbook.plans.classify import ADJACENT, UNCERTAIN, classify
-from rollbook.plans.taxonomy import SEED
+from rollbook.plans.lookup import attach_hits
+from rollbook.plans.taxonomy import SEED, TermTable, industry_key
+from rollbook.session import saved
 from rollbook.sources.files import ROW_ID
 
 BUCKETS = ("counted", "direct", "adjacent", "uncertain")
@@ -104,7 +106,11 @@ FLAGS = ("_counted", "_adjacent", "_uncertain")
 
 
 def _flagged(judged, *more):
-    return judged.filter(reduce(or_, (F.col(flag) for flag in (*FLAGS, *more))))
+    """Rows in no bucket lose their person: they meet in one group a task, which shows no row.
+
+    A filter would be pushed through all rules of the classification, repeating them wherever it names a flag.
+    """
+    return judged.withColumn("_person", F.when(reduce(or_, (F.col(flag) for flag in (*FLAGS, *more))), F.col("_person")))
 
 
 def _chosen(judged, exact=False):
@@ -161,13 +167,43 @@ def _term_hits(df, columns, terms):
     return F.when(occurs(term_pattern(terms, keep)), hits).otherwise(0)
 
 
-def candidate_metrics(df, spec, terms, columns, taxonomies=SEED, profile=None, row_id=ROW_ID):
+def _retrieved(df, spec, terms, columns, taxonomies):
+    """Rows with the number of retrieval terms that occur in some of the columns: those given, and those of the specification.
+
+    An industry brings its companies and retrieval terms; employers and titles that are asked for are terms themselves.
+    """
+    spark = df.sparkSession
+    given = list(dict.fromkeys(t.strip() for t in (*terms, *spec.employers, *spec.titles) if t.strip()))
+    listed = spark.createDataFrame([(t,) for t in given], "term string")
+    if not (spec.employers or spec.titles):
+        wanted = [industry_key(i) for i in spec.industries]
+        if isinstance(taxonomies, TermTable):
+            more = taxonomies.table.where(F.col("industry").isin(wanted) & F.col("kind").isin("company", "retrieval")).select(F.btrim("term").alias("term"))
+        else:
+            more = spark.createDataFrame([(t.strip(),) for i in wanted for kind in ("company", "retrieval") for t in taxonomies.terms(i, kind)], "term string")
+        listed = listed.unionByName(more).distinct()
+    names = [f"_search{i}" for i in range(len(columns))]
+    texts = {n: F.coalesce(norm_text(as_text(col(c), type_of(df, c))), F.lit("")) for n, c in zip(names, columns)}
+    searched = listed.select(F.explode(F.array(*map(F.lit, names))).alias("field"), norm_text("term").alias("folded"), "term")
+    searched = searched.select("field", F.col("folded").alias("term"), F.lit(False).alias("whole"), F.col("term").alias("code"))
+    rows = attach_hits(df.withColumns(texts), {n: (n,) for n in names}, searched, "_retrieved").drop(*names)
+    return rows, F.when(F.col("_retrieved").isNotNull(), F.size("_retrieved")).otherwise(0)
+
+
+def candidate_metrics(df, spec, terms, columns, taxonomies=SEED, profile=None, row_id=ROW_ID, retrieval=False):
     """One row: keyword hits, rows with a hit, and such rows that no bucket took up.
 
+    With retrieval, the companies and retrieval terms of the vocabulary are keywords too, looked up by a join.
     A row is taken up when it counts, when it is adjacent and its person has not counted before it, or when it is uncertain
     and its person has neither counted nor been adjacent before it.
     """
-    judged = _judged(df, spec, taxonomies, profile, row_id, _term_hits(df, columns, terms).alias("_hits"))
+    rows = df
+    if retrieval:
+        rows, hits = _retrieved(df, spec, terms, columns, taxonomies)
+    else:
+        hits = _term_hits(df, columns, terms)
+    # Written once: a person's verdicts and the rows they apply to are both needed, and the rules should run once.
+    judged = saved(_judged(rows, spec, taxonomies, profile, row_id, hits.alias("_hits")), "candidates")
     # Only rows with a hit are counted, and only counted and adjacent rows say anything about their person.
     people = judged.filter(F.col("_counted") | F.col("_adjacent")).groupBy("_person").agg(
         F.min(_when("_counted")).alias("_first_counted"),

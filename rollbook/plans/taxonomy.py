@@ -1,7 +1,8 @@
 """Industry vocabularies: what in a title or an employer name speaks for an industry.
 
-A vocabulary is a parameter of every classification. SEED is a short one of our own to start from; a real deployment loads
-its lists from a table of (industry, kind, term, priority) with taxonomies_from_table.
+A vocabulary is a parameter of every classification. SEED is a short one of our own to start from; a real deployment keeps its
+lists in a table of (industry, kind, term). TermTable leaves the terms there, to be joined, whatever their number;
+taxonomies_from_table writes a short list into the query.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import functions as F
 
-KINDS = ("title", "employer", "company", "exclusion", "ambiguous", "generic")
+KINDS = ("title", "employer", "company", "exclusion", "ambiguous", "generic", "retrieval")
 MAX_TERMS = 20_000
+MAX_INDUSTRIES = 10_000
 
 # Roles that never place a person in an industry by themselves.
 GENERIC_ROLES = (
@@ -48,6 +50,7 @@ class Vocabulary:
     exclusion: tuple = ()
     ambiguous: tuple = ()
     generic: tuple = ()
+    retrieval: tuple = ()
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,29 @@ def taxonomies_from_table(df):
     return taxonomies(terms)
 
 
+class TermTable:
+    """Taxonomies whose terms stay in a table (industry, kind, term). Only the names of the industries come to the driver."""
+
+    def __init__(self, df):
+        key = F.btrim(F.regexp_replace(F.lower(F.btrim("industry")), "[^a-z0-9]+", "_"), F.lit("_"))
+        names = F.create_map(*(F.lit(x) for pair in INDUSTRY_NAMES.items() for x in pair))
+        self.table = df.select(F.coalesce(F.element_at(names, key), key).alias("industry"), "kind", "term").where("term is not null")
+        found = self.table.select("industry", "kind").distinct().limit(MAX_INDUSTRIES + 1).collect()
+        if len(found) > MAX_INDUSTRIES:
+            raise ValueError(f"More than {MAX_INDUSTRIES} industries and kinds.")
+        unknown = {row["kind"] for row in found} - set(KINDS)
+        if unknown:
+            raise ValueError(f"Unknown term kinds: {sorted(map(str, unknown))}.")
+        self.industries = {row["industry"] for row in found}
+
+    def get(self, industry):
+        key = industry_key(industry)
+        return key if key in self.industries else None
+
+    def __iter__(self):
+        return iter(sorted(self.industries))
+
+
 SEED = taxonomies(
     {
         "tech": {
