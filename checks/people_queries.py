@@ -70,11 +70,12 @@ _CELL_RULES = (
     ("DNC", 13, "do_not_contact", 0.82, _rate("do_not_contact", "lower(v) IN ('yes', 'no', 'y', 'n', '1', '0')") + " >= 0.9"),
 )
 _CELLS_SQL = " UNION ALL ".join(
-    f"SELECT '{s}' AS source, {o} AS ordinal, '{f}' AS canonical_field, {c}::DOUBLE AS confidence, 'sample_inference' AS method WHERE {w}"
+    f"SELECT '{s}' AS source, {o} AS ordinal, '{f}' AS canonical_field, {c}::DOUBLE AS confidence, 'sample_inference' AS method, 'Most sampled values look like this field.' AS evidence WHERE {w}"
     for s, o, f, c, w in _CELL_RULES
 )
 _HEADERS_SQL = " UNION ALL ".join(
-    f"SELECT '{s}' AS source, {o} AS ordinal, '{f}' AS canonical_field, {c}::DOUBLE AS confidence, '{m}' AS method"
+    f"SELECT '{s}' AS source, {o} AS ordinal, '{f}' AS canonical_field, {c}::DOUBLE AS confidence, '{m}' AS method, "
+    + ("'The header is a known alias.'" if m == "exact_alias" else "'The header has the shape of this field.'") + " AS evidence"
     for s, o, f, c, m in (
         ("F_NM", 0, "first_name", 0.91, "header_heuristic"), ("L_NM", 1, "last_name", 0.91, "header_heuristic"),
         ("BUS_NM", 2, "employer", 0.86, "header_heuristic"), ("City", 9, "city", 0.99, "exact_alias"),
@@ -84,16 +85,16 @@ _HEADERS_SQL = " UNION ALL ".join(
     )
 )
 _SCHEMA_CTES = (
-    f"cand AS (SELECT source, ordinal, canonical_field, max(confidence) AS confidence, arg_max(method, confidence) AS method FROM ({_HEADERS_SQL} UNION ALL {_CELLS_SQL}) GROUP BY 1, 2, 3)",
+    f"cand AS (SELECT source, ordinal, canonical_field, max(confidence) AS confidence, arg_max(method, confidence) AS method, arg_max(evidence, confidence) AS evidence FROM ({_HEADERS_SQL} UNION ALL {_CELLS_SQL}) GROUP BY 1, 2, 3)",
     "best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY source ORDER BY confidence DESC, canonical_field) = 1)",
     "prof AS (SELECT canonical_field, string_agg(source, '|' ORDER BY confidence DESC, ordinal) AS source_columns, min(confidence) AS confidence, "
-    "CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'combined_inference' END AS method, count(*) AS n FROM best GROUP BY 1 HAVING count(*) = 1 OR canonical_field IN ('email', 'phone'))",
-    "labelled AS (SELECT canonical_field, source_columns, confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS label, method, false AS user_confirmed, n FROM prof)",
+    "CASE WHEN count(DISTINCT method) = 1 THEN min(method) ELSE 'combined_inference' END AS method, min(evidence) AS evidence, count(*) AS n FROM best GROUP BY 1 HAVING count(*) = 1 OR canonical_field IN ('email', 'phone'))",
+    "labelled AS (SELECT canonical_field, source_columns, confidence, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.65 THEN 'medium' ELSE 'low' END AS label, method, false AS user_confirmed, evidence, n FROM prof)",
 )
-_PROFILE_COLUMNS = "canonical_field, source_columns, confidence, label, method, user_confirmed"
+_PROFILE_COLUMNS = "canonical_field, source_columns, confidence, label, method, user_confirmed, evidence"
 
 
-@query("sample_candidates", people_sql(f"SELECT * FROM ({_CELLS_SQL})"))
+@query("sample_candidates", people_sql(f"SELECT * EXCLUDE (evidence) FROM ({_CELLS_SQL})"))
 def sample_candidates(spark, sf_dir):
     return M.sample_candidates(opaque(spark, sf_dir), this_year=2025).drop("evidence")
 
@@ -109,7 +110,17 @@ def sample_rates(spark, sf_dir):
 
 @query("infer_schema", people_sql(f"SELECT {_PROFILE_COLUMNS} FROM labelled", *_SCHEMA_CTES))
 def infer_schema(spark, sf_dir):
-    return listed(M.infer_schema(opaque(spark, sf_dir), this_year=2025), "source_columns")
+    return listed(M.infer_schema(opaque(spark, sf_dir), this_year=2025), "source_columns", "evidence")
+
+
+@query("unmapped_columns", people_sql(
+    "SELECT ordinal, source FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(OPAQUE)) + ") h(ordinal, source) "
+    "WHERE source <> 'Comments' AND NOT EXISTS (SELECT 1 FROM labelled WHERE list_contains(string_split(source_columns, '|'), source))",
+    *_SCHEMA_CTES,
+))
+def unmapped_columns(spark, sf_dir):
+    df = opaque(spark, sf_dir)
+    return M.unmapped_columns(M.infer_schema(df, this_year=2025), list(OPAQUE), ignored=("Comments",))
 
 
 @query("schema_conflicts", people_sql(
@@ -123,14 +134,31 @@ def schema_conflicts(spark, sf_dir):
 
 @query("merge_profile", people_sql(
     f"SELECT {_PROFILE_COLUMNS} FROM labelled WHERE canonical_field NOT IN ('employer', 'occupation') UNION ALL "
-    "SELECT 'employer', 'BUS_NM', 1.0::DOUBLE, 'high', 'user_confirmed', true UNION ALL SELECT 'occupation', 'BUS_POS', 1.0::DOUBLE, 'high', 'user_confirmed', true",
+    "SELECT 'employer', 'BUS_NM', 1.0::DOUBLE, 'high', 'user_confirmed', true, '' UNION ALL SELECT 'occupation', 'BUS_POS', 1.0::DOUBLE, 'high', 'user_confirmed', true, ''",
     *_SCHEMA_CTES,
 ))
 def merge_profile(spark, sf_dir):
     df = opaque(spark, sf_dir)
     confirmed = M.validate_mapping({"employer": ["BUS_NM"], "occupation": ["BUS_POS"]}, df.columns)
     merged = M.merge_profile(M.infer_schema(df, this_year=2025), M.confirmed_profile(spark, confirmed))
-    return listed(merged, "source_columns")
+    return listed(merged, "source_columns", "evidence")
+
+
+# City and Home City rival for one field; the confirmed city settles that, and takes Home City out of the inferred rows.
+@query("merge_profile_pruned", people_sql(
+    "SELECT 'confirmed' AS status, coalesce((SELECT string_agg(source, '|' ORDER BY ordinal) FROM (VALUES " + ", ".join(f"({i}, '{c}')" for i, c in enumerate(OPAQUE)) + ") h(ordinal, source) "
+    "WHERE source NOT IN ('DNC', 'Home City') AND NOT EXISTS (SELECT 1 FROM labelled WHERE list_contains(string_split(source_columns, '|'), source))), '') AS unmapped_columns, 'DNC' AS ignored_columns, "
+    "(SELECT count(*) FROM (SELECT canonical_field FROM best WHERE canonical_field NOT IN ('email', 'phone', 'city') GROUP BY 1 HAVING count(*) > 1)) AS conflicts",
+    *(c.replace("FROM best GROUP BY 1", "FROM best WHERE source <> 'DNC' GROUP BY 1") for c in _SCHEMA_CTES),
+))
+def merge_profile_pruned(spark, sf_dir):
+    df = opaque(spark, sf_dir)
+    columns = list(OPAQUE)
+    confirmed = M.confirmed_profile(spark, M.validate_mapping({"city": ["Home City"]}, columns, ignored=("DNC",)))
+    inferred = M.infer_schema(df.drop("DNC"), this_year=2025)
+    conflicts = M.schema_conflicts(df.drop("DNC"), this_year=2025)
+    state = M.profile_state(inferred, confirmed, conflicts, columns, ignored=("DNC", "gone", "Home City"), status="confirmed")
+    return listed(state, "unmapped_columns", "ignored_columns")
 
 
 @query("apply_mapping", people_sql(

@@ -1,6 +1,6 @@
 """Phrases the classification rules look for in job titles and employer names.
 
-Words must stand alone, phrases may occur anywhere in the folded text. Phrases that contain a listed phrase are left out.
+Words must stand alone, phrases may occur anywhere in the folded text.
 """
 
 # Employer label of each industry.
@@ -35,7 +35,7 @@ JOB_FUNCTIONS = {
         "corporate banking", "commercial banking", "credit analyst", "capital markets", "sales and trading",
         "equity research",
     ),
-    "investment_banking": ("investment banking", "investment banker"),
+    "investment_banking": ("investment banking analyst", "investment banking associate", "investment banking", "investment banker"),
     "internal_strategy": ("strategy", "strategic planning", "chief of staff", "corporate development"),
     "product": (
         "product manager", "product management", "product lead", "product owner", "head of product",
@@ -49,7 +49,7 @@ JOB_FUNCTIONS = {
     ),
     "legal": ("attorney", "lawyer", "counsel", "law clerk", "paralegal", "judicial", "legal"),
     "engineering": (
-        "software engineer", "engineer", "founding engineer", "forward deployed engineer", "research engineer",
+        "software engineer", "software engineering", "engineer", "founding engineer", "forward deployed engineer", "research engineer",
         "developer", "programmer", "devops", "site reliability", "infrastructure", "technical lead", "cto",
     ),
     "data_analytics": (
@@ -66,8 +66,8 @@ JOB_FUNCTIONS = {
     "marketing_growth": ("growth marketing", "growth"),
     "communications_pr": ("communications manager", "public relations", "pr manager"),
     "government_policy": (
-        "policy analyst", "legislative aide", "government analyst", "city planner", "federal analyst",
-        "campaign staff",
+        "policy analyst", "legislative aide", "government analyst", "public policy analyst", "city planner",
+        "federal analyst", "campaign staff",
     ),
     "education_teaching": ("teacher", "professor", "lecturer", "instructor", "educator"),
 }
@@ -111,15 +111,17 @@ RELATED_SPECIALTIES = {
 }
 
 TECHNICAL_TITLES = (
-    "software engineer", "swe", "software developer", "backend engineer", "front end engineer", "frontend engineer",
-    "full stack engineer", "founding engineer", "forward deployed engineer", "research engineer", "data scientist",
-    "data engineer", "database engineer", "database administrator", "database management systems",
-    "machine learning engineer", "ml engineer", "ai engineer", "cloud engineer", "cloud support engineer",
-    "security engineer", "site reliability engineer", "devops engineer", "systems engineer", "solutions engineer",
-    "blockchain engineer", "ux engineer", "technical program manager", "technical product manager",
-    "technical lead", "technical services", "it director", "cto", "chief technology officer",
-    "data platform analyst", "analytics engineer", "infrastructure engineer", "product engineer",
-    "security analyst", "quantitative developer", "seo product analyst",
+    "software engineer", "software engineering", "swe", "software developer", "cloud software engineer",
+    "staff software engineer", "senior software engineer", "backend engineer", "front end engineer", "frontend engineer",
+    "full stack engineer", "founding engineer", "founder software engineer", "forward deployed engineer",
+    "research engineer", "ai research engineer", "data scientist", "data engineer", "database engineer",
+    "database administrator", "database management systems", "machine learning engineer", "ml engineer", "ai engineer",
+    "cloud engineer", "cloud support engineer", "security engineer", "cybersecurity analyst",
+    "site reliability engineer", "devops engineer", "systems engineer", "solutions engineer",
+    "client solutions engineer", "blockchain engineer", "ux engineer", "technical program manager",
+    "technical product manager", "technical lead", "technical services", "it director", "cto",
+    "chief technology officer", "data platform analyst", "analytics engineer", "analytics engineering",
+    "infrastructure engineer", "product engineer", "security analyst", "quantitative developer", "seo product analyst",
 )
 
 TECH_ADJACENT_TITLES = (
@@ -136,7 +138,9 @@ TECH_EMPLOYER_WORDS = (
     "developer tools", "analytics", "analytics platform",
 )
 
-INVESTMENT_BANKING_TITLES = ("investment banking", "investment banker")
+INVESTMENT_BANKING_TITLES = (
+    "investment banking analyst", "investment banking associate", "investment banking", "investment banker",
+)
 
 BANKING_TITLES = (
     "banker", "corporate banking", "commercial banking", "credit analyst", "capital markets", "sales and trading",
@@ -151,10 +155,13 @@ FINANCE_TITLES = (
 )
 
 MARKETING_TITLES = (
-    "marketing manager", "marketing analyst", "account strategist", "media planner", "brand strategist",
-    "brand manager", "communications manager", "advertising strategist", "demand generation manager",
-    "seo manager", "sem manager", "digital marketing", "marketing coordinator", "marketing director",
-    "head of marketing", "chief marketing officer", "cmo", "consumer insights analyst",
+    "marketing manager", "marketing analyst", "growth marketing analyst", "growth marketing manager",
+    "account strategist", "ads account strategist", "media planner", "brand strategist", "product marketing manager",
+    "brand manager", "artist marketing manager", "communications manager", "advertising strategist",
+    "performance marketing analyst", "demand generation manager", "lifecycle marketing manager", "seo manager",
+    "sem manager", "content marketing manager", "digital marketing manager", "digital marketing associate",
+    "digital marketing", "marketing coordinator", "marketing director", "head of marketing", "chief marketing officer",
+    "cmo", "consumer insights analyst",
 )
 
 MARKETING_ADJACENT_TITLES = (
@@ -164,10 +171,10 @@ MARKETING_ADJACENT_TITLES = (
 
 OPERATIONS_TITLES = (
     "operations manager", "business operations", "strategy and operations", "strategy & operations",
-    "supply chain analyst", "supply chain manager", "logistics manager", "sales operations", "people operations",
-    "clinical operations", "program operations", "operations analyst", "operations associate",
-    "operations leadership associate", "director of operations", "head of operations", "manufacturing engineer",
-    "logistics analyst", "revenue management analyst", "chief operating officer", "coo",
+    "marketplace operations analyst", "supply chain analyst", "supply chain manager", "logistics manager",
+    "sales operations", "people operations", "clinical operations", "program operations", "operations analyst",
+    "operations associate", "operations leadership associate", "director of operations", "head of operations",
+    "manufacturing engineer", "logistics analyst", "revenue management analyst", "chief operating officer", "coo",
 )
 
 OPERATIONS_ADJACENT_TITLES = (
@@ -177,9 +184,9 @@ OPERATIONS_ADJACENT_TITLES = (
 )
 
 GOVERNMENT_LEGAL_TITLES = (
-    "attorney", "lawyer", "legal counsel", "law clerk", "judicial clerk", "paralegal", "counsel",
+    "attorney", "lawyer", "legal counsel", "associate attorney", "law clerk", "judicial clerk", "paralegal", "counsel",
     "litigation associate", "corporate counsel", "legal assistant", "policy analyst", "legislative aide",
-    "government analyst", "city planner", "federal analyst",
+    "government analyst", "public policy analyst", "city planner", "federal analyst",
 )
 
 CLIENT_ADVISORY_TITLES = (

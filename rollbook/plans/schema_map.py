@@ -1,7 +1,8 @@
 """Mapping of unfamiliar column headers to canonical fields.
 
-The work is a few joins and windows over a table of candidates (source, canonical_field, confidence, method) that has a
-handful of rows per column. Cell evidence comes from one aggregation over sampled or whole columns.
+The work is a few joins and windows over a table of candidates (source, canonical_field, confidence, method, evidence) that has
+a handful of rows per column. Cell evidence comes from the distinct values of sampled or whole columns: every value is parsed
+once, however often it stands there, and only by the tests its column's header leaves open.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from rollbook.plans import registry as R
 from rollbook.sources.files import ROW_ID
 
 MAX_YEAR_AHEAD = 10
+MAX_EVIDENCE = 5
 
 
 def _type_word(data_type):
@@ -107,24 +109,33 @@ def header_candidates(df):
     return by_alias.unionByName(by_shape)
 
 
-def _sampled(df, sample, row_id):
-    """Rows (column, value) of all values, or of the first ones of each column if a sample is asked for."""
-    names = data_columns(df)
+def _values(df, names, sample, row_id):
+    """Rows (column, value, n): the distinct values of the columns, or of their first ones if a sample is asked for, with counts."""
+    if not names:
+        return _literal_rows(df.sparkSession, ("column", "value", "n"), [("", "", 0)]).where("n > 0")
     if sample is not None:
-        return first_values(df, names, sample, missing=is_null, row_id=row_id).select("column", "value")
-    cells = F.array(
-        *(F.struct(F.lit(n).alias("column"), as_text(col(n), type_of(df, n)).alias("value")) for n in names)
-    )
-    return df.select(F.inline(cells)).filter("value is not null")
+        rows = first_values(df, names, sample, missing=is_null, row_id=row_id)
+    else:
+        cells_ = F.array(*(F.struct(F.lit(n).alias("column"), as_text(col(n), type_of(df, n)).alias("value")) for n in names))
+        rows = df.select(F.inline(cells_)).filter("value is not null")
+    return rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+KINDS = ("email", "linkedin", "year", "boolean", "number", "date")
 
 
-def sample_rates(df, sample=None, row_id=ROW_ID, this_year=None):
-    """Per column: how many filled values there are and which share looks like each kind of content."""
+def sample_rates(df, sample=None, row_id=ROW_ID, this_year=None, asked=None):
+    """Per column: how many filled values there are and which share looks like each kind of content.
+
+    asked: {kind: columns} leaves out all other tests; their shares are 0, and columns that no test is asked of are not read.
+    """
+    names = data_columns(df)
+    asked = {kind: names if asked is None else [n for n in names if n in asked.get(kind, ())] for kind in KINDS}
     text = strip(F.col("value"))
     year = F.regexp_extract(text, r"^(\d{4})(?:\.0)?$", 1)
     last = F.lit(this_year).cast("int") if this_year else F.year(F.current_date())
     bare = F.regexp_replace(text, r"[$,%\s]", "")
-    kinds = {
+    tests = {
         "email": F.size(email_tokens(F.col("value"))) > 0,
         "linkedin": F.lower(text).contains("linkedin.com/"),
         "year": year.try_cast("int").between(1900, last + MAX_YEAR_AHEAD),
@@ -132,16 +143,29 @@ def sample_rates(df, sample=None, row_id=ROW_ID, this_year=None):
         "number": bare.rlike(LENIENT_SHAPE),
         "date": lenient_moment(F.col("value"), T.StringType()).isNotNull(),
     }
-    filled = _sampled(df, sample, row_id).filter(text != "")
+    filled = _values(df, [n for n in names if any(n in columns for columns in asked.values())], sample, row_id).filter(text != "")
     return filled.groupBy("column").agg(
-        F.count(F.lit(1)).alias("filled"),
-        *(F.avg(F.coalesce(test, F.lit(False)).cast("double")).alias(f"{kind}_rate") for kind, test in kinds.items()),
+        F.sum("n").alias("filled"),
+        *(
+            (F.sum(F.when(F.col("column").isin(asked[kind]) & test, F.col("n")).otherwise(0)) / F.sum("n")).alias(f"{kind}_rate")
+            if asked[kind] else F.lit(0.0).alias(f"{kind}_rate")
+            for kind, test in tests.items()
+        ),
     )
 
 
+def _open_tests(df):
+    """The tests by which each column can still become a candidate: its header rules out the others. Free text has none."""
+    marks = {"year": ("grad", "class", "year", "yr"), "boolean": ("contact", "optout", "dnc", "donot"), "number": ("gift", "giving"), "date": ("date", "dt")}
+    headers = {n: compact(n) for n in data_columns(df)}
+    told = {n: header for n, header in headers.items() if not any(mark in header for mark in R.FREE_TEXT_MARKS)}
+    texts = {n for n in told if isinstance(type_of(df, n), T.StringType)}  # no number or date reads as an address
+    return {kind: [n for n in told if (n in texts if kind not in marks else any(mark in told[n] for mark in marks[kind]))] for kind in KINDS}
+
+
 def sample_candidates(df, sample=None, row_id=ROW_ID, this_year=None):
     """Candidates from cell contents, together with what the header says. Free-text columns are skipped."""
-    rates = sample_rates(df, sample, row_id, this_year)
+    rates = sample_rates(df, sample, row_id, this_year, _open_tests(df))
     header = F.col("header")
 
     def mentions(*marks):
@@ -214,20 +238,34 @@ def _assignments(candidates):
 
 
 def infer_schema(df, sample=None, row_id=ROW_ID, this_year=None):
-    """Profile rows (canonical_field, source_columns, confidence, label, method, user_confirmed)."""
+    """Profile rows (canonical_field, source_columns, confidence, label, method, user_confirmed, evidence).
+
+    evidence lists the different grounds of the mapped sources in their order, MAX_EVIDENCE at most.
+    """
     assigned = _assignments(schema_candidates(df, sample, row_id, this_year)).filter("kept")
     ordered = F.array_sort(F.collect_list(F.struct("_place", "source")))
     profile = assigned.groupBy("canonical_field").agg(
         F.transform(ordered, lambda item: item["source"]).alias("source_columns"),
         F.min("confidence").alias("confidence"),
         F.when(F.countDistinct("method") == 1, F.first("method")).otherwise(F.lit("combined_inference")).alias("method"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_place", "evidence"))), lambda item: item["evidence"]).alias("_grounds"),
     )
     return profile.select(
         "canonical_field", "source_columns", "confidence", confidence_label(F.col("confidence")).alias("label"), "method",
-        F.lit(False).alias("user_confirmed"),
+        F.lit(False).alias("user_confirmed"), F.slice(F.array_distinct("_grounds"), 1, MAX_EVIDENCE).alias("evidence"),
     )
 
 
+def unmapped_columns(profile, columns, ignored=()):
+    """Rows (ordinal, source) of the columns that no profile row maps and that are not ignored, in table order."""
+    spark = profile.sparkSession
+    listed = [(i, c) for i, c in enumerate(columns) if c not in ignored]
+    if not listed:
+        return spark.createDataFrame([], "ordinal int, source string")
+    mapped = profile.select(F.explode("source_columns").alias("source"))
+    return _literal_rows(spark, ("ordinal", "source"), listed).join(mapped, "source", "left_anti").select("ordinal", "source")
+
+
 def schema_conflicts(df, sample=None, row_id=ROW_ID, this_year=None):
     """Rows (type, canonical_fields, source_columns): sources with rival fields and fields with rival sources."""
     candidates = schema_candidates(df, sample, row_id, this_year)
@@ -268,10 +306,11 @@ def validate_mapping(mapping, columns, ignored=()):
 
 def confirmed_profile(spark, mapping):
     """Profile rows of mappings a user has confirmed."""
-    rows = [(field, list(sources), 1.0, "high", "user_confirmed", True) for field, sources in mapping.items()]
+    rows = [(field, list(sources), 1.0, "high", "user_confirmed", True, []) for field, sources in mapping.items()]
     return spark.createDataFrame(
         rows,
-        "canonical_field string, source_columns array<string>, confidence double, label string, method string, user_confirmed boolean",
+        "canonical_field string, source_columns array<string>, confidence double, label string, method string, user_confirmed boolean, "
+        "evidence array<string>",
     )
 
 
@@ -289,6 +328,48 @@ def merge_profile(inferred, confirmed, reset=False):
     return kept.unionByName(confirmed)
 
 
+def open_conflicts(conflicts, confirmed, reset=False):
+    """Conflicts that confirmed rows leave open.
+
+    Conflicts are edges between sources and fields. A confirmed source settles every conflict it is part of; a confirmed field
+    settles the one about its rival sources, but not one between fields that rival for a source.
+    """
+    if reset:
+        return conflicts
+    settled = confirmed.select(F.explode("source_columns").alias("settled")).select(F.lit("source").alias("end"), "settled").unionByName(
+        confirmed.select(F.lit("field").alias("end"), F.col("canonical_field").alias("settled"))
+    )
+    key = ["type", "canonical_fields", "source_columns"]
+    edges = conflicts.select(*key, F.explode("source_columns").alias("settled")).withColumn("end", F.lit("source")).unionByName(
+        conflicts.where("type = 'single_field_multiple_sources'").select(*key, F.explode("canonical_fields").alias("settled")).withColumn("end", F.lit("field"))
+    )
+    return conflicts.join(edges.join(settled, ["end", "settled"], "left_semi").select(*key), key, "left_anti")
+
+
+def profile_state(inferred, confirmed, conflicts, columns, ignored=(), status=None, reset=False):
+    """One row about a profile after merging: its status, the columns in no use, those ignored, and what is still in conflict.
+
+    A status "confirmed" stays; anything else, and a reset, is "unreviewed". Ignored columns that are gone or confirmed are not listed.
+    """
+    spark = inferred.sparkSession
+    merged = merge_profile(inferred, confirmed, reset)
+    kept = [] if reset else [c for c in ignored if c in columns]
+    used = confirmed.select(F.explode("source_columns").alias("source"))
+    left_out = _literal_rows(spark, ("place", "source"), list(enumerate(kept))).join(used, "source", "left_anti") if kept else None
+    free = unmapped_columns(merged, columns)
+    free = free.join(left_out, "source", "left_anti") if left_out is not None else free
+
+    def in_order(rows, by):
+        listed = F.transform(F.array_sort(F.collect_list(F.struct(by, "source"))), lambda r: r["source"])
+        return rows.agg(listed.alias("v")).scalar()
+
+    word = "confirmed" if status == "confirmed" and not reset else "unreviewed"
+    return open_conflicts(conflicts, confirmed, reset).agg(F.count(F.lit(1)).alias("conflicts")).select(
+        F.lit(word).alias("status"), in_order(free, "ordinal").alias("unmapped_columns"),
+        (in_order(left_out, "place") if left_out is not None else F.array().cast("array<string>")).alias("ignored_columns"), "conflicts",
+    )
+
+
 def active_mapping(profile, columns=None):
     """{field: [sources]}: confirmed rows first, then inferred ones of high confidence; no source is used twice.
 
