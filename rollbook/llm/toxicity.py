@@ -15,16 +15,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from rollbook.llm.kernels import BYTE_VALUES, coded, counted, distinct, ranges, rolling, span_hash, text_chunks
+from rollbook.llm.kernels import BYTE_VALUES, coded, counted, ranges, rolling, span_hash, text_chunks
 from rollbook.llm.shared import texts
 
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 SIZES = (3, 4, 5)
 PADDING = 16
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 10_000
 #: The sample ends where its documents have this many distinct words together; one with more than a tenth of it does not teach.
-TRAIN_WORDS = 4_000_000
+TRAIN_WORDS = 3_000_000
 EPOCHS = 6
 BATCH = 128
 RATE = 60.0
@@ -122,8 +122,10 @@ def fit(words, word, first, labels, sizes=SIZES, buckets=BUCKETS, dimensions=DIM
     model = Model(np.zeros((buckets, dimensions)), rng.normal(0, 1, (dimensions, 2)), np.zeros(2), sizes)
     if not len(labels):
         return model
-    grams, bounds = subwords(words, sizes, buckets)
-    weight = np.repeat(1 / (np.diff(first) + PADDING), np.diff(first))
+    parts = [subwords(words.slice(i, 1 << 15), sizes, buckets) for i in range(0, len(words), 1 << 15)]
+    grams = np.concatenate([g.astype(np.int32) for g, _ in parts]) if parts else np.zeros(0, np.int32)
+    bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))]) if parts else np.zeros(1, np.int64)
+    del parts
     past = [np.full((buckets, 1), DAMPING), 1e-12, 1e-12]
     order = np.arange(len(labels))
     steps, step = epochs * -(-len(labels) // batch), 0
@@ -136,7 +138,7 @@ def fit(words, word, first, labels, sizes=SIZES, buckets=BUCKETS, dimensions=DIM
             own, local = np.unique(word[pairs], return_inverse=True)
             sizes_ = bounds[own + 1] - bounds[own]
             _, *gradients = loss_and_gradients(
-                model, grams[ranges(bounds[own], sizes_)], np.concatenate([[0], np.cumsum(sizes_)]), local, weight[pairs],
+                model, grams[ranges(bounds[own], sizes_)], np.concatenate([[0], np.cumsum(sizes_)]), local, np.repeat(1 / (counts + PADDING), counts),
                 np.concatenate([[0], np.cumsum(counts)]), labels[docs],
             )
             pace = rate * (1 - step / steps)
@@ -153,14 +155,15 @@ def held_out(doc_id):
 
 
 def _bag(column: pa.Array) -> pa.Array:
-    """The distinct words of each text."""
+    """The distinct words of each text, with blanks between them."""
     parts = []
     for _, _, data, offsets in text_chunks(column, 1 << 22):
         numbers, words, first = coded(data, offsets)
         row, number, _ = counted(numbers, first, len(words))
         ends = pa.array(np.searchsorted(row, np.arange(len(offsets))), pa.int32())
-        parts.append(pa.ListArray.from_arrays(ends, words.take(pa.array(number)).cast(pa.binary())))
-    return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.binary()))
+        lists = pa.ListArray.from_arrays(ends, words.take(pa.array(number)).cast(pa.binary()))
+        parts.append(pa.compute.binary_join(lists, b" ").cast(pa.binary()))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
 def fit_toxicity(docs, labels, id_col="doc_id", text_col="text", label_id_col="doc_id", label_col="toxic", train_rows=TRAIN_ROWS, train_words=TRAIN_WORDS, **settings):
@@ -175,19 +178,21 @@ def fit_toxicity(docs, labels, id_col="doc_id", text_col="text", label_id_col="d
     present = docs.select(F.col(f"`{id_col}`").alias("doc_id")).distinct()
     drawn = known.where(~held_out(F.col("doc_id"))).join(present, "doc_id", "left_semi").withColumn("draw", F.xxhash64("doc_id"))
     drawn = drawn.orderBy("draw", "doc_id").limit(train_rows)
-    rows = texts(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id").select("draw", "doc_id", "label", F.arrow_udf(_bag, "array<binary>")("text").alias("bag"))  # at most train_rows ids
-    rows = rows.where(F.size("bag") <= train_words // 10)
-    taken, words, size = [], [], 0
-    for row in rows.orderBy("draw", "doc_id", F.xxhash64("bag")).toLocalIterator():
-        size += len(row["bag"])
+    rows = texts(docs, id_col, text_col).join(F.broadcast(drawn), "doc_id")  # at most train_rows ids
+    rows = rows.select("draw", "doc_id", "label", F.arrow_udf(_bag, "binary")("text").alias("bag"))
+    rows = rows.withColumn("size", F.when(F.length("bag") > 0, F.regexp_count(F.col("bag").cast("string"), F.lit(" ")) + 1).otherwise(0))
+    taken, labels_, size = [], [], 0
+    for row in rows.where(F.col("size") <= train_words // 10).orderBy("draw", "doc_id", F.xxhash64("bag")).toLocalIterator():
+        size += row["size"]
         if size > train_words:
             break
-        taken.append((int(row["label"] > 0), len(row["bag"])))
-        words.append(pa.array(row["bag"], pa.large_binary()))
-    whole = pa.concat_arrays(words) if words else pa.array([], pa.large_binary())
-    found = whole.dictionary_encode()
-    first = np.concatenate([[0], np.cumsum([n for _, n in taken])]).astype(np.int64)
-    return fit(found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), first, np.array([y for y, _ in taken], np.int64), **settings)
+        taken.append(bytes(row["bag"]))
+        labels_.append(int(row["label"] > 0))
+    data = np.frombuffer(b"".join(taken), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in taken])]).astype(np.int64)
+    del taken
+    numbers, words, first = coded(data, offsets)
+    return fit(words, numbers, first, np.array(labels_, np.int64), **settings)
 
 
 def score_column(model):
