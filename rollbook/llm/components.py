@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollbook.llm.shared import saved
+from rollbook.llm.shared import join_groups, saved
 
 MAX_ROUNDS = 100
 
@@ -17,9 +17,10 @@ def components(edges, member="rid", node="node"):
     join that adaptive execution can split.
     """
     edges = saved(edges.select(F.col(member).alias("m"), F.col(node).alias("n")).distinct(), "edges")
-    labels = saved(edges.groupBy("n").agg(F.min("m").alias("l")).join(edges, "n").groupBy("m").agg(F.min("l").alias("l")), "labels")
+    labels = saved(join_groups(edges, edges.groupBy("n").agg(F.min("m").alias("l")), "n").groupBy("m").agg(F.min("l").alias("l")), "labels")
     for _ in range(MAX_ROUNDS):
-        near = labels.join(edges, "m").groupBy("n").agg(F.min("l").alias("l")).join(edges, "n").groupBy("m").agg(F.min("l").alias("near"))
+        of_node = labels.join(edges, "m").groupBy("n").agg(F.min("l").alias("l"))
+        near = join_groups(edges, of_node, "n").groupBy("m").agg(F.min("l").alias("near"))
         jump = labels.select(F.col("m").alias("near"), F.col("l").alias("far"))
         moved = near.join(jump, "near").select("m", F.least("near", "far").alias("new"))
         after = saved(moved.join(labels, "m").select("m", F.least("new", "l").alias("l"), (F.least("new", "l") < F.col("l")).alias("moved")), "labels")

@@ -1,9 +1,9 @@
 """Exact dedup: grouping by a 128-bit content hash, with a comparison of bytes inside the groups.
 
-1. Narrow rows (id, hash) are counted per hash; partial sums make a hot hash one row per task.
-2. Only rows whose hash occurs again send their text over the network. There equal means equal bytes: classes are formed by
-   (hash, text), so texts that share a hash by accident fall apart.
-3. Both joins are ordinary shuffled joins of rows with one row per key; adaptive execution splits a hot key on the row side.
+1. Rows are grouped by (hash, text): equal means equal bytes, so texts that share a hash by accident fall apart. A task sums what it
+   has before it sends anything, so of a text with very many copies each task sends one row; texts cross the network once.
+2. Groups of two and more go back to narrow rows (id, digests) by a join on (hash, digest). That is not how the groups are
+   partitioned, so both sides are shuffled for the join and adaptive execution may split a hot digest on the row side.
 """
 
 from __future__ import annotations
@@ -27,33 +27,24 @@ def exact_dedup(docs, id_col="doc_id", text_col="text", keep="smallest", hash_of
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
-    best = F.min if keep == "smallest" else F.max
     rows = texts(docs, id_col, text_col).withColumn("hash", hash_of(F.col("text")))
-    # Structs order a null id before all others and, unlike bare values, do not skip it in min and max.
+    bare = F.count(F.when(F.col("doc_id").isNull(), 1))
+    best = F.max("doc_id") if keep == "largest" else F.when(bare == 0, F.min("doc_id"))
+    classes = rows.groupBy("hash", "text").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
+    classes = classes.select("hash", F.sha2("text", 256).alias("text_sha256"), "n", "best")
     narrow = (
         rows.select("doc_id", "hash", F.sha2("text", 256).alias("text_sha256"))
         .groupBy("doc_id", "hash", "text_sha256").agg(F.count("*").alias("copies"))
     )
-    again = rows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    suspects = rows.join(again, "hash", "left_semi")
-    classes = suspects.groupBy("hash", "text").agg(
-        F.count("*").alias("n"), best(F.struct("doc_id")).alias("best")
-    ).where("n > 1")
-    decided = (
-        suspects.join(classes, ["hash", "text"])
-        .select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.col("best.doc_id").alias("keep_id"), "n")
-    )
-    decided = decided.groupBy("doc_id", "text_sha256").agg(F.first("keep_id").alias("keep_id"), F.first("n").alias("n"))
-    d, r = decided.alias("d"), narrow.alias("r")
-    found = F.col("d.n").isNotNull()
+    found = F.col("n").isNotNull()
     return (
-        r.join(d, F.col("r.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("r.text_sha256") == F.col("d.text_sha256")), "left")
+        narrow.join(classes, ["hash", "text_sha256"], "left")
         .select(
-            F.col("r.doc_id").alias("doc_id"),
-            F.when(found, F.col("d.keep_id")).otherwise(F.col("r.doc_id")).alias("keep_id"),
-            F.when(found, F.col("d.n")).otherwise(F.lit(1).cast("long")).alias("group_size"),
-            F.col("r.text_sha256").alias("text_sha256"),
-            F.explode(F.sequence(F.lit(1).cast("long"), F.col("r.copies"))).alias("copy"),
+            "doc_id",
+            F.when(found, F.col("best")).otherwise(F.col("doc_id")).alias("keep_id"),
+            F.when(found, F.col("n")).otherwise(F.lit(1).cast("long")).alias("group_size"),
+            "text_sha256",
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"),
         )
         .select(
             "doc_id", "keep_id", "group_size",

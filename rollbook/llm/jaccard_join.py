@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from rollbook.llm.components import components
 from rollbook.llm.kernels import mix, text_chunks, window_hashes, words
-from rollbook.llm.shared import saved, texts
+from rollbook.llm.shared import join_groups, saved, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -233,7 +233,7 @@ def jaccard_join(docs, id_col="doc_id", text_col="text", size=SHINGLE, similarit
     links = checked.groupBy("rid").agg(F.sum("links").alias("links"), F.sum("linked").alias("linked"))
     named = sets.select("rid", "best", "copies", "print").join(classes, "rid", "left").join(links, "rid", "left")
     least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("best").alias("class"))
-    named = named.join(least, "label", "left").select("print", F.coalesce("class", "best").alias("class"), "copies", "links", "linked")
+    named = join_groups(named, least, "label", "left").select("print", F.coalesce("class", "best").alias("class"), "copies", "links", "linked")
     return (
         rows.select("doc_id", "print").join(named, "print", "left")
         .select(
@@ -250,7 +250,7 @@ def _plausible_groups(sets, two, leaf, depth, least):
     def crowded(rows):
         """Rows of paths with at least two sets, with the number of sets."""
         sizes = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
-        return rows.join(sizes, "path")
+        return join_groups(rows, sizes, "path")
 
     def split(batches):
         for batch in batches:
@@ -291,7 +291,7 @@ def _plausible_groups(sets, two, leaf, depth, least):
 def _checked(source, sets, groups, size, similarity, block):
     """(rid, links, linked, node): exact links within one pair of blocks of a component, and a node that linked sets share there."""
     sizes = groups.groupBy("label").agg(F.count("*").alias("m"))
-    members = groups.join(sizes, "label").join(sets.select("rid", "print", "best", "copies"), "rid")
+    members = join_groups(groups, sizes, "label").join(sets.select("rid", "print", "best", "copies"), "rid")
     members = members.select(
         "rid", "label", "copies", F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.col("print").alias("wanted"), F.col("best.doc_id").alias("member_id"),
     )

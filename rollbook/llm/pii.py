@@ -26,7 +26,7 @@ LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Kinds in the order in which they are tried at a place. Words and longer numbers around a value are no part of it.
 PATTERNS = (
-    ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
+    ("email", r"(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![\w-])"),
     ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w)"),
     ("date", r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}[/.]\d{2}[/.]\d{4})(?![\w/-])"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
@@ -117,6 +117,12 @@ def valid_card(digits):
     return bool(13 <= len(digits) <= 19 and re.match(r"[3-6]|2[2-7]", digits) and (luhn_sum(digits[:-1]) + int(digits[-1])) % 10 == 0)
 
 
+def valid_ssn(digits):
+    """Whether a number of nine digits can be issued: neither area 000, 666 or 900 and above, nor group 00, nor serial 0000."""
+    area, group, serial = "".join(digits[:3]), "".join(digits[3:5]), "".join(digits[5:])
+    return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
+
+
 def card_end(text, start, usual=False):
     """Where the longest valid card that begins here ends, or None."""
     number = _NUMBER.match(text, start)
@@ -160,7 +166,12 @@ def pseudonym(kind, value, key):
                 return found.strftime(form)
     digits = _digits(value)
     if kind == "ssn":
-        return refill(value, permute_characters(digits, [DIGITS] * 9, key, kind))
+        if not valid_ssn(digits):
+            return None
+        while True:  # numbers that are not issued are walked on
+            digits = list(permute_characters(digits, [DIGITS] * 9, key, kind))
+            if valid_ssn(digits):
+                return refill(value, digits)
     if kind == "card":
         if not valid_card("".join(digits)):
             return None
@@ -226,9 +237,9 @@ SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start
 def pseudonymise(docs, key, id_col="doc_id", text_col="text"):
     """One row per input row: doc_id, text with pseudonyms, spans (kind, start, end) of the values in the input.
 
-    Kinds are those of PATTERNS. Card numbers must begin like an issuer's and
-    pass their check digit, and keep doing so; addresses and dates must exist;
-    what is not valid stays as it is, but valid values inside it are found. Phone numbers that begin with + need no separators.
+    Kinds are those of PATTERNS. Card numbers must begin like an issuer's and pass their check digit, and keep doing so; social
+    security numbers must be ones that are issued; addresses and dates must exist, the part of an address before the @ has 64
+    characters at most; what is not valid stays as it is, but valid values inside it are found. Phone numbers that begin with + need no separators.
     Of an e-mail address the part before the @ changes. Phone numbers keep their country code.
     A null text stays null, an empty one empty; repeated rows give repeated rows; an empty table gives no rows. Texts are read
     whole. Other columns are not read. key is a secret of any length: the same key gives the same pseudonyms.

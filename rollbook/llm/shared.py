@@ -30,6 +30,16 @@ def saved(df, name):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def join_groups(rows, groups, key, how="inner"):
+    """Rows joined with groups, which have one row per key.
+
+    Keys are compared null-safe. So the groups, if they come from an aggregation by the key, are shuffled anew for the join, and
+    adaptive execution may split the rows of a hot key; behind a plain comparison it would have to leave them in one task.
+    """
+    named = groups.withColumnRenamed(key, f"_{key}")
+    return rows.join(named, rows[key].eqNullSafe(named[f"_{key}"]), how).drop(f"_{key}")
+
+
 def bounded_rows(df, limit, what):
     """Rows of a table that must be small, on the driver; a larger one raises before it gets there whole."""
     rows = df.limit(limit + 1).collect()

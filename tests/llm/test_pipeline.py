@@ -51,6 +51,6 @@ def test_stages_follow_each_other(spark):
 
 def test_run_is_registered(spark):
     queries = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in queries if n.startswith("op") and n[2].isdigit()} == {f"op{k}" for k in range(1, 14)}
     rows = queries["pipeline"](spark, DIR).collect()
     assert rows and len({r["doc_id"] for r in rows}) == len(rows)
