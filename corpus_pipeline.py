@@ -14,45 +14,58 @@ from rollbook.llm.jaccard_join import jaccard_join
 from rollbook.llm.shared import saved
 
 
+DIGEST = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+
+
 def keep_rows(docs, kept):
-    """The rows of docs whose id is among those of `kept` (null counts as an id); rows that repeat id and text stay once."""
-    own = [f"_kept_{k}" for k in range(2)]
+    """The rows of docs whose id and text digest are among those of `kept` (null counts as an id); rows that repeat both stay once.
+
+    kept: unique rows (doc_id, text_sha256, rows), the last being how many rows of docs have them.
+    """
+    own = [f"_kept_{k}" for k in range(4)]
     while set(own) & set(docs.columns):
         own = [f"_{c}" for c in own]
-    ids = kept.groupBy(F.col("doc_id").alias(own[0])).agg(F.max("rows").alias(own[1]))
-    rows = docs.join(ids, docs["doc_id"].eqNullSafe(ids[own[0]])).drop(own[0])
-    once = rows.where(F.col(own[1]) == 1).drop(own[1])
-    again = rows.where(F.col(own[1]) > 1).drop(own[1])  # ids that stand in several rows; there are hardly any
+    ids = kept.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "text_sha256", "rows"), own)))
+    same = F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[3]) == F.col(own[1]))
+    rows = docs.withColumn(own[3], DIGEST).join(ids, same).drop(own[0], own[1], own[3])
+    once = rows.where(F.col(own[2]) == 1).drop(own[2])
+    again = rows.where(F.col(own[2]) > 1).drop(own[2])  # ids that stand in several rows; there are hardly any
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def good_quality(spark, docs, sf_dir):
-    """Documents that the classifier scores at its threshold or above stay."""
+    """Documents that the classifier scores at its threshold or above stay; an empty or null text has the score of zero features."""
     vectors, network = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score_column(vectors, network)(F.col("text")) >= quality.THRESHOLD)
 
 
 def exact_copies(spark, docs, sf_dir):
-    """Of documents with equal texts the one with the smallest id stays."""
-    found = exact_dedup(docs, keep="smallest").groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
+    """Of documents with equal texts the one with the smallest id stays. A null text counts as empty."""
+    found = exact_dedup(docs, keep="smallest").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
     return keep_rows(docs, found.where("kept"))
 
 
 def near_copies(spark, docs, sf_dir):
-    """Of each class of documents linked by similarity the one with the smallest id stays."""
-    found = jaccard_join(docs).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
-    found = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("kept").alias("kept"))
-    return keep_rows(docs, found.where("kept"))
+    """Of each class of texts linked by similarity the document with the smallest id stays. Texts without words are their own classes.
+
+    Texts are told apart by their digests, so an id that stands on different texts brings none of them back.
+    """
+    own = docs.select("doc_id", DIGEST.alias("text_sha256"))
+    texts = docs.select(F.unhex(DIGEST).alias("digest"), "text")
+    classes = jaccard_join(texts, id_col="digest").select(F.lower(F.hex("doc_id")).alias("text_sha256"), "class_id").distinct()
+    counted = own.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
+    best = counted.join(classes, "text_sha256").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_sha256", "rows")).alias("best"))
+    return keep_rows(docs, best.select("best.*"))
 
 
 def clean_of_benchmark(spark, docs, sf_dir):
-    """Documents without any benchmark window stay; one that quotes a benchmark goes whole, rather than with a gap."""
+    """Documents without any benchmark window stay, null and empty ones too; one that quotes a benchmark goes whole, not with a gap."""
     hits = decontaminate.hit_words(spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.where(hits(F.col("text")) == 0)
 
 
 def token_digests(spark, docs, sf_dir):
-    """The number and digest of the tokens of each document, and the digest of what they decode to."""
+    """The number and digest of the tokens of each document, and the digest of what they decode to; null counts as empty."""
     import public_tokenizers
 
     return bpe.digest(bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")))
