@@ -78,9 +78,17 @@ def row_id(spark, sf_dir):
     return files.with_row_id(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), key="c_custkey")
 
 
-@query("row_id_keyless", "SELECT c_custkey FROM customer")
+@query("row_id_keyless", "SELECT c_custkey, row_number() OVER () - 1 AS _row_id FROM (SELECT c_custkey FROM customer ORDER BY c_custkey)")
 def row_id_keyless(spark, sf_dir):
-    """Two reads of a table without a key agree in their ids."""
+    """Ids are places in the file, which is sorted by key; two reads agree in them, whatever else they select."""
+    df = files.with_row_id(table(spark, sf_dir, "customer"))
+    again = files.with_row_id(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).select(F.col("_row_id").alias("_id"), F.col("c_custkey").alias("_key"))
+    return df.join(again, (F.col("_row_id") == F.col("_id")) & (F.col("c_custkey") == F.col("_key"))).select("c_custkey", "_row_id")
+
+
+@query("row_id_written", "SELECT c_custkey FROM customer")
+def row_id_written(spark, sf_dir):
+    """Two reads of a table that is no file agree in their ids."""
     df = files.with_row_id(table(spark, sf_dir, "customer").select("c_custkey").repartition(5))
     again = df.select(F.col("_row_id").alias("_id"), F.col("c_custkey").alias("_key"))
     return df.join(again, (F.col("_row_id") == F.col("_id")) & (F.col("c_custkey") == F.col("_key"))).select("c_custkey")

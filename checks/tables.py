@@ -15,7 +15,7 @@ from rollbook.sources.files import with_row_id
 
 
 def keyed(spark, sf_dir, name, key):
-    return with_row_id(table(spark, sf_dir, name), key=key)
+    return with_row_id(table(spark, sf_dir, name), key=key, check=False)
 
 
 @query("group_by_count", 'SELECT c_mktsegment, count(*) AS "Count" FROM customer GROUP BY 1')
@@ -142,6 +142,20 @@ def correlation(spark, sf_dir):
     return rounded(A.correlation(table(spark, sf_dir, "lineitem"), _MEASURES), 8, "Correlation", "Absolute Correlation")
 
 
+def _wide(j):
+    """A column of 200: a third of them have gaps, and they lie at different heights."""
+    value = f"cast((p_partkey * ({j} + 3)) % ({j} + 11) + p_size * ({j} % 5) + p_retailprice / ({j} + 1) + 1000 * ({j} % 3) as double)"
+    return f"CASE WHEN {j} % 3 = 0 AND (p_partkey + {j}) % 7 = 0 THEN NULL ELSE {value} END"
+
+
+@query("correlation_wide", f"WITH v AS (SELECT p_partkey AS k, j::INT AS j, {_wide('j')} AS v FROM part, range(200) t(j)) "
+       "SELECT 'v' || a.j AS \"Column 1\", 'v' || b.j AS \"Column 2\", round(corr(a.v, b.v), 6) AS \"Correlation\", round(abs(corr(a.v, b.v)), 6) AS \"Absolute Correlation\" "
+       "FROM v a JOIN v b ON a.k = b.k AND a.j < b.j WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY a.j, b.j")
+def correlation_wide(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(*(F.expr(_wide(j)).alias(f"v{j}") for j in range(200)))
+    return rounded(A.correlation(df), 6, "Correlation", "Absolute Correlation")
+
+
 @query("correlation_pair", "SELECT round(corr(l_quantity, l_extendedprice), 8) AS r, count(*) AS n FROM lineitem")
 def correlation_pair(spark, sf_dir):
     return rounded(A.correlation_pair(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"), 8, "r")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,20 +142,86 @@ def _pearson(a, b):
     return F.try_divide(F.covar_pop(a, b), spread)
 
 
-def correlation(df, columns=None, limit=None):
-    """All pairs of numeric columns by strength, from one aggregation."""
+#: Up to so many columns, pairs are aggregates of one plan; more go through the matrix of products, in blocks of so many.
+FEW_COLUMNS, BLOCK = 12, 1000
+
+
+def _products(numbers, a, b, centres):
+    """Rows (a, b, n, sa, sb, saa, sbb, sab, odd) of the pairs of columns a x b, summed over each task's rows.
+
+    n counts the rows where both are present, odd those of them with a value that is not finite. Values are taken from the mean of
+    their column, which keeps the sums exact where columns lie far from 0. A task holds 7 numbers for each pair, whatever it reads.
+    """
+    names = ["a", "b", "n", "sa", "sb", "saa", "sbb", "sab", "odd"]
+    same = a == b
+
+    def run(batches):
+        total = np.zeros((7, len(a), len(b)))
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]
+            there = [(~c.is_null().to_numpy(zero_copy_only=False)) for c in batch.columns]
+            half = [slice(0, len(a)), slice(0, len(a)) if same else slice(len(a), None)]
+            (x, mx, ox), (y, my, oy) = (
+                (np.where(finite & m, v - np.array(c), 0.0), m.astype(float), (m & ~finite).astype(float))
+                for v, m, c in ((np.column_stack(columns[h]), np.column_stack(there[h]), centres[k]) for k, h in enumerate(half))
+                for finite in [np.isfinite(v)]
+            )
+            for k, (p, q) in enumerate(((mx, my), (x, my), (mx, y), (x * x, my), (mx, y * y), (x, y))):
+                total[k] += p.T @ q
+            total[6] += ox.T @ my + mx.T @ oy
+        i, j = np.triu_indices(len(a), 1) if same else map(np.ravel, np.indices((len(a), len(b))))
+        arrays = [pa.array(np.asarray(a)[i]), pa.array(np.asarray(b)[j]), *(pa.array(t[i, j]) for t in total)]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = "a long, b long, " + ", ".join(f"{n} double" for n in names[2:])
+    return numbers.select(*(f"v{k}" for k in (a if same else [*a, *b]))).mapInArrow(run, schema)
+
+
+def gram_matrix(df, names, block=BLOCK):
+    """Rows (a, b, n, sa, sb, saa, sbb, sab, odd) of all pairs of columns by number: one scan for each pair of blocks of columns."""
+    numbers = df.select(*(number_of(df, name).cast("double").alias(f"v{i}") for i, name in enumerate(names)))
+    finite = (F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in numbers.columns)
+    means = [m or 0.0 for m in numbers.agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(finite))).first()]
+    parts = [list(range(i, min(i + block, len(names)))) for i in range(0, len(names), block)]
+    found = [
+        _products(numbers, a, b, [[means[k] for k in part] for part in (a, b)]) for i, a in enumerate(parts) for b in parts[i:]
+    ]
+    sums = [F.sum(n).alias(n) for n in ("n", "sa", "sb", "saa", "sbb", "sab", "odd")]
+    return reduce(lambda x, y: x.unionByName(y), found).groupBy("a", "b").agg(*sums)
+
+
+def _correlations(df, names, block):
+    """Rows (Column 1, Column 2, Correlation) from the matrix of products."""
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    va, vb = (F.col(q) - s * s / n for q, s in (("saa", sa), ("sbb", sb)))
+    # A side whose spread is no more than the rounding of its sums does not vary.
+    varies = (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb")) & (F.col("odd") == 0)
+    r = F.when(varies, (F.col("sab") - sa * sb / n) / F.sqrt(va * vb))
+    at = F.array(*map(F.lit, names))
+    return gram_matrix(df, names, block).where("n > 0").select(
+        F.get(at, F.col("a").cast("int")).alias("Column 1"), F.get(at, F.col("b").cast("int")).alias("Column 2"),
+        F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("Correlation"),
+    )
+
+
+def correlation(df, columns=None, limit=None, few=FEW_COLUMNS, block=BLOCK):
+    """All pairs of numeric columns by strength; a pair uses the rows where both are present."""
     names = numeric_candidates(df, columns, minimum=2)
     pairs = list(combinations(names, 2))
     if not pairs:
         raise ValueError("Correlation needs two numeric columns.")
-    numbers = df.select(*(number_of(df, name).alias(f"v{i}") for i, name in enumerate(names)))
-    at = {name: F.col(f"v{i}") for i, name in enumerate(names)}
-    row = numbers.agg(*(_pearson(at[a], at[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
-    found = F.array(
-        *(F.struct(F.lit(a).alias("Column 1"), F.lit(b).alias("Column 2"), F.col(f"r{i}").alias("Correlation"))
-          for i, (a, b) in enumerate(pairs))
-    )
-    rows = row.select(F.inline(found)).filter("Correlation is not null and not isnan(Correlation)")
+    if len(names) > few:
+        rows = _correlations(df, names, block)
+    else:
+        numbers = df.select(*(number_of(df, name).alias(f"v{i}") for i, name in enumerate(names)))
+        at = {name: F.col(f"v{i}") for i, name in enumerate(names)}
+        row = numbers.agg(*(_pearson(at[a], at[b]).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
+        found = F.array(
+            *(F.struct(F.lit(a).alias("Column 1"), F.lit(b).alias("Column 2"), F.col(f"r{i}").alias("Correlation"))
+              for i, (a, b) in enumerate(pairs))
+        )
+        rows = row.select(F.inline(found))
+    rows = rows.filter("Correlation is not null and not isnan(Correlation)")
     rows = rows.withColumn("Absolute Correlation", F.abs("Correlation"))
     ordered = rows.orderBy(F.desc("Absolute Correlation"), "Column 1", "Column 2")
     return ordered if limit is None else ordered.limit(limit)

@@ -12,6 +12,7 @@ from rollbook.functions.missing import as_text, is_blank, is_null, is_text, stri
 from rollbook.functions.numbers import lenient_number
 from rollbook.operators.aggregate import numeric_candidates, number_of, value_counts
 from rollbook.operators.columns import resolve_column, resolve_columns
+from rollbook.operators.ranks import ranked
 from rollbook.operators.quantiles import FEW_ROWS, quantile_columns
 from rollbook.operators.sampling import col, data_columns, distinct_values, first_values, leading
 from rollbook.sources.files import ROW_ID
@@ -206,7 +207,8 @@ def _unpivot(df, names):
 def categorical_summary(df, limit=None):
     """Rows (column, unique_count, missing_count, rank, value, count): values of text and Boolean columns by frequency.
 
-    With a limit only the most frequent ones. Ranks without a limit sort all distinct values of a column in one task.
+    With a limit only the most frequent ones. Without one, ranks come from a sort by ranges and the sizes of its partitions, so
+    the distinct values of a column, however many, are spread over tasks; they are written once, to the shared folder.
     """
     names = [f.name for f in df.schema if is_text(f.dataType) or isinstance(f.dataType, T.BooleanType)]
     counts = _unpivot(df, names).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
@@ -214,10 +216,7 @@ def categorical_summary(df, limit=None):
         F.count("value").alias("unique_count"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0)).alias("missing_count"),
     )
-    # The rank filter lets Spark keep only the leading rows of each column before it shuffles.
-    order = Window.partitionBy("column").orderBy(F.desc("count"), "value")
-    top = counts.filter("value is not null").withColumn("rank", F.row_number().over(order))
-    top = top if limit is None else top.filter(F.col("rank") <= limit)
+    top = ranked(counts.filter("value is not null"), ["column"], [F.desc("count"), F.col("value")], limit)
     return totals.join(top, "column", "left").select("column", "unique_count", "missing_count", "rank", "value", "count")
 
 

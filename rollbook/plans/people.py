@@ -51,10 +51,9 @@ def person_key(df, profile=None, id_columns=ID_COLUMNS, row_id=ROW_ID):
 
 
 def dedupe_people(df, profile=None, row_id=ROW_ID):
-    """The first row of each person."""
-    whole = F.struct(*(col(c).alias(f"c{i}") for i, c in enumerate(df.columns)))
-    first = df.groupBy(person_key(df, profile, row_id=row_id).alias("_person")).agg(F.min_by(whole, col(row_id)).alias("_row"))
-    return first.select(*(F.col(f"_row.c{i}").alias(c) for i, c in enumerate(df.columns)))
+    """The first row of each person: the least row id per person, then the rows with those ids."""
+    first = df.groupBy(person_key(df, profile, row_id=row_id).alias("_person")).agg(F.min(col(row_id)).alias("_first")).select("_first")
+    return df.join(first, col(row_id) == F.col("_first"), "left_semi")
 
 
 def _judged(df, spec, taxonomies, profile, row_id, *extra):

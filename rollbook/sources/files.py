@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from rollbook.functions.missing import is_text, strip
@@ -92,16 +93,48 @@ def free_row_id_name(columns):
     return name
 
 
-def with_row_id(df, key=None, name=None):
-    """Stable row identity. A unique integer key is used as it is.
+MAX_FILES = 100_000
+FILE_ROWS = 40  # bits of a row's place in its file
 
-    Without a key, ids follow the scan order and the table is written to the shared folder once, here, so that every later
-    read of the result has the same ids.
+
+def _placed(df, name):
+    """Ids from the file and the place of each row in it, or None where rows don't come straight from Parquet files.
+
+    They are the same in every read of the same files, so nothing has to be written.
+    """
+    try:
+        rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return None
+    files = sorted(df.inputFiles())
+    if not files or len(files) > MAX_FILES or len(files) >= 1 << (63 - FILE_ROWS) or {"_file", "_place"} & set(df.columns):
+        return None
+    if len(files) == 1:
+        number = F.lit(0)
+    else:
+        listed = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
+        rows = rows.join(F.broadcast(listed), "_file", "left")  # at most MAX_FILES rows
+        number = F.coalesce("_number", F.raise_error(F.concat(F.lit("Unknown file "), F.col("_file"))).cast("long"))
+    place = F.shiftleft(number.cast("long"), FILE_ROWS) + F.col("_place")
+    return rows.select(*(F.col(f"`{c}`") for c in df.columns), place.alias(name))
+
+
+def with_row_id(df, key=None, name=None, check=True):
+    """Stable row identity. An integer key is used as it is; a repeated or missing one raises ValueError, unless check is off.
+
+    Without a key, rows that come straight from Parquet files are named by file and place. Ids of other rows follow the scan order,
+    and the table is written to the shared folder once, here, so that every later read of the result has the same ids.
     """
     name = name or free_row_id_name(df.columns)
     if key:
-        return df.withColumn(name, F.col(f"`{key}`").cast("long"))
-    return saved(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+        value = F.col(f"`{key}`").cast("long")
+        if check:
+            bad = df.groupBy(value.alias("k")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or k is null").limit(1).collect()
+            if bad:
+                raise ValueError(f"Column '{key}' is no key: {'a value is missing' if bad[0]['k'] is None else 'value ' + str(bad[0]['k']) + ' is repeated'}.")
+        return df.withColumn(name, value)
+    placed = _placed(df, name)
+    return placed if placed is not None else saved(df.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def is_answer_key(name):
