@@ -117,6 +117,17 @@ def resolve_column(spark, sf_dir):
     return df.select(*(C.resolve_column(df.columns, name) for name in asked))
 
 
+@query("resolve_column_similar", people_sql("SELECT person_id, occupation, employer, linkedin_url, manager FROM people_v"))
+def resolve_column_similar(spark, sf_dir):
+    """Misspelt headers by likeness, a contained one, and the employer by a company its cells name; nothing for an unlike name."""
+    df = people(spark, sf_dir).withColumnsRenamed({"employer": "xq", "occupation": "occupatoin"})
+    asked = (["person id"], ["occupation"], ["workplace"], ["LinkedIn"], ["managr"])
+    found = [C.semantic_column(df, names, entities=("Goldman Sachs",) if names == ["workplace"] else ()) for names in asked]
+    if C.semantic_column(df, ["zodiac sign"]) is not None:
+        raise AssertionError("an unlike name was resolved")
+    return df.select(*found).toDF("person_id", "occupation", "employer", "linkedin_url", "manager")
+
+
 @query("display_columns", people_sql(
     "SELECT person_id, first_name, last_name, occupation, employer, employer_description, email, alt_email, giving, event_count, last_contact, "
     "updated_at, manager, linkedin_url, do_not_contact FROM people_v"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import listed, query, rounded
 from checks.sql import compact, day, emails, has, lenient, member, moment, norm, strict
 from checks.views import events, events_sql, people, people_sql, table
-from rollbook.functions import dates, display, numbers, text
+from rollbook.functions import dates, display, free_dates, numbers, text
 from rollbook.functions import emails as E
 from rollbook.functions.missing import type_of
 from rollbook.operators.sampling import col
@@ -50,6 +50,25 @@ def strict_date(spark, sf_dir):
     return parsed.withColumns({a: F.date_format(a, "yyyy-MM-dd") for a, _ in sources})
 
 
+#: Texts in free form and the dates they say; texts that say none.
+FREE_DATES = (
+    ("2nd January 2025", "2025-01-02"), ("Thu, Jan 2 2025 10:30 PM", "2025-01-02"), ("2025.01.02", "2025-01-02"), ("02-Jan-2025", "2025-01-02"),
+    ("Jan-02-2025", "2025-01-02"), ("the 3rd of March, 1999", "1999-03-03"), ("25/12/2024", "2024-12-25"), ("12.25.2024", "2024-12-25"),
+    ("Sept. 9 '98", "1998-09-09"), ("2 Feb 07", "2007-02-02"), ("2024-02-29T23:59:59+02:00", "2024-02-29"), ("February 2024", "2024-02-01"),
+    ("Monday 30 December 2024 at 9am", "2024-12-30"), ("10:30 2025-01-02", "2025-01-02"), ("March 5, 2024", "2024-03-05"), ("29 Feb 2023", None),
+    ("2025-13-40", None), ("soon", None), ("Jan 2", None), ("12 monkeys 1995", None), ("", None), (None, None), ("Feb Mar 2024", None), ("1 2 3 4", None),
+)
+_FREE_LIST = ", ".join("NULL" if t is None else "'" + t.replace("'", "''") + "'" for t, _ in FREE_DATES)
+_SAID_LIST = ", ".join("NULL" if d is None else f"'{d}'" for _, d in FREE_DATES)
+
+
+@query("strict_date_free", f"SELECT o_orderkey, list_extract([{_FREE_LIST}], o_orderkey % {len(FREE_DATES)} + 1) AS said, list_extract([{_SAID_LIST}], o_orderkey % {len(FREE_DATES)} + 1) AS day FROM orders")
+def strict_date_free(spark, sf_dir):
+    said = F.element_at(F.array(*(F.lit(t).cast("string") for t, _ in FREE_DATES)), (F.col("o_orderkey") % len(FREE_DATES)).cast("int") + 1)
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", said.alias("said"))
+    return rows.withColumn("day", F.date_format(free_dates.strict_date_free(F.col("said"), rows.schema["said"].dataType), "yyyy-MM-dd"))
+
+
 @query("norm_text", people_sql(f"SELECT person_id, {norm('employer')} AS n FROM people_v"))
 def norm_text(spark, sf_dir):
     return people(spark, sf_dir).select("person_id", text.norm_text(F.col("employer")).alias("n"))

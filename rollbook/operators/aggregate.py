@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -178,7 +179,10 @@ def _products(numbers, a, b, centres):
 
 
 def gram_matrix(df, names, block=BLOCK):
-    """Rows (a, b, n, sa, sb, saa, sbb, sab, odd) of all pairs of columns by number: one scan for each pair of blocks of columns."""
+    """Rows (a, b, n, sa, sb, saa, sbb, sab, odd) of all pairs of columns by number, and the means they are taken from.
+
+    There is one scan for each pair of blocks of columns.
+    """
     numbers = df.select(*(number_of(df, name).cast("double").alias(f"v{i}") for i, name in enumerate(names)))
     finite = (F.when(F.abs(F.col(c)) < float("inf"), F.col(c)) for c in numbers.columns)
     means = [m or 0.0 for m in numbers.agg(*(F.avg(v).alias(f"m{i}") for i, v in enumerate(finite))).first()]
@@ -187,18 +191,21 @@ def gram_matrix(df, names, block=BLOCK):
         _products(numbers, a, b, [[means[k] for k in part] for part in (a, b)]) for i, a in enumerate(parts) for b in parts[i:]
     ]
     sums = [F.sum(n).alias(n) for n in ("n", "sa", "sb", "saa", "sbb", "sab", "odd")]
-    return reduce(lambda x, y: x.unionByName(y), found).groupBy("a", "b").agg(*sums)
+    return reduce(lambda x, y: x.unionByName(y), found).groupBy("a", "b").agg(*sums), means
 
 
 def _correlations(df, names, block):
     """Rows (Column 1, Column 2, Correlation) from the matrix of products."""
     n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
     va, vb = (F.col(q) - s * s / n for q, s in (("saa", sa), ("sbb", sb)))
-    # A side whose spread is no more than the rounding of its sums does not vary.
-    varies = (va > 1e-12 * F.col("saa")) & (vb > 1e-12 * F.col("sbb")) & (F.col("odd") == 0)
+    matrix, means = gram_matrix(df, names, block)
+    # A side whose spread is no more than the rounding of its sums and of its mean does not vary.
+    rounding = F.array(*(F.lit((1e-14 * m) ** 2) for m in means))
+    varies = reduce(and_, (v > F.greatest(1e-12 * F.col(q), n * F.get(rounding, F.col(k).cast("int"))) for v, q, k in ((va, "saa", "a"), (vb, "sbb", "b"))))
+    varies = varies & (F.col("odd") == 0)
     r = F.when(varies, (F.col("sab") - sa * sb / n) / F.sqrt(va * vb))
     at = F.array(*map(F.lit, names))
-    return gram_matrix(df, names, block).where("n > 0").select(
+    return matrix.where("n > 0").select(
         F.get(at, F.col("a").cast("int")).alias("Column 1"), F.get(at, F.col("b").cast("int")).alias("Column 2"),
         F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("Correlation"),
     )

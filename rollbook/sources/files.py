@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -97,6 +99,11 @@ MAX_FILES = 100_000
 FILE_ROWS = 40  # bits of a row's place in its file
 
 
+def _plain_path(path):
+    """A file's address without escapes and with one slash behind the scheme, as two listings of Spark differ in both."""
+    return re.sub("^([^:/]+):/+", r"\1:/", unquote(path))
+
+
 def _placed(df, name):
     """Ids from the file and the place of each row in it, or None where rows don't come straight from Parquet files.
 
@@ -106,13 +113,15 @@ def _placed(df, name):
         rows = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
     except AnalysisException:
         return None
-    files = sorted(df.inputFiles())
+    files = sorted({_plain_path(f) for f in df.inputFiles()})
     if not files or len(files) > MAX_FILES or len(files) >= 1 << (63 - FILE_ROWS) or {"_file", "_place"} & set(df.columns):
         return None
     if len(files) == 1:
         number = F.lit(0)
     else:
         listed = df.sparkSession.createDataFrame(list(zip(files, range(len(files)))), "_file string, _number long")
+        decoded = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+        rows = rows.withColumn("_file", F.regexp_replace(decoded, "^([^:/]+):/+", "$1:/"))
         rows = rows.join(F.broadcast(listed), "_file", "left")  # at most MAX_FILES rows
         number = F.coalesce("_number", F.raise_error(F.concat(F.lit("Unknown file "), F.col("_file"))).cast("long"))
     place = F.shiftleft(number.cast("long"), FILE_ROWS) + F.col("_place")
