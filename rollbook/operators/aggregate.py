@@ -207,7 +207,7 @@ def _correlations(df, names, block):
     at = F.array(*map(F.lit, names))
     return matrix.where("n > 0").select(
         F.get(at, F.col("a").cast("int")).alias("Column 1"), F.get(at, F.col("b").cast("int")).alias("Column 2"),
-        F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)).alias("Correlation"),
+        F.when(F.abs(r) > 1, F.signum(r)).otherwise(r).alias("Correlation"),
     )
 
 
