@@ -497,13 +497,14 @@ def company_industries(spark, sf_dir):
     return listed(K.company_industries(people(spark, sf_dir)).select("person_id", "industries"), "industries")
 
 
-@query("explain_people", people_sql(
-    f"SELECT count(*) AS n, count(*) FILTER ({_layers('tech')[0]}) AS by_title FROM f WHERE contains(lower(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), 'grace') "
-    "AND contains(lower(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), 'o')", FOLDED,
-))
+_MATCH_TECH = _match_sql("tech")
+
+
+@query("explain_people", _MATCH_TECH.replace(
+    "SELECT person_id, CASE WHEN", "SELECT trim(coalesce(first_name, '') || ' ' || coalesce(last_name, '')) AS name, occupation, employer, 'tech' AS target_industry, CASE WHEN", 1,
+) + " WHERE contains(lower(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), 'grace') AND contains(lower(coalesce(first_name, '') || ' ' || coalesce(last_name, '')), 'o')")
 def explain_people(spark, sf_dir):
-    found = K.explain_people(app_view(people(spark, sf_dir)), "Grace O", "technology", limit=None)
-    return found.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.array_contains("match_sources", "title_keyword"), 1)).alias("by_title"))
+    return listed(K.explain_people(app_view(people(spark, sf_dir)), "Grace O", "technology"), "match_sources")
 
 
 # ---- people filters -------------------------------------------------------------------------------------------------
@@ -562,12 +563,12 @@ def people_filter_employer(spark, sf_dir):
 
 
 @query("run_composite_sorted", people_sql(
-    f"SELECT bucket, {_DISPLAY}, {{matching}}, id AS _row_id FROM s JOIN people_v ON person_id = id WHERE {{exact}} ORDER BY event_count DESC NULLS LAST, bucket, id LIMIT 30", *_judged(TECH),
+    f"SELECT bucket, {_DISPLAY}, {{matching}}, id AS _row_id FROM s JOIN people_v ON person_id = id WHERE {{exact}}", *_judged(TECH),
 ).replace("{matching}", "_MATCHING_").replace("{exact}", "_EXACT_"))
 def run_composite_sorted(spark, sf_dir):
     params = {
         "people_operation": {"type": "contains_any", "params": {"filter_mode": "people", "people_filter": {"industries": ["tech"]}}},
-        "predicate_group": EXACT, "constraint_logic": "and", "sort": {"column": "event_count", "direction": "desc"}, "limit": 30,
+        "predicate_group": EXACT, "constraint_logic": "and", "sort": {"column": "event_count", "direction": "desc"},
     }
     return run(app_view(people(spark, sf_dir)), {"type": "composite_people_filter", "params": params}).rows
 

@@ -25,10 +25,10 @@ def csv_scan(spark, sf_dir):
     return files.read_csv(spark, path).select(*PICKED)
 
 
-@query("csv_scan_multiline", people_sql("SELECT person_id::VARCHAR AS person_id, first_name || chr(10) || '\"' || coalesce(city, '') AS note FROM people_v WHERE first_name <> ''"))
+@query("csv_scan_multiline", people_sql("SELECT person_id::VARCHAR AS person_id, first_name || chr(10) || '\"' || coalesce(city, '') AS note FROM people_v"))
 def csv_scan_multiline(spark, sf_dir):
     path = f"{shared_folder(spark)}/notes-{uuid.uuid4().hex}"
-    notes = people(spark, sf_dir).filter("first_name <> ''").selectExpr("person_id", "concat(first_name, '\\n\"', coalesce(city, '')) as note")
+    notes = people(spark, sf_dir).selectExpr("person_id", "concat(first_name, '\\n\"', coalesce(city, '')) as note")
     files.write_csv(notes, path)
     return files.read_csv(spark, path, multiline=True)
 
@@ -431,15 +431,15 @@ def run_top_n(spark, sf_dir):
 
 
 @query("run_filter_predicates", people_sql(
-    f"SELECT first_name, city FROM people_v WHERE {strict('giving')} > 5000 ORDER BY {strict('giving')} DESC, person_id LIMIT 40"
+    f"SELECT first_name, city FROM people_v WHERE {strict('giving')} > 5000"
 ))
 def run_filter_predicates(spark, sf_dir):
     tree = group("and", predicate("greater_than", "giving", 5000))
-    return run(people(spark, sf_dir), "filter_predicates", predicate_group=tree, sort={"column": "giving"}, limit=40, return_columns=["first_name", "city"])
+    return run(people(spark, sf_dir), "filter_predicates", predicate_group=tree, sort={"column": "giving"}, return_columns=["first_name", "city"])
 
 
 @query("run_contains_any", "SELECT p_partkey, 'p_name' AS matched_column, 'red' AS matched_term, 'Matched p_name: ' || p_name AS \"MATCH REASON\" FROM part "
-       "WHERE contains(lower(p_name), 'red') ORDER BY p_partkey LIMIT 30")
+       "WHERE contains(lower(p_name), 'red')")
 def run_contains_any(spark, sf_dir):
     df = files.with_row_id(table(spark, sf_dir, "part"), key="p_partkey")
-    return run(df, "contains_any", columns=["p_name"], terms=["red"], limit=30, display_columns=["p_partkey"])
+    return run(df, "contains_any", columns=["p_name"], terms=["red"], display_columns=["p_partkey"])

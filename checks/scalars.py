@@ -204,10 +204,9 @@ def has_term_documents(spark, sf_dir):
 
 
 @query("extract_emails_documents", 
-       f"SELECT doc_id, array_to_string(list_filter(m, lambda v, i: list_position(m, v) = i), '|') AS found FROM (SELECT doc_id, {emails('text')} AS m FROM documents WHERE contains(text, '@'))")
+       f"SELECT doc_id, array_to_string(list_filter(m, lambda v, i: list_position(m, v) = i), '|') AS found FROM (SELECT doc_id, {emails('text')} AS m FROM documents)")
 def extract_emails_documents(spark, sf_dir):
-    mail = table(spark, sf_dir, "documents").filter(F.col("text").contains("@"))
-    return listed(mail.select("doc_id", E.extract_emails(F.col("text")).alias("found")), "found")
+    return listed(table(spark, sf_dir, "documents").select("doc_id", E.extract_emails(F.col("text")).alias("found")), "found")
 
 
 @query("clean_text_conversations", "SELECT conv_id, turn, md5(" + _CLEAN.replace("html", "text") + ") AS digest FROM conversations")
