@@ -14,7 +14,9 @@ from rollbook.llm.jaccard_join import jaccard_join
 from rollbook.llm.shared import saved
 
 
-DIGEST = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+def digest():
+    """The digest of a text; null counts as empty."""
+    return F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
 
 
 def keep_rows(docs, kept):
@@ -27,7 +29,7 @@ def keep_rows(docs, kept):
         own = [f"_{c}" for c in own]
     ids = kept.select(*(F.col(c).alias(n) for c, n in zip(("doc_id", "text_sha256", "rows"), own)))
     same = F.col("doc_id").eqNullSafe(F.col(own[0])) & (F.col(own[3]) == F.col(own[1]))
-    rows = docs.withColumn(own[3], DIGEST).join(ids, same).drop(own[0], own[1], own[3])
+    rows = docs.withColumn(own[3], digest()).join(ids, same).drop(own[0], own[1], own[3])
     once = rows.where(F.col(own[2]) == 1).drop(own[2])
     again = rows.where(F.col(own[2]) > 1).drop(own[2])  # ids that stand in several rows; there are hardly any
     return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
@@ -50,8 +52,8 @@ def near_copies(spark, docs, sf_dir):
 
     Texts are told apart by their digests, so an id that stands on different texts brings none of them back.
     """
-    own = docs.select("doc_id", DIGEST.alias("text_sha256"))
-    texts = docs.select(F.unhex(DIGEST).alias("digest"), "text")
+    own = docs.select("doc_id", digest().alias("text_sha256"))
+    texts = docs.select(F.unhex(digest()).alias("digest"), "text")
     classes = jaccard_join(texts, id_col="digest").select(F.lower(F.hex("doc_id")).alias("text_sha256"), "class_id").distinct()
     counted = own.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
     best = counted.join(classes, "text_sha256").groupBy("class_id").agg(F.min(F.struct("doc_id", "text_sha256", "rows")).alias("best"))
