@@ -17,32 +17,58 @@ from rollbook.llm.kernels import ranges, text_buffers, text_chunks, words
 from rollbook.llm.shared import texts
 
 WINDOW = 10
-MAX_BENCHMARK_BYTES = 256 << 20
+#: Bounds of what is sent to every task. A window costs the driver some 250 bytes while they are made, and tasks 100.
+MAX_BENCHMARK_BYTES, MAX_WINDOWS = 64 << 20, 4_000_000
 SHARD_SYMBOLS = 1 << 20
 SHARD_ROWS = 50_000
 
 SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "end_word", "start_byte", "end_byte")])
 
 
+def window_names(symbols, starts, size):
+    """Numbers of the runs of `size` symbols at the starts: equal runs, and only they, have equal numbers.
+
+    Runs of 1, 2, 4, ... symbols are numbered by pairs of halves, and a run of `size` by its parts; nothing is hashed.
+    """
+    named, n = symbols.astype(np.int64), 1
+    whole, offset = np.zeros(len(starts), np.int64), 0
+    while size:
+        if size & 1:
+            part = named[starts + offset]
+            whole = np.unique(whole * (int(part.max()) + 1 if len(part) else 1) + part, return_inverse=True)[1]
+            offset += n
+        size >>= 1
+        if size:
+            named = np.unique(named[:-n] * (int(named.max()) + 1) + named[n:], return_inverse=True)[1] if len(named) > n else named[:0]
+            n *= 2
+    return whole
+
+
 def phrases(item_ids, item_texts, window=WINDOW):
     """Vocabulary (sorted word hashes), windows as right-aligned symbols, their lengths, and the items of each window."""
     _, _, hashes, first = words(*text_buffers(pa.array(item_texts, pa.large_string())))
     vocabulary = np.unique(hashes)
     symbols = np.searchsorted(vocabulary, hashes)
-    found = {}
-    for k in range(len(first) - 1):
-        item = symbols[first[k]:first[k + 1]]
-        for s in range(max(1, len(item) - window + 1) if len(item) else 0):
-            found.setdefault(tuple(item[s:s + window].tolist()), set()).add(item_ids[k])
-    patterns = np.full((len(found), window), -1, np.int64)
-    for k, p in enumerate(found):
-        patterns[k, window - len(p):] = p
-    names = sorted({i for items in found.values() for i in items})
-    at = {name: k for k, name in enumerate(names)}
-    owners = [sorted(at[i] for i in items) for items in found.values()]
+    names, number = np.unique(np.array([str(i) for i in item_ids], object), return_inverse=True) if len(item_ids) else (np.array([]), np.zeros(0, np.int64))
+    counts = np.diff(first)
+    owner = np.repeat(number, counts)
+    # One group of windows for each length: whole windows, and the few items that are shorter.
+    patterns, pairs = [], []
+    for size in sorted({min(window, int(c)) for c in counts if c}):
+        rows = np.flatnonzero(counts >= window if size == window else counts == size)
+        starts = ranges(first[rows], counts[rows] - size + 1)
+        if len(starts) > MAX_WINDOWS:
+            raise ValueError(f"The benchmark has {len(starts)} windows; split it into parts of at most {MAX_WINDOWS}.")
+        _, at, same = np.unique(window_names(symbols, starts, size), return_index=True, return_inverse=True)
+        pattern = np.full((len(at), window), -1, np.int32)
+        pattern[:, window - size:] = symbols[starts[at][:, None] + np.arange(size)]
+        pairs.append(np.unique((same + sum(map(len, patterns))) * len(names) + owner[starts]))
+        patterns.append(pattern)
+    patterns = np.concatenate(patterns) if patterns else np.full((0, window), -1, np.int32)
+    of, owners = np.divmod(np.concatenate(pairs), len(names)) if pairs else (np.zeros(0, np.int64),) * 2
     return {
-        "vocabulary": vocabulary, "patterns": patterns, "lengths": (patterns >= 0).sum(1), "names": names,
-        "owner_start": np.cumsum([0, *map(len, owners)]), "owners": np.array([o for x in owners for o in x], np.int64),
+        "vocabulary": vocabulary, "patterns": patterns, "lengths": (patterns >= 0).sum(1), "names": names.tolist(),
+        "owner_start": np.searchsorted(of, np.arange(len(patterns) + 1)), "owners": owners,
     }
 
 
@@ -168,7 +194,7 @@ def decontaminate(docs, benchmark, id_col="doc_id", text_col="text", item_col="i
     occurrence of a window is hit; spans that touch are merged. Null texts have no words, a null item id counts as "". Repeated
     rows give repeated rows; repeated items count once. Empty tables give no rows, or rows without hits. Documents may be of any
     length Spark can hold; matches never cross documents. Other columns are not read. The benchmark may have up to
-    MAX_BENCHMARK_BYTES of text; a larger one raises, since it is sent to every task.
+    MAX_BENCHMARK_BYTES of text and MAX_WINDOWS windows; a larger one raises, since its windows are sent to every task.
     """
     known = send_phrases(benchmark, item_col, item_text_col, window)
 

@@ -347,3 +347,34 @@ def test_hot_keys_can_be_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_windows_of_a_large_benchmark():
+    """Ten megabytes of items: windows and owners as a dictionary gives them on a part, and bounded memory on the whole."""
+    import tracemalloc
+
+    rng = random.Random(17)
+    vocabulary = [f"{a}{b}" for a in "abcdefghijkl" for b in range(120)]
+    items = [" ".join(rng.choices(vocabulary[:rng.choice([3, 1440])], k=rng.choice([0, 1, 4, 9, 10, 11, 60]))) for _ in range(400)]
+    ids = [f"i{k % 370}" for k in range(400)]
+    got = decontaminate.phrases(ids, items)
+    want = collections.defaultdict(set)
+    for i, text in zip(ids, items):
+        w = plain_words(text)
+        for s in range(max(1, len(w) - 9) if w else 0):
+            want[tuple(w[s:s + 10])].add(i)
+    used = sorted({w for text in items for w in plain_words(text)})
+    word_of = {int(np.searchsorted(got["vocabulary"], h)): w for w in used for h in [kernels.words(*next((d, o) for _, _, d, o in kernels.text_chunks(pa.array([w]))))[2][0]]}
+    found = {
+        tuple(word_of[int(x)] for x in pattern if x >= 0): {got["names"][o] for o in got["owners"][a:z]}
+        for pattern, a, z in zip(got["patterns"], got["owner_start"], got["owner_start"][1:])
+    }
+    assert found == want
+    large = [" ".join(rng.choices(vocabulary, k=4000)) for _ in range(600)]
+    assert sum(map(len, large)) > 9_000_000
+    tracemalloc.start()
+    many = decontaminate.phrases([str(k) for k in range(600)], large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(many["patterns"]) > 2_300_000 and peak < 700 << 20, peak >> 20
+    print("peak MB", peak >> 20)
