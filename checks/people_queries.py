@@ -686,17 +686,24 @@ def matched_gold(spark, sf_dir):
     return X.matched_gold(*_results_and_gold(spark, sf_dir)).select("person_id")
 
 
-@query("check_composition", people_sql("SELECT cast(0 AS BIGINT) AS and_problems, count(*) FILTER (a OR u) > 0 AS or_differs FROM (SELECT a IS NOT NULL AS a, u IS NOT NULL AS u FROM q)", *_judged(TECH)))
+# "and" leaves no problem; "or" adds only the first exact row of a person, so the others are missing, and takes rows out of buckets.
+@query("check_composition", people_sql(
+    "SELECT 'or' AS logic, bucket, id AS _row_id, 'missing' AS problem FROM (SELECT * FROM w EXCEPT SELECT * FROM seen) "
+    "UNION ALL SELECT 'or', bucket, id, 'surplus' FROM (SELECT * FROM seen EXCEPT SELECT * FROM w)",
+    *_judged(TECH), f"ex AS (SELECT person_id AS id FROM people_v WHERE {_EXACT_SQL})", f"x AS (SELECT min(person_id) AS id FROM people_v WHERE {_EXACT_SQL} GROUP BY {PERSON})",
+    "w AS (SELECT bucket, id FROM s WHERE bucket <> 'counted' UNION SELECT b, id FROM ex, (VALUES ('direct'), ('adjacent'), ('uncertain')) t(b))",
+    "seen AS (SELECT bucket, id FROM s WHERE bucket = 'direct' UNION SELECT 'direct', id FROM x UNION SELECT bucket, id FROM s WHERE bucket IN ('adjacent', 'uncertain') AND id NOT IN (SELECT id FROM x))",
+))
 def check_composition(spark, sf_dir):
     df = app_view(people(spark, sf_dir))
     exact = df.filter(compile_group(df, EXACT))
     # Results are compared as they were once written, each computed once.
     fuzzy = saved(H.people_filter(df, TECH_SPEC), "fuzzy")
-    both = X.check_composition(saved(H.composite_filter(df, TECH_SPEC, EXACT, "and"), "both"), fuzzy, exact)
-    either = X.check_composition(saved(H.composite_filter(df, TECH_SPEC, EXACT, "or"), "either"), fuzzy, exact, logic="or")
-    return both.agg(F.count(F.lit(1)).alias("and_problems")).select(
-        "and_problems", either.agg(F.count(F.lit(1)) > 0).scalar().alias("or_differs")
-    )
+    found = [
+        X.check_composition(saved(H.composite_filter(df, TECH_SPEC, EXACT, logic), logic), fuzzy, exact, logic=logic).select(F.lit(logic).alias("logic"), "*")
+        for logic in ("and", "or")
+    ]
+    return found[0].unionByName(found[1])
 
 
 @query("bucket_overlap", people_sql(

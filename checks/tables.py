@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks.registry import listed, query, rounded
 from checks.sql import blank, lenient, moment
@@ -11,6 +11,7 @@ from rollbook.operators import aggregate as A
 from rollbook.operators import order as O
 from rollbook.operators import profile as R
 from rollbook.operators import sets
+from rollbook.session import saved
 from rollbook.sources.files import with_row_id
 
 
@@ -261,6 +262,16 @@ def column_profile_cat(spark, sf_dir):
     return R.column_profile(table(spark, sf_dir, "lineitem"), "l_returnflag")
 
 
+@query("dataset_overview", people_sql(
+    "SELECT count(*) AS row_count, 4 AS column_count, (SELECT string_agg(row, '|' ORDER BY person_id) FROM (SELECT person_id, json_object('person_id', person_id, 'first_name', first_name, 'email', email, 'grad_year', grad_year)::VARCHAR AS row "
+    "FROM people_v ORDER BY person_id LIMIT 5)) AS sample_rows, 'confirmed' AS mapping_status, '{\"first_name\":[\"first_name\"],\"email\":[\"email\"]}' AS mapping FROM people_v"
+))
+def dataset_overview(spark, sf_dir):
+    df = people(spark, sf_dir).select("person_id", "first_name", "email", "grad_year", "_row_id")
+    found = R.dataset_overview(df, mapping={"first_name": ["first_name"], "email": ["email"]}, status="confirmed")
+    return found.withColumns({"sample_rows": F.array_join("sample_rows", "|"), "mapping": F.to_json("mapping")})
+
+
 @query("column_profile_date", "SELECT strftime(min(o_orderdate), '%Y-%m-%d') AS earliest, strftime(max(o_orderdate), '%Y-%m-%d') AS latest, count(*) AS \"count\" FROM orders")
 def column_profile_date(spark, sf_dir):
     return _dates_as_text(R.column_profile(table(spark, sf_dir, "orders"), "o_orderdate"), "earliest", "latest")
@@ -285,8 +296,9 @@ def profile_flags(spark, sf_dir):
 def _placed(df):
     """The place of each row in a sorted table: rows in earlier partitions, and before it in its own."""
     at = df.withColumns({"_part": F.spark_partition_id(), "_in": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._part") < F.col("a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    at = saved(at, "sorted")  # the sort runs once
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))  # one row a partition
     return at.join(F.broadcast(before), "_part").withColumn("place", F.col("_in") + F.col("_before")).drop("_part", "_in", "_before")
 
 

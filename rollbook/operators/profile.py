@@ -258,6 +258,26 @@ def dataset_context(df, sample_limit=5, low_cardinality=LOW_CARDINALITY, row_id=
     )
 
 
+def dataset_overview(df, sample_limit=5, mapping=None, status=None, row_id=ROW_ID):
+    """One row: row and column counts, the first rows as JSON in row order, and the mapping in use with its status.
+
+    mapping: {field: [sources]}, as active_mapping() gives it; without one both are null. Only the first rows meet in one place.
+    """
+    names = data_columns(df)
+    cells = F.to_json(F.struct(*(col(n) for n in names)), {"ignoreNullFields": "false"})
+    place = col(row_id) if row_id in df.columns else F.monotonically_increasing_id()
+    first = df.select(place.alias("place"), cells.alias("row")).orderBy("place").limit(sample_limit)
+    rows = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "row"))), lambda r: r["row"]).alias("rows")).scalar()
+    used = F.lit(None).cast("map<string,array<string>>")
+    if mapping is not None:
+        pairs = [x for field, sources in mapping.items() for x in (F.lit(field), F.array(*map(F.lit, sources)))]
+        used = F.create_map(*pairs).cast("map<string,array<string>>")
+    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+        "row_count", F.lit(len(names)).alias("column_count"), rows.alias("sample_rows"),
+        F.lit((status or "unreviewed") if mapping is not None else None).cast("string").alias("mapping_status"), used.alias("mapping"),
+    )
+
+
 # The shape of a number cell, and the shares from which a column is numeric or dated.
 NUMBER_CELL = r"^-?\$?\s*-?[\d,]*\.?\d+%?$"
 NUMBER_SHARE, DATE_SHARE = 0.85, 0.8

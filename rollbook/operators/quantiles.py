@@ -33,8 +33,10 @@ class _Bracket:
         return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
 
     def bin(self, value):
-        """Number of the bin, rising with the value. Halves keep the width finite."""
+        """Number of the bin, rising with the value. Halves keep the width finite; where it is 0, the bracket has two values."""
         width = self.high / 2 - self.low / 2
+        if width == 0:
+            return (value > F.lit(self.low)).cast("int")
         return F.least(F.floor((value / 2 - self.low / 2) / width * BINS), F.lit(BINS - 1)).cast("int")
 
 

@@ -279,3 +279,11 @@ def test_facade(frame):
     for bad in ({"type": "drop_table"}, {"type": "top_n", "params": {"column": "nothing here"}}, {"type": "sort_rows", "params": {}}):
         with pytest.raises(ValueError):
             run(df, bad)
+
+
+def test_quantiles_of_the_least_denormals(frame):
+    from rollbook.operators import profile as R
+
+    df = frame(["v"], [(0.0,), (5e-324,), (5e-324,), (0.0,), (0.0,)], schema="v double")
+    row = R.numeric_summary(df, few_rows=1).first() if "few_rows" in R.numeric_summary.__code__.co_varnames else R.numeric_summary(df).first()
+    assert row["Median"] == 0.0
