@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a two-layer network with a calibrated temperature.
 
-1. Every token has a sparse random index vector, made from its hash. Over the whole corpus, each of BUCKETS word classes (token
-   hash modulo BUCKETS) sums the index vectors of its left and right neighbours: its word vector. Tasks send one row a class and
+1. Every token has a sparse random index vector, made from its hash. Over the whole corpus, each word sums the index vectors of its
+   left and right neighbours: its word vector. The WORDS most frequent words, by counts over all documents, have vectors of their
+   own; rarer ones, whose contexts say little, share BUCKETS vectors by their hash. Tasks send one row a vector they touched and
    the rows are summed in Spark, so what travels grows with the number of tasks, and the table has a fixed size.
 2. A document is the mean and the spread of the word vectors and index vectors of its tokens, and a few ratios.
 3. The network is fitted on the driver on at most TRAIN_ROWS labelled documents, drawn by a hash of their id; a fifth of them only
@@ -18,7 +19,9 @@ from pyspark.sql import types as T
 from rollbook.llm.kernels import BYTE_VALUES, mix, rolling, span_hash, text_chunks
 from rollbook.llm.shared import texts
 
+WORDS = 1 << 16
 BUCKETS = 1 << 13
+COUNTED = 1 << 20
 DIMENSIONS = 32
 TRAIN_ROWS = 20_000
 HIDDEN = 32
@@ -50,47 +53,85 @@ def index_vectors(hashes):
     return places, signs
 
 
-def buckets(hashes):
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+class Vectors:
+    """Sorted hashes of the words with vectors of their own, and the table: their vectors, then the shared ones."""
 
+    def __init__(self, words, table=None):
+        self.words, self.table = words, table
 
-def neighbour_sums(table, hashes, first):
+    def __len__(self):
+        return len(self.words) + BUCKETS
+
+    def places(self, hashes):
+        """The line of each token's vector."""
+        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
+        own = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
+        return np.where(own, at, len(self.words) + (hashes % np.uint64(BUCKETS)).astype(np.int64))
+
+
+def frequent_words(docs, text_col="text", size=WORDS):
+    """Sorted hashes of the `size` most frequent tokens of all documents; of equal counts the lesser hash counts first."""
+
+    def run(batches):
+        hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["word", "n"])
+
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
+                more, n = np.unique(tokens(data, offsets)[0], return_counts=True)
+                hashes, inverse = np.unique(np.concatenate([hashes, more]), return_inverse=True)
+                counts = np.bincount(inverse, weights=np.concatenate([counts, n]), minlength=len(hashes)).astype(np.int64)
+                if len(hashes) > COUNTED:
+                    yield out()
+                    hashes, counts = hashes[:0], counts[:0]
+        yield out()
+
+    counted = texts(docs, text_col, text_col).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()  # at most size rows
+    return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
+
+
+def neighbour_sums(table, places, hashes, first):
     """Add to the flat table of sums the index vectors of the left and right neighbours within each row."""
     n = len(hashes)
     if n < 2:
         return
-    places, signs = index_vectors(hashes)
-    bucket = buckets(hashes) * DIMENSIONS
+    at, signs = index_vectors(hashes)
+    line = places * DIMENSIONS
     together = np.ones(n - 1, bool)
     cut = first[(first > 0) & (first < n)] - 1
     together[cut] = False
     left = np.flatnonzero(together)
     for to, of in ((left, left + 1), (left + 1, left)):
-        for place, sign in zip(places, signs):
-            table += np.bincount(bucket[to] + place[of], weights=sign[of], minlength=len(table)).astype(np.int64)
+        for place, sign in zip(at, signs):
+            np.add.at(table, line[to] + place[of], sign[of])
 
 
-def word_vectors(docs, text_col="text"):
-    """The table of word vectors (BUCKETS x DIMENSIONS, rows of length 1 or 0) from all documents."""
+def word_vectors(docs, text_col="text", size=WORDS):
+    """Vectors from all documents: lines of length 1, or 0 for what never has a neighbour."""
     names = [f"s{k}" for k in range(DIMENSIONS)]
+    vectors = Vectors(frequent_words(docs, text_col, size))
 
     def run(batches):
-        table = np.zeros(BUCKETS * DIMENSIONS, np.int64)
+        table = np.zeros(len(vectors) * DIMENSIONS, np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0), 1 << 22):
-                neighbour_sums(table, *tokens(data, offsets))
-        table = table.reshape(BUCKETS, DIMENSIONS)
+                hashes, first = tokens(data, offsets)
+                neighbour_sums(table, vectors.places(hashes), hashes, first)
+        table = table.reshape(-1, DIMENSIONS)
         used = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[used, k]) for k in range(DIMENSIONS)]], names=["bucket", *names])
+        yield pa.RecordBatch.from_arrays([pa.array(used), *[pa.array(table[used, k]) for k in range(DIMENSIONS)]], names=["line", *names])
 
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("bucket", *names)])
-    sums = texts(docs, text_col, text_col).select("text").mapInArrow(run, schema).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names])
-    found = sums.toPandas()  # at most BUCKETS rows
-    table = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("line", *names)])
+    sums = texts(docs, text_col, text_col).select("text").mapInArrow(run, schema).groupBy("line").agg(*[F.sum(n).alias(n) for n in names])
+    found = sums.toPandas()  # at most WORDS + BUCKETS rows
+    table = np.zeros((len(vectors), DIMENSIONS), np.float32)
     if len(found):
-        table[found["bucket"].to_numpy()] = found[names].to_numpy(np.float64)
+        table[found["line"].to_numpy()] = found[names].to_numpy(np.float64)
     length = np.linalg.norm(table, axis=1, keepdims=True)
-    return table / np.where(length > 0, length, 1)
+    return Vectors(vectors.words, (table / np.where(length > 0, length, 1)).astype(np.float32))
 
 
 FEATURES = 4 * DIMENSIONS + 4
@@ -105,8 +146,8 @@ def pooled(data, offsets, vectors):
     if not len(some):
         return out
     n, at = counts[some, None].astype(np.float32), first[some]
-    bucket = buckets(hashes)
-    seen = vectors[bucket]
+    line = vectors.places(hashes)
+    seen = vectors.table[line]
     own = np.zeros((len(hashes), DIMENSIONS), np.float32)
     for place, sign in zip(*index_vectors(hashes)):
         own[np.arange(len(hashes)), place] += sign
@@ -120,7 +161,7 @@ def pooled(data, offsets, vectors):
     joint[1:] = np.where(row[1:] == row[:-1], np.einsum("ij,ij->i", seen[1:], seen[:-1]), 0)
     same = np.zeros(len(hashes), np.float32)
     same[2:] = (row[2:] == row[:-2]) & ((hashes[2:] == hashes[:-2]) | (hashes[1:-1] == hashes[2:]))
-    kinds = np.unique(row * BUCKETS + bucket) // BUCKETS
+    kinds = np.unique(row * len(vectors) + line) // len(vectors)
     size = np.diff(offsets)[some].astype(np.float32)
     n = n[:, 0]
     out[some, 4 * d] = np.add.reduceat(joint, at) / n

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from rollbook.llm import bpe, decontaminate, divergence, jaccard_join, kernels, licenses, ranked_search, token_counts, toxicity
+from rollbook.llm import bpe, decontaminate, divergence, jaccard_join, kernels, licenses, quality, ranked_search, token_counts, toxicity
 
 from tests.llm.test_kernels import plain_words
 from tests.llm.test_operators import collected, prose, table
@@ -378,3 +378,62 @@ def test_windows_of_a_large_benchmark():
     tracemalloc.stop()
     assert len(many["patterns"]) > 2_300_000 and peak < 700 << 20, peak >> 20
     print("peak MB", peak >> 20)
+
+
+# quality
+
+def plain_tokens(text):
+    return re.findall(r"[0-9A-Za-z\x7f-\U0010ffff]+|[!-/:-@[-`{-~]+", text)
+
+
+def test_word_vectors_and_pooling_by_hand(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, rng.randint(0, 25)) + rng.choice(["", "!", " -- ", "é"]) for _ in range(60)] + ["", "one", "a a a b"]
+    size = 30
+    hash_of = {}
+    for text in texts:
+        _, _, data, offsets = next(kernels.text_chunks(pa.array([text])), (0, 0, np.zeros(0, np.uint8), np.zeros(2, np.int64)))
+        hashes, _ = quality.tokens(data, offsets)
+        assert len(hashes) == len(plain_tokens(text))
+        hash_of |= dict(zip(plain_tokens(text), hashes))
+    counts = collections.Counter(t for text in texts for t in plain_tokens(text))
+    common = sorted(counts, key=lambda t: (-counts[t], int(hash_of[t].view(np.int64))))[:size]
+
+    vectors = quality.word_vectors(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), size=size)
+    assert set(vectors.words.tolist()) == {int(hash_of[t]) for t in common}
+    index = {}
+    for t, h in hash_of.items():
+        (p, q), (x, y) = quality.index_vectors(np.array([h], np.uint64))
+        index[t] = np.zeros(quality.DIMENSIONS)
+        index[t][p[0]] += x[0]
+        index[t][q[0]] += y[0]
+    line = {t: int(vectors.places(np.array([h], np.uint64))[0]) for t, h in hash_of.items()}
+    sums = np.zeros((len(vectors), quality.DIMENSIONS))
+    for text in texts:
+        found = plain_tokens(text)
+        for a, b in zip(found, found[1:]):
+            sums[line[a]] += index[b]
+            sums[line[b]] += index[a]
+    length = np.linalg.norm(sums, axis=1, keepdims=True)
+    assert np.allclose(vectors.table, sums / np.where(length > 0, length, 1), atol=1e-6)
+
+    d = quality.DIMENSIONS
+    for text in texts:
+        _, _, data, offsets = next(kernels.text_chunks(pa.array([text])), (0, 0, np.zeros(0, np.uint8), np.zeros(2, np.int64)))
+        got = quality.pooled(data, offsets, vectors)[0]
+        found = plain_tokens(text)
+        if not found:
+            assert not got.any()
+            continue
+        seen, own = np.array([vectors.table[line[t]] for t in found]), np.array([index[t] for t in found])
+        want = np.concatenate([seen.mean(0), seen.std(0), own.mean(0), own.std(0), [
+            sum(seen[1:][k] @ seen[:-1][k] for k in range(len(found) - 1)) / len(found),
+            sum(k > 1 and (found[k] == found[k - 2] or found[k - 1] == found[k]) for k in range(len(found))) / len(found),
+            len({line[t] for t in found}) / len(found), len(found) / len(text.encode()),
+        ]])
+        assert np.allclose(got, want, atol=2e-4)
+
+    network = quality.Network(np.zeros(3), np.ones(3), (np.array([[1.0, 0], [0, 2], [1, 1]]), np.array([0.1, 0]), np.array([1.0, -1]), np.array([0.5])), 2.0)
+    x = np.array([[0.3, -0.2, 0.9]])
+    h = [math.tanh(0.3 + 0.9 + 0.1), math.tanh(-0.4 + 0.9)]
+    assert network.scores(x)[0] == pytest.approx(1 / (1 + math.exp(-(h[0] - h[1] + 0.5) / 2)))
