@@ -4,8 +4,9 @@
 2. A set is embedded as T_COORDINATES min-hashes; two sets agree in one with a probability equal to their similarity.
 3. Chosen paths: every run starts at a root; a node samples coordinates (its path alone decides which) and a set goes on to the
    child named by its value there. Sets alone in a node drop out, nodes of at most LEAF sets are compared by brute force, larger
-   ones are split again, down to DEPTH. What still stays together there, or a child that keeps DENSE of its parent's sets, is so
-   alike that it is taken as one plausible group: splitting on would only repeat it.
+   ones are split again, down to DEPTH, by two levels at once where children could still be too large. What still stays together
+   there, or a child that keeps DENSE of its parent's sets for each level, is so alike that it is taken as one plausible group:
+   splitting on would only repeat it.
    Runs are repeated until the expected recall at the threshold reaches the target.
 4. Groups of plausible sets are joined to components, and within a component all pairs are checked exactly on the whole sets, in
    blocks of BLOCK sets a side. A pair meets in one pair of blocks only, so links are counted once, and pairs are never emitted.
@@ -254,12 +255,22 @@ def _plausible_groups(sets, two, leaf, depth, least):
 
     def split(batches):
         for batch in batches:
-            paths = batch.column(0).to_numpy()
+            paths, rid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             sketches = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, T_COORDINATES)
+            n, level = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            # A node whose children can still be too large to compare goes down two levels at once: one written table less.
+            twice = (n * DENSE > leaf) & (level + 2 <= depth)
             row, coordinate = children(paths, two)
+            down = child_path(paths[row], coordinate, sketches[row, coordinate])
+            again = np.flatnonzero(twice[row])
+            second, coordinate = children(down[again], two)
+            origin = row[again][second]
+            down = np.concatenate([down[~twice[row]], child_path(down[again][second], coordinate, sketches[origin, coordinate])])
+            row = np.concatenate([row[~twice[row]], origin])
+            steps = 1 + twice[row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(child_path(paths[row], coordinate, sketches[row, coordinate])), *(batch.column(k).take(pa.array(row)) for k in (1, 2, 3))],
-                names=["path", "rid", "sketch", "was"],
+                [pa.array(down), pa.array(rid[row]), batch.column(2).take(pa.array(row)), pa.array(n[row] * DENSE ** steps), pa.array((level[row] + steps).astype(np.int32))],
+                names=["path", "rid", "sketch", "dense", "level"],
             )
 
     def compare(batches):
@@ -273,19 +284,19 @@ def _plausible_groups(sets, two, leaf, depth, least):
                 yield pa.RecordBatch.from_arrays([table.column("rid").combine_chunks().filter(pa.array(keep)), pa.array(node)], names=["rid", "node"])
 
     first = crowded(sets.select("rid", F.explode("paths").alias("path")))
-    now = saved(first.join(sets.select("rid", "sketch"), "rid").select("path", "rid", "sketch", "n", F.lit(None).cast("long").alias("was")), "paths1")
-    found = None
-    for level in range(1, depth + 1):
+    now = first.join(sets.select("rid", "sketch"), "rid").select("path", "rid", "sketch", "n", F.lit(None).cast("double").alias("dense"), F.lit(1).alias("level"))
+    now, found = saved(now, "paths"), None
+    while True:
         small = now.where(F.col("n") <= leaf).select("path", "rid", "sketch").repartition("path").sortWithinPartitions("path").mapInArrow(compare, "rid long, node long")
         found = small if found is None else found.unionByName(small)
         large = now.where(F.col("n") > leaf)
-        dense = F.lit(level == depth) | F.coalesce(F.col("n") >= DENSE * F.col("was"), F.lit(False))
-        found = found.unionByName(large.where(dense).select("rid", F.col("path").alias("node")))
-        large = large.where(~dense)
-        if level == depth or large.isEmpty():
+        settled = (F.col("level") >= depth) | F.coalesce(F.col("n") >= F.col("dense"), F.lit(False))
+        found = found.unionByName(large.where(settled).select("rid", F.col("path").alias("node")))
+        large = large.where(~settled)
+        if large.isEmpty():  # after `depth` rounds at most
             return found
-        parts = large.select("path", "rid", "sketch", "n").mapInArrow(split, "path long, rid long, sketch binary, was long")
-        now = saved(crowded(parts).select("path", "rid", "sketch", "n", "was"), f"paths{level + 1}")
+        parts = large.select("path", "rid", "sketch", "n", "level").mapInArrow(split, "path long, rid long, sketch binary, dense double, level int")
+        now = saved(crowded(parts).select("path", "rid", "sketch", "n", "dense", "level"), "paths")
 
 
 def _checked(source, sets, groups, size, similarity, block):
