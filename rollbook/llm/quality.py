@@ -2,7 +2,7 @@
 
 1. Every token has a sparse random index vector, made from its hash. Over the whole corpus, each word sums the index vectors of its
    left and right neighbours: its word vector. The WORDS most frequent words, by counts over all documents, have vectors of their
-   own; rarer ones, whose contexts say little, share BUCKETS vectors by their hash. Tasks send one row a vector they touched and
+   own, or nearly as many; rarer ones, whose contexts say little, share BUCKETS vectors by their hash. Tasks send one row a vector they touched and
    the rows are summed in Spark, so what travels grows with the number of tasks, and the table has a fixed size.
 2. A document is the mean and the spread of the word vectors and index vectors of its tokens, and a few ratios.
 3. The network is fitted on the driver on at most TRAIN_ROWS labelled documents, drawn by a hash of their id; a fifth of them only
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.llm.kernels import BYTE_VALUES, mix, rolling, span_hash, text_chunks
-from rollbook.llm.shared import texts
+from rollbook.llm.shared import saved, texts
 
 WORDS = 1 << 16
 BUCKETS = 1 << 13
@@ -70,7 +70,11 @@ class Vectors:
 
 
 def frequent_words(docs, text_col="text", size=WORDS):
-    """Sorted hashes of the `size` most frequent tokens of all documents; of equal counts the lesser hash counts first."""
+    """Sorted hashes of the most frequent tokens of all documents, `size` of them at most.
+
+    Counts are told apart by eighths of a doubling, and whole levels are taken from the top while they fit: so the driver gets the
+    sizes of some hundred levels and the words that are taken, and no task sends more than it has of those.
+    """
 
     def run(batches):
         hashes, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -89,7 +93,16 @@ def frequent_words(docs, text_col="text", size=WORDS):
         yield out()
 
     counted = texts(docs, text_col, text_col).select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "word").limit(size).select("word").toPandas()  # at most size rows
+    counted = saved(counted.select("word", F.floor(F.log2("n") * 8).cast("int").alias("level")), "words")
+    taken, lowest = 0, None
+    for level, n in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        taken += n
+        if taken > size:
+            break
+        lowest = level
+    if lowest is None:
+        return np.zeros(0, np.uint64)
+    rows = counted.where(F.col("level") >= lowest).select("word").toPandas()  # at most size rows
     return np.sort(rows["word"].to_numpy(np.int64).view(np.uint64))
 
 
