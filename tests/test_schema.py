@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from rollbook.plans import schema_map as M
@@ -84,3 +86,14 @@ def test_semantic_columns(frame):
     assert M.semantic_columns(df, "email") == ["Home Email", "reach"]
     assert M.semantic_columns(df, "city") == ["City"]
     assert M.semantic_columns(df, "email", {"email": ["City"]}) == ["City"]
+
+
+def test_no_task_of_schema_inference_gathers_partitions_or_values(spark):
+    """Candidates are sent to one partition, not read from all of them by one task, and values are not grouped."""
+    df = spark.createDataFrame([(i, f"p{i}@alpha.edu", 1990 + i) for i in range(9)], "_row_id long, PREF_EML string, CLASS_CD int")
+    for found in (M.schema_conflicts(df), M.schema_summary(M.infer_schema(df), ["PREF_EML", "CLASS_CD"], M.schema_conflicts(df))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition 1, true" in plan and "Repartition 1, false" not in plan
+        assert not re.search(r"Aggregate \[column#\d+L?, value#", plan)
+    rates = {r["column"]: r for r in M.sample_rates(df).collect()}
+    assert rates["PREF_EML"]["filled"] == 9 and rates["PREF_EML"]["email_rate"] == 1.0 and rates["CLASS_CD"]["year_rate"] == 1.0
