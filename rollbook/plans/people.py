@@ -19,7 +19,7 @@ from rollbook.operators.columns import find_column, people_selection, person_col
 from rollbook.operators.order import sort_key
 from rollbook.operators.predicates import compile_group, matching_email
 from rollbook.operators.sampling import col, data_columns
-from rollbook.operators.skew import attach_groups
+from rollbook.operators.skew import attach_groups, spread
 from rollbook.plans.classify import ADJACENT, UNCERTAIN, classify
 from rollbook.plans.lookup import attach_hits
 from rollbook.plans.taxonomy import SEED, TermTable, industry_key
@@ -57,8 +57,8 @@ def dedupe_people(df, profile=None, row_id=ROW_ID):
 
 
 def _judged(df, spec, taxonomies, profile, row_id, *extra):
-    """Rows (person, row id, verdict flags) of a classification."""
-    rows = classify(df, spec, taxonomies, profile, details=False)
+    """Rows (person, row id, verdict flags) of a classification. The rules cost much for each row, so rows are dealt over tasks first."""
+    rows = classify(spread(df), spec, taxonomies, profile, details=False)
     counted, name = F.col("count_as_match"), F.col("classification")
     return rows.select(
         person_key(df, profile, row_id=row_id).alias("_person"),
