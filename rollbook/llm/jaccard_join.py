@@ -295,7 +295,8 @@ def _plausible_groups(sets, two, leaf, depth, least):
         large = large.where(~settled)
         if large.isEmpty():  # after `depth` rounds at most
             return found
-        parts = large.select("path", "rid", "sketch", "n", "level").mapInArrow(split, "path long, rid long, sketch binary, dense double, level int")
+        # Written before it is counted and joined: a plan that reads the split twice would also run it twice.
+        parts = saved(large.select("path", "rid", "sketch", "n", "level").mapInArrow(split, "path long, rid long, sketch binary, dense double, level int"), "split")
         now = saved(crowded(parts).select("path", "rid", "sketch", "n", "dense", "level"), "paths")
 
 

@@ -260,6 +260,28 @@ def test_jaccard_join(spark, rows, limits):
     assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_linked_docs"]) for r in got) == brute_links(rows)
 
 
+def test_jaccard_join_splits_a_crowded_node_once(spark, monkeypatch):
+    """No plan reads the split of crowded nodes twice, which would run it twice; links of families beyond a leaf stay whole."""
+    splits, write = [], jaccard_join.saved
+
+    def saved(df, name):
+        splits.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow split("))
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard_join, "saved", saved)
+    rng = random.Random(11)
+    rows = []
+    for family in range(2):
+        base = prose(rng, 60).split()
+        for k in range(30):
+            w = list(base)
+            w[rng.randrange(60)] = f"edit{k}"
+            rows.append((100 * family + k, " ".join(w)))
+    got = jaccard_join.jaccard_join(table(spark, rows), leaf=4, block=8, depth=4).collect()
+    assert sum(splits) >= 2 and max(splits) == 1  # some levels were split
+    assert collections.Counter((r["doc_id"], r["class_id"], r["n_links"], r["n_linked_docs"]) for r in got) == brute_links(rows)
+
+
 def test_runs_reach_the_recall():
     assert jaccard_join.runs_needed(0.8, 0.999) > jaccard_join.runs_needed(0.8, 0.9) >= 1
     assert jaccard_join.second_share(0.8) == pytest.approx(0.25)
